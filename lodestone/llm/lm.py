@@ -1,9 +1,10 @@
 """LM scoring: interpolated modified Kneser-Ney bigrams, counted in Spark, kept as sorted hash arrays.
 
 1. Tasks cut texts into words, add one end per text, and send each shard of the
-   64-bit bigram hashes its distinct bigrams with counts, as packed arrays.
-   Shards are cut by the hash of the whole bigram, so one frequent word spreads
-   over all of them.
+   64-bit bigram hashes its distinct bigrams with counts, as packed arrays. The
+   leading bits, which name the shard, come from the first word and one of eight
+   salts of the second: a word's bigrams lie close together, yet a frequent word
+   spreads over eight shards.
 2. A shard merges its arrays, writes ``bi-<shard>`` (sorted hashes and counts)
    to the shared folder, and sends what the bigrams say of their words.
 3. Word shards merge that into ``word-<shard>`` (sorted hashes; count, distinct
@@ -81,6 +82,21 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
 
 
+def bigram_keys(before: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
+    """64-bit hashes of bigrams whose first ``bits`` bits name the shard."""
+    key = tx.pair(before, word)
+    if not bits:
+        return key
+    lead = tx.mix(before + (word & np.uint64(7)) * np.uint64(0xD6E8FEB86659FD93))
+    low = np.uint64((1 << (64 - bits)) - 1)
+    return (lead & ~low) | (key & low)
+
+
+def _small(counts: np.ndarray) -> np.ndarray:
+    most = counts.max(initial=0)
+    return counts.astype(np.uint32 if most < 2**32 else np.uint64)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.dtype.itemsize))], np.int64)
     return b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
@@ -96,7 +112,7 @@ def _unpack(raw: bytes) -> list[np.ndarray]:
 
 
 def _bigram_messages(before: np.ndarray, word: np.ndarray, bits: int):
-    key = tx.pair(before, word)
+    key = bigram_keys(before, word, bits)
     order, at = _groups(key)
     count = np.diff(np.append(at, len(key))).astype(np.uint32)
     pick = order[at]
@@ -146,10 +162,10 @@ def _word_messages(word: np.ndarray, before: np.ndarray, count: np.ndarray, word
     for s in range(1 << word_bits):
         parts = [[a[e[s] : e[s + 1]] for a in x] for x, e in zip((words, contexts), edges, strict=True)]
         if len(parts[0][0]) or len(parts[1][0]):
-            yield s, _pack(*(a.astype(np.uint64) for a in parts[0] + parts[1]))
+            yield s, _pack(*(a if a.dtype == np.uint64 else _small(a) for a in parts[0] + parts[1]))
 
 
-def _merge_bigrams(uri: str, word_bits: int):
+def _merge_bigrams(uri: str, bits: int, word_bits: int):
     def run(key, table):
         b, w, c = [], [], []
         for raw in table.column("payload"):
@@ -158,12 +174,12 @@ def _merge_bigrams(uri: str, word_bits: int):
             w.append(uw)
             c.append(uc)
         b, w, c = np.concatenate(b), np.concatenate(w), np.concatenate(c)
-        k = tx.pair(b, w)
+        k = bigram_keys(b, w, bits)
         order, at = _groups(k)
         count = np.add.reduceat(c[order].astype(np.int64), at)
         first = order[at]
         save_array(uri, f"bi-{key[0].as_py():05d}.key", k[first])
-        save_array(uri, f"bi-{key[0].as_py():05d}.count", count.astype(np.uint32 if count.max() < 2**32 else np.uint64))
+        save_array(uri, f"bi-{key[0].as_py():05d}.count", count.astype(np.min_scalar_type(count.max())))
         n = [int((count == i).sum()) for i in (1, 2, 3, 4)]
         rows = list(_word_messages(w[first], b[first], count, word_bits))
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())} | {f"n{i + 1}": pa.array([v] + [0] * (len(rows) - 1), pa.int64()) for i, v in enumerate(n)})
@@ -183,7 +199,7 @@ def _merge_words(uri: str):
             for values, f in zip(columns[1:], fields, strict=True):
                 stats[:, f] = np.bincount(at, values.astype(np.float64), len(every)).astype(np.int64)
         save_array(uri, f"word-{key[0].as_py():05d}.key", every)
-        save_array(uri, f"word-{key[0].as_py():05d}.stats", stats.astype(np.uint32) if stats.max(initial=0) < 2**32 else stats)
+        save_array(uri, f"word-{key[0].as_py():05d}.stats", _small(stats))
         left = stats[:, 1]
         sums = [int(stats[:, 0].sum()), int((stats[:, 0] > 0).sum()), int(left.sum()), *(int((left == i).sum()) for i in (1, 2, 3, 4))]
         return pa.table({f"s{i}": pa.array([v], pa.int64()) for i, v in enumerate(sums)} | {f"n{i}": pa.array([sum(x.as_py() for x in table.column(f"n{i}"))], pa.int64()) for i in (1, 2, 3, 4)})
@@ -195,11 +211,11 @@ def fit(docs: DataFrame, text_col: str = "text", rows_per_shard: int = 4000) ->
     """Count ``docs`` and write the model to the shared folder. Shards follow the number of rows."""
     spark = docs.sparkSession
     bits = power_of_two(max(docs.count() / rows_per_shard, 2 * shuffle_partitions(spark)))
-    word_bits = max(0, bits - 4)
+    word_bits = max(min(bits, 7), bits - 2)
     uri = new_dir(spark, "lm")
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_block(bits), "shard int, payload binary")
     numbers = ", ".join(f"n{i} long" for i in (1, 2, 3, 4))
-    words = counted.groupBy("shard").applyInArrow(_merge_bigrams(uri, word_bits), f"shard int, payload binary, {numbers}")
+    words = counted.groupBy("shard").applyInArrow(_merge_bigrams(uri, bits, word_bits), f"shard int, payload binary, {numbers}")
     sums = words.groupBy("shard").applyInArrow(_merge_words(uri), ", ".join(f"s{i} long" for i in range(7)) + f", {numbers}")
     total = [x or 0 for x in sums.agg(*[F.sum(c) for c in sums.columns]).first()]
     d = discounts(total[3:7])
@@ -271,7 +287,7 @@ def score_column(model: Model, column) -> dict[str, np.ndarray]:
     word, before, offsets = sequences(column)
     words, where = np.unique(np.concatenate([word, before]), return_inverse=True)
     stats = _find(model, "word", "stats", model.word_bits, words, (6,))
-    key, pick, back = np.unique(tx.pair(before, word), return_index=True, return_inverse=True)
+    key, pick, back = np.unique(bigram_keys(before, word, model.bits), return_index=True, return_inverse=True)
     count = _find(model, "bi", "count", model.bits, key, ())
     w, b = stats[where[pick]], stats[where[len(word) + pick]]
     uniform = 1.0 / (model.vocabulary + 1)
