@@ -1,10 +1,75 @@
-"""The corpus pipeline: toxicity, exact dedup, near dedup, mixing and packing, each over all that the last one kept."""
+"""The corpus pipeline: toxicity, exact dedup, SimHash near-dedup, mixing and packing.
+
+Each stage gets the documents that the one before kept, and its decisions take
+effect. Every stage but the last returns the columns of ``documents``; mixing
+repeats a document as often as it is taken, and packing returns the pieces with
+their places in sequences. Documents with a null id are kept by toxicity and
+follow the operators' rules for null ids in the other stages.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import exact, mixing, packing, simhash, toxicity
+from lodestone.llm.shared import new_dir
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+THRESHOLD = 0.7
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learn from the labels and drop documents that score THRESHOLD or more. No document's own columns but its text count."""
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    kept = tuple(c for c in COLUMNS if c != "doc_id")
+    return toxicity.score(docs, model, keep=kept).where(F.col("score") < THRESHOLD).select(*COLUMNS)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest id stays."""
+    kept = exact.exact_duplicates(docs).where("kept OR doc_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document that names it stays."""
+    kept = simhash.near_duplicates(docs).where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat each document as often as the mix takes it."""
+    taken = mixing.mix(docs).where("copies > 0").select(F.col("id").alias("_id"), "copies")
+    joined = docs.join(taken, docs.doc_id.eqNullSafe(F.col("_id")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenise and pack what is left; (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: The classifier, fingerprints and tokens are not SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage returns is written to the shared folder and read by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = new_dir(spark, f"pipeline-{uuid.uuid4().hex[:8]}")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{folder}/{k}")
+        docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}")
+    return docs
