@@ -93,9 +93,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = rows.select("id", "norm", F.substring("norm", 1, prefix).alias("first"), F.xxhash64("norm").alias("hash"))
     ordered = keyed.repartitionByRange(n, "first", "hash", "id").sortWithinPartitions("first", "hash", "norm", "id")
     runs = stored(ordered.mapInArrow(_runs, _RUNS), "runs")
-    # pieces of one text at the edges of partitions become one group; a row is in one run, so rows give the size
+    # pieces of one text at the edges of partitions become one group; a row is in one run, so rows
+    # give the size. There are at most two such texts a partition, which bounds the broadcast
     whole = runs.where("edge").groupBy("text_sha256").agg(F.min("keep_id").alias("_keep"), F.count("*").alias("_size"))
-    out = runs.join(whole, "text_sha256", "left").select(
+    out = runs.join(F.broadcast(whole), "text_sha256", "left").select(
         "doc_id", F.coalesce("_keep", "keep_id").alias("keep_id"), F.coalesce("_size", "group_size").alias("group_size"), "text_sha256"
     )
     null = F.lit(None).cast("long")

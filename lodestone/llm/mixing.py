@@ -54,7 +54,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"))
     digest = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
     bits = "length(bin(size))"
-    sized = stored(sized.select("id", "source", "size", F.expr(f"cast({bits} * 32 + shiftright(size, greatest({bits} - 5, 0)) as long)").alias("size_class"), F.substring(digest, 1, 3).alias("part")), "sized")
+    sized = stored(sized.select("id", "source", "size", F.expr(f"cast({bits} * 32 + shiftright(size, greatest({bits} - 5, 0)) as long)").alias("size_class"), F.substring(digest, 1, 1).alias("part")), "sized")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap).withColumnRenamed("source", "_source")
     ranked = sized.withColumn("place", F.concat(F.lpad(F.col("size_class").cast("string"), 6, "0"), "part"))
     ranked = distributed_rank(ranked, ["source"], "place", ["id"], "rank")
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 3) AS part
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 1) AS part
   FROM documents),
 classed AS (SELECT *, length(bin(size)) * 32 + (size >> greatest(length(bin(size)) - 5, 0)) AS size_class FROM sized),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
