@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, langid, lm, mixing, packing, rules, secret_scan, simhash, toxicity
+from . import exact, langid, lm, mixing, packing, rules, secret_scan, simhash, substrings, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(documents(spark, sf_dir)))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).selectExpr("id AS doc_id", "size", "source_size", "target", "taken")
 
@@ -48,7 +52,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_toxicity, op3_simhash, op4_quality_rules, op5_secret_scan, op7_mixing, op8_packing, op9_language_id, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_toxicity, op3_simhash, op4_quality_rules, op5_secret_scan, op6_suffix_array, op7_mixing, op8_packing, op9_language_id, op10_exact_dedup)}
 
 ORACLES = {
     "op7_mixing": mixing.MIX_SQL,
