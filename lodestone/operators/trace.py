@@ -11,7 +11,7 @@ from ..functions.clean import excerpt
 
 
 def seconds_between(a: str | Column, b: str | Column) -> Column:
-    at = lambda c: F.unix_micros(F.col(c) if isinstance(c, str) else c)
+    at = lambda c: F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
     return (at(b) - at(a)) / 1e6
 
 
