@@ -7,7 +7,8 @@
    smaller id, all its strings are repeats. Where an anchor has several
    contexts, one of each, that of the smallest id, must be compared.
 3. Those contexts are fetched from their documents, joined by document, and
-   dealt by anchor. A shard cuts them to the part that may repeat, keeps one of
+   dealt by the 35 bytes about the anchor that equal strings share, so that a
+   frequent anchor spreads. A shard cuts them to the part that may repeat, keeps one of
    equal parts, writes these one after the other and builds the suffix array;
    suffixes with equal first 50 bytes, now neighbours, tell the rest.
 4. Covered stretches meet their document, which drops their union.
@@ -27,6 +28,7 @@ other's bytes. A null id is larger than any id.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ from . import text as tx
 from .shared import power_of_two, shuffle_partitions, stored
 
 LENGTH, ANCHOR = 50, 20
+#: Half the places that an anchor can have in a string.
+SIDE = (LENGTH - ANCHOR) // 2
 NO_ID = (1 << 63) - 1
 _COVER = "rid long, start int, end int"
 
@@ -113,10 +117,10 @@ def suffix_array(text: np.ndarray) -> list[int]:
 
 
 def anchored(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """By context: anchor hash, context hash, row, first start and last start of its strings (positions in data)."""
+    """By context: anchor hash, context hash, row, first start and last start of its strings, the anchor (positions in data)."""
     n = len(data)
     if n < LENGTH:
-        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 3
+        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 4
     prefix = tx.prefix_hashes(data)
     at = np.arange(n - ANCHOR + 1)
     h = tx.span_hashes(prefix, at, at + ANCHOR)
@@ -133,11 +137,11 @@ def anchored(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     row = np.searchsorted(off, start, "right") - 1
     good = np.flatnonzero(start + LENGTH <= off[row + 1])
     if not len(good):
-        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 3
+        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 4
     cut = np.flatnonzero(np.concatenate([[True], (pick[good][1:] != pick[good][:-1]) | (np.diff(good) > 1)]))
     a, b = good[cut], good[np.append(cut[1:], len(good)) - 1]
     context = tx.pair(tx.span_hashes(prefix, a, b + LENGTH), (pick[a] - a).astype(np.uint64))
-    return h[pick[a]], context, row[a], a, b
+    return h[pick[a]], context, row[a], a, b, pick[a]
 
 
 def _planes(a: np.ndarray, width: int) -> bytes:
@@ -151,16 +155,16 @@ def _unplane(raw: memoryview, n: int, width: int) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
-_WIDTHS = (6, 5, 3, 4, 1)  # anchor, context, row in the message, start, strings less one
+_WIDTHS = (6, 5, 3, 4, 1, 1)  # anchor, context, row in the message, start, strings less one, anchor's place
 
 
 def _send(bits: int):
     def run(batches):
         for batch in batches:
             rid, doc, column = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            for i, j in tx.row_slices(column, 2 << 20):
+            for i, j in tx.row_slices(column, 1 << 19):
                 data, off = tx.buffers(column.slice(i, j - i))
-                h, context, row, a, b = anchored(data, off)
+                h, context, row, a, b, p = anchored(data, off)
                 if not len(h):
                     continue
                 shard = (h >> np.uint64(64 - bits)).astype(np.int64)
@@ -172,7 +176,7 @@ def _send(bits: int):
                     o = order[edge[s] : edge[s + 1]]
                     there, local = np.unique(row[o], return_inverse=True)
                     head = np.array([len(o), len(there)], "<i8").tobytes()
-                    values = (h[o] & np.uint64((1 << 48) - 1), context[o], local, where[o], (b - a)[o])
+                    values = (h[o] & np.uint64((1 << 48) - 1), context[o], local, where[o], (b - a)[o], (p - a)[o])
                     rows.append((int(s), b"".join([head, rid[i + there].astype("<i8").tobytes(), doc[i + there].astype("<i8").tobytes(), *(_planes(v, w) for v, w in zip(values, _WIDTHS, strict=True))])))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "payload"])
 
@@ -180,7 +184,7 @@ def _send(bits: int):
 
 
 def _receive(payloads) -> tuple[np.ndarray, ...]:
-    """anchor, context, rid, doc, start, strings of all messages."""
+    """anchor, context, rid, doc, start, strings less one and the anchor's place of all messages."""
     parts = []
     for p in payloads:
         raw = memoryview(p.as_py())
@@ -193,15 +197,15 @@ def _receive(payloads) -> tuple[np.ndarray, ...]:
             v.append(_unplane(raw[at : at + n * w], n, w))
             at += n * w
         local = v[2].astype(np.int64)
-        parts.append((v[0], v[1], rid[local], doc[local], v[3].astype(np.int64), v[4].astype(np.int64)))
+        parts.append((v[0], v[1], rid[local], doc[local], *(x.astype(np.int64) for x in v[3:])))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _match(key, table):
     """Covered stretches (kind 0), and the contexts that must be compared (kind 1)."""
-    anchor, context, rid, doc, start, more = _receive(table.column("payload"))
+    anchor, context, rid, doc, start, more, place = _receive(table.column("payload"))
     order = np.lexsort((start, rid, doc, context, anchor))
-    anchor, context, rid, doc, start, more = (x[order] for x in (anchor, context, rid, doc, start, more))
+    anchor, context, rid, doc, start, more, place = (x[order] for x in (anchor, context, rid, doc, start, more, place))
     new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
     new_context = new_anchor | np.concatenate([[True], context[1:] != context[:-1]])
     least = doc[np.flatnonzero(new_context)][np.cumsum(new_context) - 1]
@@ -214,20 +218,34 @@ def _match(key, table):
     compare = several[g] & ~covered
     pick = np.concatenate([np.flatnonzero(covered), np.flatnonzero(compare)])
     kind = np.repeat([0, 1], [covered.sum(), compare.sum()])
-    return pa.table({"kind": pa.array(kind, pa.int32()), "shard": pa.array(np.full(len(pick), key[0].as_py()), pa.int32()), "rid": pa.array(rid[pick], pa.int64()), "doc": pa.array(doc[pick], pa.int64()), "start": pa.array(start[pick], pa.int32()), "end": pa.array(start[pick] + more[pick] + LENGTH, pa.int32())})
+    return pa.table({"kind": pa.array(kind, pa.int32()), "anchor": pa.array(place[pick], pa.int32()), "rid": pa.array(rid[pick], pa.int64()), "doc": pa.array(doc[pick], pa.int64()), "start": pa.array(start[pick], pa.int32()), "end": pa.array(start[pick] + more[pick] + LENGTH, pa.int32())})
 
 
-def _fetch(batches):
-    """Rows of a text and its contexts (shard, doc, start, end) to the contexts' bytes."""
-    for batch in batches:
-        rid = batch.column("rid").to_pylist()
-        out = []
-        for r, text, contexts in zip(rid, batch.column("text"), batch.column("contexts"), strict=True):
-            raw = (text.as_py() or "").encode()
-            out += [(c["shard"], c["doc"], r, c["start"], raw[c["start"] : c["end"]]) for c in contexts.as_py()]
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["shard", "doc", "rid", "start", "bytes"])
+def _halves(context: bytes, anchor: int):
+    """(key, first, behind last) of a context's left and right strings: equal ones of either side share 35 bytes about the anchor."""
+    edge, last = anchor - SIDE, len(context) - LENGTH
+    if last >= edge:
+        yield context[anchor : anchor + ANCHOR + SIDE], max(0, edge), len(context)
+    if edge >= 0:
+        yield context[edge : anchor + ANCHOR], 0, min(edge + LENGTH, len(context))
+
+
+def _fetch(shards: int):
+    """Rows of a text and its contexts (doc, start, end, anchor) to the bytes of their halves, dealt by the halves' keys."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r, text, contexts in zip(batch.column("rid").to_pylist(), batch.column("text"), batch.column("contexts"), strict=True):
+                raw = (text.as_py() or "").encode()
+                for c in contexts.as_py():
+                    whole = raw[c["start"] : c["end"]]
+                    out += [(zlib.crc32(k) % shards, c["doc"], r, c["start"] + a, whole[a:b]) for k, a, b in _halves(whole, c["anchor"])]
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["shard", "doc", "rid", "start", "bytes"])
+
+    return run
 
 
 def repeats(contexts: list[bytes], doc: np.ndarray) -> list[tuple[int, int]]:
@@ -313,16 +331,16 @@ def _drop(with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_shard: int = 2000, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_shard: int = 1000, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_text the kept bytes) for every row of ``docs``."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.xxhash64(F.col(id_col), text).alias("rid"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"))
     bits = max(1, power_of_two(max(docs.count() / rows_per_shard, shuffle_partitions(spark))))
     sent = rows.mapInArrow(_send(bits), "shard int, payload binary")
-    matched = stored(sent.groupBy("shard").applyInArrow(_match, "kind int, shard int, rid long, doc long, start int, end int"), "matched")
-    wanted = matched.where("kind = 1").groupBy("rid").agg(F.collect_list(F.struct("shard", "doc", "start", "end")).alias("contexts"))
-    fetched = rows.select("rid", "text").join(wanted, "rid").mapInArrow(_fetch, "shard int, doc long, rid long, start int, bytes binary")
+    matched = stored(sent.groupBy("shard").applyInArrow(_match, "kind int, anchor int, rid long, doc long, start int, end int"), "matched")
+    wanted = matched.where("kind = 1").groupBy("rid").agg(F.collect_list(F.struct("doc", "start", "end", "anchor")).alias("contexts"))
+    fetched = rows.select("rid", "text").join(wanted, "rid").mapInArrow(_fetch(1 << bits), "shard int, doc long, rid long, start int, bytes binary")
     compared = stored(fetched.groupBy("shard").applyInArrow(_compare, _COVER), "compared")
     cover = matched.where("kind = 0").select("rid", "start", "end").unionByName(compared).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("cover"))
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
