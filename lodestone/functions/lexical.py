@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Words that carry no meaning of their own (fixed values).
 STOP_WORDS = "a an and are as at be but by for from had has have he her his i if in into is it its no not of on or our she so such that the their then there these they this to was we were which will with you".split()
-_ENDINGS = ((5, "ing"), (4, "ed"), (4, "es"), (3, "s"))
+_ENDINGS = ((5, "ing"), (4, "ed"), (3, "s"))
 
 
 def stem(word: Column) -> Column:
