@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ _COVER = "rid long, start int, end int"
 
 def suffix_array(text: np.ndarray) -> list[int]:
     """The sorted suffixes of a text (values from 1), by grouping along Lyndon prefixes."""
-    s = [int(x) + 1 for x in text] + [0]
+    s = array("i", (text + 1).astype(np.int32).tobytes()) + array("i", [0])
     n = len(s)
     # groups as a list linked from high to low, at first one for each value
     below: dict[int, int] = {}
@@ -60,7 +61,7 @@ def suffix_array(text: np.ndarray) -> list[int]:
         below[b], above[a] = a, b
     group = s[:]
     final = [False] * len(members)
-    previous = [-1] * n
+    previous = array("i", [-1]) * n
     g: int | None = used[-1]
     while g is not None:
         own = [i for i in members[g] if group[i] == g]
@@ -104,20 +105,20 @@ def suffix_array(text: np.ndarray) -> list[int]:
         first[g] = at
         at += len(members[g]) if final[g] else 0
         g = above.get(g)
-    out, placed = [-1] * n, [False] * n
-    out[0], placed[n - 1] = n - 1, True
+    members.clear()
+    out, placed = array("i", [-1]) * n, bytearray(n)
+    out[0], placed[n - 1] = n - 1, 1
     for i in range(n):
         p = out[i] - 1
         while p >= 0 and not placed[p]:
             out[first[group[p]]] = p
             first[group[p]] += 1
-            placed[p] = True
+            placed[p] = 1
             p = previous[p]
-    return out[1:]
+    return out[1:].tolist()
 
 
-def anchored(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """By context: anchor hash, context hash, row, first start and last start of its strings, the anchor (positions in data)."""
+def _anchored(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(data)
     if n < LENGTH:
         return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 4
@@ -125,9 +126,8 @@ def anchored(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     at = np.arange(n - ANCHOR + 1)
     h = tx.span_hashes(prefix, at, at + ANCHOR)
     bits = np.uint64(max(20, n.bit_length()))
-    key = (h >> bits << bits) | at.astype(np.uint64)
+    low, span = (h >> bits << bits) | at.astype(np.uint64), 1
     width = LENGTH - ANCHOR + 1
-    low, span = key, 1
     while span * 2 <= width:
         low = np.minimum(low[: len(low) - span], low[span:])
         span *= 2
@@ -141,7 +141,25 @@ def anchored(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     cut = np.flatnonzero(np.concatenate([[True], (pick[good][1:] != pick[good][:-1]) | (np.diff(good) > 1)]))
     a, b = good[cut], good[np.append(cut[1:], len(good)) - 1]
     context = tx.pair(tx.span_hashes(prefix, a, b + LENGTH), (pick[a] - a).astype(np.uint64))
-    return h[pick[a]], context, row[a], a, b, pick[a]
+    # least hashes are small ones: mixed again, they spread evenly over the shards
+    return tx.mix(h[pick[a]]), context, row[a], a, b, pick[a]
+
+
+def anchored(data: np.ndarray, off: np.ndarray, window: int = 1 << 18) -> tuple[np.ndarray, ...]:
+    """By context: anchor hash, context hash, row, first start and last start of its strings, the anchor (positions in data).
+
+    Long data is taken in windows, which bounds the memory; a window reads a context's most starts on
+    either side and keeps the contexts that begin in it, so the cuts show in no result.
+    """
+    margin = LENGTH - ANCHOR + 1
+    parts = []
+    for s in range(0, max(1, len(data)), window):
+        low, high = max(0, s - margin), min(len(data), s + window + margin + LENGTH)
+        inside = np.clip(off, low, high) - low
+        h, context, row, a, b, p = _anchored(data[low:high], inside)
+        own = (a + low >= s) & (a + low < s + window)
+        parts.append((h[own], context[own], row[own], a[own] + low, b[own] + low, p[own] + low))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _planes(a: np.ndarray, width: int) -> bytes:
@@ -177,7 +195,7 @@ def _send(bits: int):
                     there, local = np.unique(row[o], return_inverse=True)
                     head = np.array([len(o), len(there)], "<i8").tobytes()
                     values = (h[o] & np.uint64((1 << 48) - 1), context[o], local, where[o], (b - a)[o], (p - a)[o])
-                    rows.append((int(s), b"".join([head, rid[i + there].astype("<i8").tobytes(), doc[i + there].astype("<i8").tobytes(), *(_planes(v, w) for v, w in zip(values, _WIDTHS, strict=True))])))
+                    rows.append((int(s), b"".join([head, _planes(rid[i + there], 8), _planes(doc[i + there], 8), *(_planes(v, w) for v, w in zip(values, _WIDTHS, strict=True))])))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "payload"])
 
     return run
@@ -190,7 +208,7 @@ def _receive(payloads) -> tuple[np.ndarray, ...]:
         raw = memoryview(p.as_py())
         n, m = np.frombuffer(raw, "<i8", 2)
         n, m, at = int(n), int(m), 16
-        rid, doc = np.frombuffer(raw, "<i8", m, at), np.frombuffer(raw, "<i8", m, at + 8 * m)
+        rid, doc = (_unplane(raw[at + k * m :], m, 8).view("<i8") for k in (0, 8))
         at += 16 * m
         v = []
         for w in _WIDTHS:
@@ -218,7 +236,9 @@ def _match(key, table):
     compare = several[g] & ~covered
     pick = np.concatenate([np.flatnonzero(covered), np.flatnonzero(compare)])
     kind = np.repeat([0, 1], [covered.sum(), compare.sum()])
-    return pa.table({"kind": pa.array(kind, pa.int32()), "anchor": pa.array(place[pick], pa.int32()), "rid": pa.array(rid[pick], pa.int64()), "doc": pa.array(doc[pick], pa.int64()), "start": pa.array(start[pick], pa.int32()), "end": pa.array(start[pick] + more[pick] + LENGTH, pa.int32())})
+    by_row = np.lexsort((start[pick], rid[pick], kind))  # runs of one row compress
+    kind, pick = kind[by_row], pick[by_row]
+    return pa.table({"kind": pa.array(kind, pa.int32()), "anchor": pa.array(place[pick] * kind, pa.int32()), "rid": pa.array(rid[pick], pa.int64()), "start": pa.array(start[pick], pa.int32()), "end": pa.array(start[pick] + more[pick] + LENGTH, pa.int32())})
 
 
 def _halves(context: bytes, anchor: int):
@@ -230,20 +250,27 @@ def _halves(context: bytes, anchor: int):
         yield context[edge : anchor + ANCHOR], 0, min(edge + LENGTH, len(context))
 
 
-def _fetch(shards: int):
-    """Rows of a text and its contexts (doc, start, end, anchor) to the bytes of their halves, dealt by the halves' keys."""
+def _fetch(shards: int, most: int = 20_000):
+    """Rows of a text and its contexts (start, end, anchor) to the bytes of their halves, dealt by the halves' keys; about ``most`` are held at once."""
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
+    def records(out):
+        columns = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["shard", "doc", "rid", "start", "bytes"])
 
     def run(batches):
         for batch in batches:
             out = []
-            for r, text, contexts in zip(batch.column("rid").to_pylist(), batch.column("text"), batch.column("contexts"), strict=True):
-                raw = (text.as_py() or "").encode()
-                for c in contexts.as_py():
-                    whole = raw[c["start"] : c["end"]]
-                    out += [(zlib.crc32(k) % shards, c["doc"], r, c["start"] + a, whole[a:b]) for k, a, b in _halves(whole, c["anchor"])]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["shard", "doc", "rid", "start", "bytes"])
+            for r, d, text, contexts in zip(batch.column("rid").to_pylist(), batch.column("doc").to_pylist(), batch.column("text"), batch.column("contexts"), strict=True):
+                raw, spans = (text.as_py() or "").encode(), contexts.values
+                for start, end, anchor in zip(*(spans.field(f).to_numpy().tolist() for f in ("start", "end", "anchor")), strict=True):
+                    whole = raw[start:end]
+                    out += [(zlib.crc32(k) % shards, d, r, start + a, whole[a:b]) for k, a, b in _halves(whole, anchor)]
+                    if len(out) >= most:
+                        yield records(out)
+                        out = []
+            if out:
+                yield records(out)
 
     return run
 
@@ -338,9 +365,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.xxhash64(F.col(id_col), text).alias("rid"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"))
     bits = max(1, power_of_two(max(docs.count() / rows_per_shard, shuffle_partitions(spark))))
     sent = rows.mapInArrow(_send(bits), "shard int, payload binary")
-    matched = stored(sent.groupBy("shard").applyInArrow(_match, "kind int, anchor int, rid long, doc long, start int, end int"), "matched")
-    wanted = matched.where("kind = 1").groupBy("rid").agg(F.collect_list(F.struct("doc", "start", "end", "anchor")).alias("contexts"))
-    fetched = rows.select("rid", "text").join(wanted, "rid").mapInArrow(_fetch(1 << bits), "shard int, doc long, rid long, start int, bytes binary")
+    matched = stored(sent.groupBy("shard").applyInArrow(_match, "kind int, anchor int, rid long, start int, end int"), "matched")
+    wanted = matched.where("kind = 1").groupBy("rid").agg(F.collect_list(F.struct("start", "end", "anchor")).alias("contexts"))
+    fetched = rows.join(wanted, "rid").mapInArrow(_fetch(4 << bits), "shard int, doc long, rid long, start int, bytes binary")
     compared = stored(fetched.groupBy("shard").applyInArrow(_compare, _COVER), "compared")
     cover = matched.where("kind = 0").select("rid", "start", "end").unionByName(compared).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("cover"))
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
