@@ -337,3 +337,97 @@ def column_choice(spark, sf_dir):
 @query("SELECT c_mktsegment AS segment, c_nationkey AS nation, round(c_acctbal, 0) AS balance FROM customer")
 def safe_projection(spark, sf_dir):
     return governed.safe_projection(t(spark, sf_dir, "customer"), {"segment": "c_mktsegment", "nation": "c_nationkey", "balance": F.round("c_acctbal", 0)})
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as an action log: a user is a conversation, an event type a sequence, k of the payload a tool."""
+    tool = F.concat(F.lit("tool"), F.get_json_object("props", "$.k"))
+    action = F.when(F.col("event_id") % 3 == 0, "tool_call").when(F.col("event_id") % 3 == 1, "answer").otherwise("model_request")
+    request = F.to_json(F.struct(tool.alias("tool_name"), F.struct(F.concat(F.lit("SELECT "), F.col("event_id").cast("string")).alias("query")).alias("arguments")))
+    response = F.to_json(F.struct(F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("answer"), (F.col("event_id") % 4 / 4).alias("confidence")))
+    return t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat_ws("-", "user_id", "event_type").alias("task_id"), F.col("user_id").alias("conversation_id"), F.col("event_type").alias("sequence_id"), action.alias("action_type"), F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"), request.alias("request_payload"), response.alias("response_payload"), F.col("ts").alias("created_at"), F.expr("ts + make_interval(0,0,0,0,0,0,event_id % 5)").alias("completed_at"))
+
+
+LOG = """elog AS (SELECT event_id AS id, user_id || '-' || event_type AS task_id, user_id AS conversation_id, event_type AS sequence_id,
+ CASE event_id % 3 WHEN 0 THEN 'tool_call' WHEN 1 THEN 'answer' ELSE 'model_request' END AS action_type, 'tool' || json_extract_string(props, '$.k') AS tool,
+ ts AS created_at, event_id % 5 AS s FROM events)"""
+
+
+@query(f"""WITH {LOG}, r AS (SELECT conversation_id, sequence_id, dense_rank() OVER (PARTITION BY conversation_id ORDER BY min(created_at), sequence_id) AS round FROM elog GROUP BY 1, 2)
+ SELECT conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, id) AS step, round, task_id, action_type, tool, s * 1000.0::DOUBLE AS ms, status FROM (SELECT *, 'done' AS status FROM elog) JOIN r USING (conversation_id, sequence_id)""")
+def full_trace(spark, sf_dir):
+    return trace.full_trace(event_log(spark, sf_dir)).drop("text")
+
+
+def event_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task for each user and event type; its agent is the user's remainder by 5."""
+    by_task = t(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("created_at"), F.max("ts").alias("completed_at"), F.count("*").alias("budget_consumed"))
+    return by_task.select(F.concat_ws("-", "user_id", "event_type").alias("id"), (F.col("user_id") % 5).alias("agent_id"), F.col("event_type").alias("role"), "created_at", "completed_at", "budget_consumed")
+
+
+def event_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = t(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("id")).distinct()
+    return ids.select("id", F.concat(F.lit("agent"), F.col("id").cast("string")).alias("name"), F.when(F.col("id") > 0, F.col("id") + 10).alias("max_iterations"), F.lit(1000).alias("input_token_budget"), F.lit(60).alias("timeout_seconds"))
+
+
+TASKS = LOG + """, tasks AS (SELECT user_id || '-' || event_type AS id, user_id % 5 AS agent_id, event_type AS role, min(ts) AS created_at, max(ts) AS completed_at, count(*) AS budget_consumed FROM events GROUP BY user_id, event_type)"""
+
+
+@query(f"""WITH {TASKS} SELECT l.task_id, 'agent' || agent_id AS agent, role, action_type, row_number() OVER (PARTITION BY l.task_id ORDER BY l.created_at, l.id) AS step,
+ (epoch_us(l.created_at) - epoch_us(k.created_at)) / 1e6 AS at_seconds FROM elog l JOIN tasks k ON l.task_id = k.id""")
+def trace_with_owner(spark, sf_dir):
+    return trace.trace_with_owner(event_log(spark, sf_dir), event_tasks(spark, sf_dir), event_agents(spark, sf_dir))
+
+
+@query(f"WITH {LOG} SELECT id, conversation_id, created_at, 'SELECT ' || id AS statement FROM elog WHERE action_type = 'tool_call' AND tool = 'tool1' ORDER BY created_at DESC, id DESC LIMIT 25")
+def issued_statements(spark, sf_dir):
+    return trace.issued_statements(event_log(spark, sf_dir), "tool1", 25)
+
+
+@query(f"WITH {LOG} SELECT tool AS action, count(*) AS n, round(avg(s) * 1000, 3) AS avg_ms, round(sum(s)::DOUBLE, 3) AS total_s, repeat('#', CAST(least(count(*), 40) AS INTEGER)) AS bar FROM elog WHERE action_type = 'tool_call' GROUP BY 1")
+def tool_histogram(spark, sf_dir):
+    log = event_log(spark, sf_dir).where("action_type = 'tool_call'")
+    return trace.action_histogram(log, F.get_json_object("request_payload", "$.tool_name"))
+
+
+@query(f"""WITH {TASKS}, u AS (SELECT k.id, k.agent_id, k.budget_consumed, count(l.id) AS iterations FROM tasks k LEFT JOIN elog l ON l.task_id = k.id AND action_type = 'model_request' GROUP BY 1, 2, 3)
+ SELECT agent_id, 'agent' || agent_id AS name, CASE WHEN agent_id > 0 THEN agent_id + 10 ELSE 21 END AS cap, agent_id = 0 AS implicit, max(iterations) AS worst, round(avg(iterations), 6) AS mean, max(budget_consumed) AS worst_tokens,
+ CASE WHEN agent_id > 0 THEN agent_id + 10 ELSE 21 END - max(iterations) AS headroom FROM u GROUP BY agent_id""")
+def budget_headroom(spark, sf_dir):
+    return trace.budget_headroom(event_log(spark, sf_dir), event_tasks(spark, sf_dir), event_agents(spark, sf_dir))
+
+
+@query(f"""WITH {TASKS} SELECT k.id AS task_id, 'agent' || agent_id AS agent, budget_consumed, 1000 AS input_token_budget, count(l.id) AS iterations, (epoch_us(completed_at) - epoch_us(k.created_at)) / 1e6 AS wall_s, 60 AS timeout_seconds, k.created_at
+ FROM tasks k LEFT JOIN elog l ON l.task_id = k.id AND action_type = 'model_request' GROUP BY 1, 2, 3, 4, 6, 7, 8 ORDER BY k.created_at DESC, task_id LIMIT 20""")
+def run_costs(spark, sf_dir):
+    return trace.run_costs(event_log(spark, sf_dir), event_tasks(spark, sf_dir), event_agents(spark, sf_dir))
+
+
+@query(f"WITH {LOG} SELECT id, conversation_id, 'a' || id AS answer, (id % 4) / 4.0::DOUBLE AS confidence FROM elog WHERE action_type = 'answer'")
+def parse_answers(spark, sf_dir):
+    return trace.parse_answers(event_log(spark, sf_dir)).select("id", "conversation_id", "answer", "confidence")
+
+
+@query(f"WITH {TASKS}, n AS (SELECT arg_max(conversation_id, (created_at, id)) AS conversation_id FROM elog) SELECT id, action_type FROM elog JOIN n USING (conversation_id)")
+def latest_conversation(spark, sf_dir):
+    log = event_log(spark, sf_dir)
+    newest = log.agg(F.max_by("conversation_id", F.struct("created_at", "id")).alias("conversation_id"))
+    return log.join(F.broadcast(newest), "conversation_id", "left_semi").select("id", "action_type")
+
+
+@query("SELECT c_mktsegment AS role, 'nation' || c_nationkey AS object, string_agg(DISTINCT CASE c_custkey % 3 WHEN 0 THEN 'select' WHEN 1 THEN 'insert' ELSE 'update' END, ',' ORDER BY CASE c_custkey % 3 WHEN 0 THEN 'select' WHEN 1 THEN 'insert' ELSE 'update' END) AS privileges FROM customer GROUP BY 1, 2")
+def effective_privileges(spark, sf_dir):
+    kind = F.when(F.col("c_custkey") % 3 == 0, "select").when(F.col("c_custkey") % 3 == 1, "insert").otherwise("update")
+    return governed.effective_privileges(t(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("role"), F.concat(F.lit("nation"), F.col("c_nationkey").cast("string")).alias("object"), kind.alias("privilege")))
+
+
+@query("SELECT arm, count(*) AS n, round(avg(score), 6) AS mean_score, 0.4::DOUBLE AS threshold, round(avg(score), 6) >= 0.4 AS passed FROM (SELECT event_type AS arm, CASE user_id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5 ELSE 0 END AS score FROM events) GROUP BY 1")
+def aggregate_score(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    v = e.select(F.col("event_type").alias("arm"), F.when(F.col("user_id") % 3 == 0, "Yes").when(F.col("user_id") % 3 == 1, "Maybe").otherwise("No").alias("verdict"), F.lit(True).alias("valid"), F.lit(False).alias("error"))
+    return scoring.aggregate_score(scoring.verdict_score(v), e.select(F.col("event_type").alias("arm"), F.lit(0.4).cast("double").alias("threshold")).distinct())
+
+
+@query("SELECT DISTINCT p_type AS value FROM part WHERE p_type ILIKE '%br%' ORDER BY value LIMIT 20")
+def distinct_literals(spark, sf_dir):
+    return t(spark, sf_dir, "part").where(F.col("p_type").ilike("%br%")).select(F.col("p_type").alias("value")).distinct().orderBy("value").limit(20)
