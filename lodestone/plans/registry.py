@@ -428,6 +428,6 @@ def aggregate_score(spark, sf_dir):
     return scoring.aggregate_score(scoring.verdict_score(v), e.select(F.col("event_type").alias("arm"), F.lit(0.4).cast("double").alias("threshold")).distinct())
 
 
-@query("SELECT DISTINCT p_type AS value FROM part WHERE p_type ILIKE '%br%' ORDER BY value LIMIT 20")
+@query("SELECT DISTINCT p_type AS value FROM part WHERE p_type ILIKE '%ec%' ORDER BY value LIMIT 20")
 def distinct_literals(spark, sf_dir):
-    return t(spark, sf_dir, "part").where(F.col("p_type").ilike("%br%")).select(F.col("p_type").alias("value")).distinct().orderBy("value").limit(20)
+    return t(spark, sf_dir, "part").where(F.col("p_type").ilike("%ec%")).select(F.col("p_type").alias("value")).distinct().orderBy("value").limit(20)
