@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -9,23 +10,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: An embedder reads no more of a text than this.
-EMBEDDED_CHARS = 4000
+_WORD = re.compile(r"[^\W_]+")
 
 
 class HashingEmbedder:
     """Signed feature hashing of words and word pairs, L2-normalised. Repeatable, without a model file; it knows no synonyms."""
 
+    #: Characters that the embedder can read; None is the whole text. Only one with a context window sets it.
+    max_chars: int | None = None
+
     def __init__(self, dimension: int = 128):
         self.dimension, self.name = dimension, f"hashing-{dimension}"
 
     def encode(self, texts: list[str | None]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dimension), np.float32)
         for i, text in enumerate(texts):
-            words = "".join(ch if ch.isalnum() else " " for ch in (text or "")[:EMBEDDED_CHARS].lower()).split()
-            for f in words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]:
-                h = zlib.crc32(f.encode("utf-8", "ignore"))
-                out[i, (h >> 1) % self.dimension] += 1.0 if h & 1 else -1.0
+            # words are read one by one, so a long text costs no more memory than its lower-case copy
+            total, before = [0] * self.dimension, None
+            for m in _WORD.finditer((text or "").lower()):
+                word = m[0]
+                for f in (word,) if before is None else (word, f"{before} {word}"):
+                    h = zlib.crc32(f.encode("utf-8", "ignore"))
+                    total[(h >> 1) % self.dimension] += 1 if h & 1 else -1
+                before = word
+            out[i] = total
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norm > 0, norm, 1)).tolist()
 
@@ -43,7 +51,8 @@ def embed_batch(df: DataFrame, text_col: str, vector_col: str = "vec", embedder:
         return pd.Series([v for part in rows for v in part], index=texts.index)
 
     if vector_col not in df.columns:
-        return df.withColumn(vector_col, encode(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, EMBEDDED_CHARS)))
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        return df.withColumn(vector_col, encode(text if model.max_chars is None else F.substring(text, 1, model.max_chars)))
     there, missing = df.where(F.col(vector_col).isNotNull()), df.where(F.col(vector_col).isNull())
     return there.unionByName(embed_batch(missing.drop(vector_col), text_col, vector_col, model, batch_size).select(*df.columns))
 

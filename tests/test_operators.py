@@ -1,5 +1,7 @@
 import tempfile
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +105,27 @@ def test_vectors(spark):
         vectors.check_dimension(df, "vec", 3).collect()
 
 
+def test_embedding_reads_whole_texts(spark):
+    texts = ["", "x_y Z-\u00c9t\u00e9 " * 3, " ".join(f"w{i % 977}" for i in range(30_000)), "a " * 4000 + "first", "a " * 4000 + "second"]
+    want = []
+    for text in texts:
+        words = "".join(ch if ch.isalnum() else " " for ch in text.lower()).split()
+        v = np.zeros(128)
+        for f in words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]:
+            h = zlib.crc32(f.encode())
+            v[(h >> 1) % 128] += 1 if h & 1 else -1
+        want.append(v / (np.linalg.norm(v) or 1))
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, c string")
+    got = {r.id: r.vec for r in vectors.embed_batch(df, "c").collect()}
+    for i, v in enumerate(want):
+        assert np.allclose(got[i], v, atol=1e-6), i
+    assert got[3] != got[4]
+    window = vectors.HashingEmbedder()
+    window.max_chars = 4000
+    cut = {r.id: r.vec for r in vectors.embed_batch(df, "c", embedder=window).collect()}
+    assert cut[3] == cut[4]
+
+
 def test_trace(spark):
     log = spark.sql("""SELECT * FROM VALUES
       (1L,'t1','c','s2','user_prompt','ok',NULL,'{"prompt":"hi"}',NULL,TIMESTAMP'2024-01-01 00:00:00',TIMESTAMP'2024-01-01 00:00:01'),
