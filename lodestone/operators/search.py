@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,18 +27,85 @@ def knn_cosine(df: DataFrame, vector: str, query: list[float], k: int, id_col: s
     return ranked(scored, "similarity", id_col, k)
 
 
-def knn_approx(df: DataFrame, vector: str, query: list[float], k: int, id_col: str, post_filter: Column | None = None, tables: int = 4, bucket: float = 0.5, over: int = 4) -> DataFrame:
-    """Nearest rows by locality-sensitive hashing, the predicate after the candidates; exact search where that leaves too few."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
+def _packed(df: DataFrame, vector: str, id_col: str, size: int, names: tuple[str, str], codes: bool = False) -> DataFrame:
+    """Unit vectors (or their 8-bit codes) and ids in blocks of at most ``size`` rows; null and zero vectors are out."""
 
-    there = df.where(F.col(vector).isNotNull()).withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=42).fit(there)
-    near = model.approxNearestNeighbors(there, Vectors.dense(query), k * over).drop("_v", "_h", "distCol")
-    near = near if post_filter is None else near.where(post_filter)
-    found = ranked(near.select(id_col, cosine(vector, query).alias("similarity")), "similarity", id_col, k)
-    return found if found.count() >= k else knn_cosine(df, vector, query, k, id_col, post_filter)
+    def run(batches):
+        for batch in batches:
+            v = batch.column(1)
+            for i in range(0, len(v), size):
+                part = v.slice(i, size)
+                x = part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+                length = np.linalg.norm(x, axis=1)
+                some = length > 0
+                x = x[some] / length[some, None]
+                if codes:
+                    x = np.rint(x * (127 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int8)
+                ids = batch.column(0).slice(i, size).to_numpy()[some]
+                if len(ids):
+                    yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([x.tobytes()])], list(names))
+
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    return rows.mapInArrow(run, f"{names[0]} binary, {names[1]} binary")
+
+
+def _block_best(k: int, kind: str):
+    """Pairs of blocks to the k best rows of each query in the block, ties by id."""
+
+    def unit(raw: bytes, n: int) -> np.ndarray:
+        x = np.frombuffer(raw, kind).reshape(n, -1).astype(np.float64 if kind == "f8" else np.float32)
+        return x if kind == "f8" else x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def run(batches):
+        for batch in batches:
+            for qi, qx, ri, rx in zip(*(batch.column(c) for c in ("qi", "qx", "ri", "rx")), strict=True):
+                queries, rows = np.frombuffer(qi.as_py(), np.int64), np.frombuffer(ri.as_py(), np.int64)
+                # equal vectors must tie in any block, whatever the order of a product's sum
+                score = (unit(qx.as_py(), len(queries)) @ unit(rx.as_py(), len(rows)).T).astype(np.float64).round(12)
+                n = min(k, len(rows))
+                least = -np.partition(-score, n - 1, axis=1)[:, n - 1]
+                at, best = [], []
+                for q in range(len(queries)):
+                    some = np.flatnonzero(score[q] >= least[q])
+                    some = some[np.lexsort((rows[some], -score[q, some]))[:n]]
+                    at.append(np.full(n, queries[q]))
+                    best.append(some)
+                cols = np.concatenate(best)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), pa.array(rows[cols]), pa.array(score[np.repeat(np.arange(len(queries)), n), cols])], ["query_id", "id", "similarity"])
+
+    return run
+
+
+def best_of_each(df: DataFrame, score: str, id_col: str, k: int, out: str = "rank") -> DataFrame:
+    """The k best rows of each query_id, ties by id, with ranks from 1."""
+    return df.withColumn(out, F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), id_col))).where(F.col(out) <= k)
+
+
+def _block_search(df: DataFrame, vector: str, queries: DataFrame, k: int, id_col: str, codes: bool) -> DataFrame:
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = _packed(queries, vector, "query_id", 512, ("qi", "qx"), codes)
+    r = _packed(df.select(id_col, vector).repartition(n), vector, id_col, 4096, ("ri", "rx"), codes)
+    best = r.crossJoin(q).mapInArrow(_block_best(k, "i1" if codes else "f8"), "query_id long, id long, similarity double")
+    return best_of_each(best.withColumnRenamed("id", id_col), "similarity", id_col, k)
+
+
+def knn_every(df: DataFrame, vector: str, queries: DataFrame, k: int, id_col: str, pre_filter: Column | None = None) -> DataFrame:
+    """(query_id, id, similarity, rank): the exact nearest rows of every query (query_id, vector); ids are numbers.
+
+    Blocks of queries meet blocks of rows; a block's k best a query go into the shuffle.
+    """
+    return _block_search(df if pre_filter is None else df.where(pre_filter), vector, queries, k, id_col, False)
+
+
+def knn_approx(df: DataFrame, vector: str, queries: DataFrame, k: int, id_col: str, pre_filter: Column | None = None, over: int = 4) -> DataFrame:
+    """As ``knn_every`` over 8-bit codes of the vectors, an eighth of the bytes; the k * over best by code are ranked by their exact cosine."""
+    some = df if pre_filter is None else df.where(pre_filter)
+    near = _block_search(some, vector, queries, k * over, id_col, True).select("query_id", id_col)
+    both = near.join(some.select(id_col, F.col(vector).alias("_r")), id_col).join(queries.select("query_id", F.col(vector).alias("_q")), "query_id")
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    dot = lambda a, b: add(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
+    cos = dot("_r", "_q") / F.sqrt(dot("_r", "_r") * dot("_q", "_q"))
+    return best_of_each(both.select("query_id", id_col, F.round(cos, 12).alias("similarity")), "similarity", id_col, k)
 
 
 def lexical_search(df: DataFrame, words: Column, query: WebQuery, k: int, id_col: str, pre_filter: Column | None = None) -> DataFrame:
@@ -64,3 +133,13 @@ def hybrid_search(df: DataFrame, vector: str, query_vector: list[float], words:
 def semantic_only(df: DataFrame, vector: str, query_vector: list[float], words: Column, query: WebQuery, id_col: str, k: int = 10) -> DataFrame:
     """Nearest rows that do not match the words."""
     return knn_cosine(df, vector, query_vector, k, id_col, ~matches(words, query))
+
+
+def hybrid_every(df: DataFrame, vector: str, queries: DataFrame, words: Column, query: WebQuery, id_col: str, pre_filter: Column | None = None, candidates: int = 300, k: int = 20, show: list[str] | None = None) -> DataFrame:
+    """``hybrid_search`` for every query vector, with one query of words."""
+    v = knn_every(df, vector, queries, candidates, id_col, pre_filter).withColumnRenamed("rank", "vector_rank")
+    w = lexical_search(df, words, query, candidates, id_col, pre_filter).withColumnRenamed("rank", "lexical_rank")
+    fused = v.join(queries.select("query_id").crossJoin(w), ["query_id", id_col], "full")
+    part = lambda c: F.coalesce(1.0 / (60 + F.col(c)), F.lit(0.0))
+    best = best_of_each(fused.withColumn("rrf_score", F.round(part("vector_rank") + part("lexical_rank"), 8)), "rrf_score", id_col, k)
+    return df.select(id_col, *(show or [])).join(best, id_col)

@@ -277,9 +277,42 @@ def semantic_only(spark, sf_dir):
     return search.semantic_only(d, "embedding", query_vector(spark, sf_dir), lexical.lexemes("text", stemming=False), WEB_QUERY, "doc_id").withColumn("similarity", F.round("similarity", 6))
 
 
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searches' queries: every row whose id is divisible by 50."""
+    return t(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+_ALL = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+_QUERIES = "q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0)"
+_BEST = "row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id)"
+
+
+@query(f"WITH {_QUERIES}, c AS (SELECT query_id, vec_id, {_ALL} AS s FROM embeddings e, q) SELECT query_id, vec_id, round(s, 6) AS similarity, {_BEST} AS rank FROM c QUALIFY rank <= 50")
+def knn_cosine_every(spark, sf_dir):
+    found = search.knn_every(t(spark, sf_dir, "embeddings"), "embedding", query_vectors(spark, sf_dir), 50, "vec_id")
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"WITH {_LEX}, {_QUERIES}, c AS (SELECT query_id, vec_id, {_ALL} AS s FROM embeddings e JOIN documents ON doc_id = vec_id, q WHERE doc_id NOT IN (SELECT doc_id FROM m)) SELECT query_id, vec_id AS doc_id, round(s, 6) AS similarity, {_BEST} AS rank FROM c QUALIFY rank <= 10")
+def semantic_only_every(spark, sf_dir):
+    unmatched = ~lexical.matches(lexical.lexemes("text", stemming=False), WEB_QUERY)
+    found = search.knn_every(_documents_with_vectors(spark, sf_dir), "embedding", query_vectors(spark, sf_dir), 10, "doc_id", unmatched)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""WITH {_LEX}, {_QUERIES}, c AS (SELECT query_id, vec_id, {_ALL} AS s FROM embeddings e JOIN documents ON doc_id = vec_id, q WHERE lang = 'en'), vx AS (SELECT query_id, vec_id AS doc_id, s, {_BEST} AS vector_rank FROM c QUALIFY vector_rank <= 300),
+ lq AS (SELECT query_id, lx.* FROM lx, q), f AS (SELECT query_id, doc_id, round(s, 6) AS similarity, vector_rank, lexical_score, lexical_rank,
+ round(coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0), 8) AS rrf_score FROM lq FULL JOIN vx USING (query_id, doc_id))
+ SELECT f.*, source, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id) AS rank FROM f JOIN documents USING (doc_id) QUALIFY rank <= 20""")
+def hybrid_search_every(spark, sf_dir):
+    d = _documents_with_vectors(spark, sf_dir)
+    found = search.hybrid_every(d, "embedding", query_vectors(spark, sf_dir), lexical.lexemes("text", stemming=False), WEB_QUERY, "doc_id", F.col("lang") == "en", show=["source"])
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 @query()
 def knn_approx(spark, sf_dir):
-    return search.knn_approx(t(spark, sf_dir, "embeddings"), "embedding", query_vector(spark, sf_dir), 20, "vec_id")
+    return search.knn_approx(t(spark, sf_dir, "embeddings"), "embedding", query_vectors(spark, sf_dir), 20, "vec_id")
 
 
 @query()

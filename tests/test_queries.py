@@ -20,3 +20,15 @@ def test_approximate_neighbours_find_the_nearest(spark, sf_dir):
 def test_link_filters_reach_the_scan(spark, sf_dir):
     plan = registry.QUERIES["recall_to_complaint_link"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(l_linenumber), GreaterThan(l_linenumber,1)" in plan
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_recall_of_approximate_neighbours_over_every_query(spark, sf):
+    d = f"/root/testdata/{sf}"
+    n = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 50 = 0").count()
+    pairs = lambda name: {(r.query_id, r.vec_id) for r in registry.QUERIES[name](spark, d).where("rank <= 20 AND query_id <> vec_id").collect()}
+    exact, approx = pairs("knn_cosine_every"), pairs("knn_approx")
+    assert len({q for q, _ in exact}) == len({q for q, _ in approx}) == n
+    recall = len(exact & approx) / len(exact)
+    print("recall", sf, n, recall)
+    assert recall >= 0.9
