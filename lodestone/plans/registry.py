@@ -163,6 +163,14 @@ def recall_to_complaint_link(spark, sf_dir):
     return joins.recall_link(o, l, ["k"], "notified", "l_shipdate", ["l_quantity"]).select(F.col("k").alias("o_orderkey"), "o_orderdate", "n_complaints", "n_after", "sum_l_quantity")
 
 
+@query("SELECT o_orderkey, o_orderdate, count(l_orderkey) AS n_complaints, count(*) FILTER (l_shipdate > o_orderdate + INTERVAL 30 DAY) AS n_after, sum(CAST(l_quantity AS BIGINT))::BIGINT AS sum_l_quantity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
+def recall_to_complaint_link_whole(spark, sf_dir):
+    """Every recall and every complaint; ``recall_to_complaint_link`` reads the part that its SQL names."""
+    o = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_orderdate", F.expr("o_orderdate + interval 30 days").alias("notified"))
+    l = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_shipdate", F.col("l_quantity").cast("long").alias("l_quantity"))  # noqa: E741
+    return joins.recall_link(o, l, ["k"], "notified", "l_shipdate", ["l_quantity"]).select(F.col("k").alias("o_orderkey"), "o_orderdate", "n_complaints", "n_after", "sum_l_quantity")
+
+
 _SANITY = "a AS (SELECT o_custkey AS k, count(*) AS l FROM orders GROUP BY 1), b AS (SELECT c_custkey AS k, count(*) AS r FROM customer GROUP BY 1), j AS (SELECT * FROM a FULL JOIN b USING (k))"
 
 

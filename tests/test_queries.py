@@ -32,3 +32,19 @@ def test_recall_of_approximate_neighbours_over_every_query(spark, sf):
     recall = len(exact & approx) / len(exact)
     print("recall", sf, n, recall)
     assert recall >= 0.9
+
+
+def test_link_takes_every_recall_and_complaint(spark, tmp_path):
+    import datetime as dt
+
+    day = dt.datetime(1996, 1, 1)
+    spark.createDataFrame([(k, day) for k in range(1, 9)], "o_orderkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(k, n, day + dt.timedelta(days=30 * n), 2.0 * n) for k in (3, 7, 8) for n in (1, 2, 3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_shipdate timestamp, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.o_orderkey: (r.n_complaints, r.n_after, r.sum_l_quantity) for r in registry.QUERIES["recall_to_complaint_link_whole"](spark, str(tmp_path)).collect()}
+    assert got == {k: (3, 2, 12) if k in (3, 7, 8) else (0, 0, None) for k in range(1, 9)}
+
+
+def test_link_counts_every_row(spark, sf_dir):
+    r = registry.QUERIES["recall_to_complaint_link_whole"](spark, sf_dir).selectExpr("count(*) AS n", "sum(n_complaints) AS lines").first()
+    assert (r.n, r.lines) == tuple(spark.read.parquet(f"{sf_dir}/{x}.parquet").count() for x in ("orders", "lineitem"))
