@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.lexical import lexemes, parse_web_query
-from ..functions.vectors import HashingEmbedder, embed_batch
-from .search import knn_cosine, lexical_search, rrf
+from ..functions.lexical import cover_rank, lexemes, matches, parse_web_query
+from ..functions.vectors import HashingEmbedder, cosine, embed_batch
+from .search import tied_ranks
 
 COLUMNS = "source_type string, entity_type string, relation_name string, column_name string, object_ref string, definition string, comment string"
 
@@ -83,20 +83,34 @@ def check(catalog: DataFrame, least_columns: int) -> DataFrame:
     return s.select(F.when(F.col("total") == 0, "FAIL: empty").when(F.col("columns") < least_columns, "FAIL: columns").when(F.col("pending") > 0, "PARTIAL").otherwise("PASS").alias("verdict"))
 
 
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """In the folder that all executors share, or a local one where that is unset (tests)."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def search(catalog: DataFrame, query: str, embedder: HashingEmbedder, top_k: int = 10, entity_types: list[str] | None = None, min_similarity: float = 0.0, rrf_k: int = 60, arms: tuple = ("definition", "comment", "words"), offset: int = 0) -> DataFrame:
-    """Definition, comment and word arms, each floored before fusion by reciprocal rank."""
+    """Definition, comment and word arms, each floored before fusion by reciprocal rank.
+
+    Every row that an arm finds has a rank in it, tied rows the same one, and only the fused rows are cut.
+    """
     some = catalog if entity_types is None else catalog.where(F.col("entity_type").isin(entity_types))
-    vector, deep = embedder.encode_query(query), max(100, top_k + offset)
+    vector, asked = embedder.encode_query(query), parse_web_query(" OR ".join(query.split()))
     words = lexemes(F.concat_ws(" ", F.regexp_replace("object_ref", "[._]", " "), "definition", "comment"))
-    build: dict[str, Callable] = {
-        "definition": lambda: knn_cosine(some, "definition_vec", vector, deep, "object_ref").where(F.col("similarity") >= min_similarity),
-        "comment": lambda: knn_cosine(some.where("comment is not null"), "comment_vec", vector, deep, "object_ref").where(F.col("similarity") >= min_similarity),
-        "words": lambda: lexical_search(some, words, parse_web_query(" OR ".join(query.split())), deep, "object_ref"),
-    }
-    found = {a: build[a]() for a in arms}
-    ranks = reduce(lambda x, y: x.join(y, "object_ref", "full"), [d.select("object_ref", F.col("rank").alias(f"{a}_rank")) for a, d in found.items()])
-    fused = rrf(list(found.values()), "object_ref", rrf_k).join(ranks, "object_ref")
-    best = fused.orderBy(F.desc("rrf_score"), "object_ref").offset(offset).limit(top_k)
+
+    def near(c: str):
+        similarity = F.round(cosine(c, vector), 12)
+        return F.when(similarity >= min_similarity, similarity)
+
+    score = {"definition": near("definition_vec"), "comment": F.when(F.col("comment").isNotNull(), near("comment_vec")), "words": F.when(matches(F.col("_words"), asked), F.round(cover_rank(F.col("_words"), asked), 6))}
+    # embedded and read once: each arm counts the scores and joins them with their ranks
+    scored = _checkpoint(some.withColumn("_words", words).select("object_ref", *[score[a].alias(a) for a in arms]))
+    found = reduce(DataFrame.unionByName, [tied_ranks(scored.select("object_ref", F.col(a).alias("score")), "score", "rank").select("object_ref", F.lit(a).alias("arm"), "rank") for a in arms])
+    ranks = found.groupBy("object_ref").agg(*[F.max(F.when(F.col("arm") == a, F.col("rank"))).alias(f"{a}_rank") for a in arms])
+    part = [F.coalesce(1.0 / (rrf_k + F.col(f"{a}_rank")), F.lit(0.0)) for a in arms]
+    best = ranks.withColumn("rrf_score", reduce(lambda x, y: x + y, part)).orderBy(F.desc("rrf_score"), "object_ref").offset(offset).limit(top_k)
     return some.drop("definition_vec", "comment_vec", "hash").join(F.broadcast(best), "object_ref")
 
 

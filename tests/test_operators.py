@@ -1,3 +1,4 @@
+import re
 import tempfile
 import zlib
 
@@ -187,6 +188,36 @@ def test_catalogue(spark):
     assert catalog.name_variants(spark.createDataFrame([("a",), ("a_old",), ("b",)], "name string")).first().names == ["a", "a_old"]
 
 
+def test_catalogue_search_against_brute_force(spark):
+    """400 rows share a comment; the best definitions among them have the last ids."""
+    model = vectors.HashingEmbedder(32)
+    rows = [(f"t.c{i:03}", f"text {i % 23} of {'brake' if i % 5 else 'fire'} {'engine fire ' * (i // 150)}", "engine data" if i < 400 else f"other {i % 7}" if i % 3 else None) for i in range(500)]
+    frame = spark.createDataFrame([("schema", "column", "t", r[0], *r) for r in rows], catalog.COLUMNS)
+    ask = "engine fire"
+    q = np.array(model.encode_query(ask))
+
+    def near(text):
+        v = np.array(model.encode([text])[0])
+        s = round(float(v @ q / (np.linalg.norm(v) * np.linalg.norm(q))), 12) if text is not None and v.any() else None
+        return s if s is not None and s >= 0 else None
+
+    def words(r):
+        own = [lexical.stem_word(w) for w in re.findall("[a-z0-9]+", f"{r[0].replace('.', ' ')} {r[1]} {r[2] or ''}") if w not in lexical.STOP_WORDS]
+        return round(0.1 * sum(w in ("engine", "fire") for w in own), 6) or None
+
+    total = dict.fromkeys((r[0] for r in rows), 0.0)
+    for arm in ([near(r[1]) for r in rows], [near(r[2]) for r in rows], [words(r) for r in rows]):
+        for r, s in zip(rows, arm, strict=True):
+            if s is not None:
+                total[r[0]] += 1 / (60 + 1 + sum(x is not None and x > s for x in arm))
+    want = sorted(total.items(), key=lambda x: (-round(x[1], 12), x[0]))
+    kb = catalog.embed_catalog(frame, model)
+    for offset in (0, 7):
+        got = sorted(((r.object_ref, r.rrf_score) for r in catalog.search(kb, ask, model, 10, offset=offset).collect()), key=lambda x: (-round(x[1], 12), x[0]))
+        assert [g[0] for g in got] == [w[0] for w in want[offset : offset + 10]]
+        assert np.allclose([g[1] for g in got], [w[1] for w in want[offset : offset + 10]])
+
+
 def test_relations(spark):
     e = spark.createDataFrame([(1, "inv", ["campno"], "rcl", ["campno"], "key", 0.9), (2, "cmpl", ["make"], "rcl", ["maketxt"], "key", 0.8), (3, "cmpl", ["make"], "inv", ["make"], "key", 0.5)], "id long, left_object string, left_columns array<string>, right_object string, right_columns array<string>, kind string, confidence double")
     paths = relations.find_join_path(e, "inv", "cmpl").collect()
