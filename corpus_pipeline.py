@@ -3,8 +3,8 @@
 Each stage gets the documents that the one before kept, and its decisions take
 effect. Every stage but the last returns the columns of ``documents``; mixing
 repeats a document as often as it is taken, and packing returns the pieces with
-their places in sequences. Documents with a null id are kept by toxicity and
-follow the operators' rules for null ids in the other stages.
+their places in sequences. Decisions apply to rows: repeated rows are copies, and
+null ids, which are larger than any id, neither keep a row nor multiply it.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import exact, mixing, packing, simhash, toxicity
-from lodestone.llm.shared import new_dir
+from lodestone.llm.shared import new_dir, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 THRESHOLD = 0.7
@@ -28,22 +28,35 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.score(docs, model, keep=kept).where(F.col("score") < THRESHOLD).select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, written down so that it stays: ids may repeat or be null."""
+    return stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")), "rows")
+
+
+def _first_rows(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of each group (_of, _group) the row with the smallest id, null ids last, and of those one."""
+    ids = rows.select("row_key", "doc_id").join(groups, F.col("row_key") == F.col("_of"))
+    first = ids.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("_first"))
+    return rows.join(first.select(F.col("_first.row_key").alias("_kept")), F.col("row_key") == F.col("_kept"), "left_semi").select(*COLUMNS)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest id stays."""
-    kept = exact.exact_duplicates(docs).where("kept OR doc_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+    rows = _keyed(docs)
+    return _first_rows(rows, exact.exact_duplicates(rows, "row_key").select(F.col("doc_id").alias("_of"), F.col("keep_id").alias("_group")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document that names it stays."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+    """Of each group of linked fingerprints the row with the smallest id stays."""
+    rows = _keyed(docs)
+    return _first_rows(rows, simhash.near_duplicates(rows, "row_key").select(F.col("doc_id").alias("_of"), F.col("component_id").alias("_group")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each document as often as the mix takes it."""
-    taken = mixing.mix(docs).where("copies > 0").select(F.col("id").alias("_id"), "copies")
-    joined = docs.join(taken, docs.doc_id.eqNullSafe(F.col("_id")))
+    """Repeat each row as often as the mix takes it."""
+    rows = _keyed(docs)
+    taken = mixing.mix(rows, key_col="row_key").where("copies > 0").select(F.col("row_key").alias("_of"), "copies")
+    joined = rows.join(taken, F.col("row_key") == F.col("_of"))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 

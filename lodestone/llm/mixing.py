@@ -49,20 +49,21 @@ def source_targets(sources: DataFrame, weights: tuple = WEIGHTS, cap: float = CA
     return t.select("source", "source_size", F.least("_cap", F.col("_w") * F.col("_final")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) for every row of ``docs``."""
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"))
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, cap: float = CAP, key_col: str | None = None) -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken) for every row of ``docs``, and its ``key_col`` where ids do not tell rows apart."""
+    key = [key_col] if key_col else []
+    sized = docs.select(*key, F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"))
     digest = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
     bits = "length(bin(size))"
-    sized = stored(sized.select("id", "source", "size", F.expr(f"cast({bits} * 32 + shiftright(size, greatest({bits} - 5, 0)) as long)").alias("size_class"), F.substring(digest, 1, 1).alias("part")), "sized")
+    sized = stored(sized.select(*key, "id", "source", "size", F.expr(f"cast({bits} * 32 + shiftright(size, greatest({bits} - 5, 0)) as long)").alias("size_class"), F.substring(digest, 1, 1).alias("part")), "sized")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap).withColumnRenamed("source", "_source")
     ranked = sized.withColumn("place", F.concat(F.lpad(F.col("size_class").cast("string"), 6, "0"), "part"))
-    ranked = distributed_rank(ranked, ["source"], "place", ["id"], "rank")
+    ranked = distributed_rank(ranked, ["source"], "place", ["id", *key], "rank")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = (F.conv(F.substring(F.md5(F.coalesce(F.col("source"), F.lit("")).cast("binary")), 1, 6), 16, 10).cast("double") + 0.5) / 16777216.0
     joined = ranked.join(targets, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_rate", rate).withColumn("_u", offset)
     copies = F.least(F.floor(F.col("_rate") * (F.col("rank") + 1) + F.col("_u")) - F.floor(F.col("_rate") * F.col("rank") + F.col("_u")), F.ceil(F.lit(cap))).cast("long")
-    return joined.select("id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return joined.select(*key, "id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 #: DuckDB SQL for op7's result.

@@ -184,6 +184,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fingerprint, component_id) for every row of ``docs``."""
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    joined = components(links(nodes.where("id is not null"), distance))
-    named = nodes.join(joined, nodes.id == joined.node, "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "id").alias("component_id"))
+    # fingerprints are linked under themselves, so that those of null ids alone link too
+    joined = components(links(nodes.select(F.col("fp").alias("id"), "fp"), distance))
+    grouped = nodes.join(joined, nodes.fp == joined.node, "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "fp").alias("_group"), "id")
+    named = grouped.join(grouped.groupBy("_group").agg(F.min("id").alias("component_id")), "_group").select("_fp", "component_id")
     return rows.join(named, F.col("fp") == F.col("_fp"), "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

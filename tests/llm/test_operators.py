@@ -265,3 +265,29 @@ def test_pipeline_stages(spark, sf_dir):
             assert len(norm) == len(set(norm)) == docs.select(exact.normalised("text")).distinct().count()
         docs = out
     assert docs.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
+
+
+def test_null_ids_link_like_others(spark):
+    long = " ".join(f"w{i}" for i in range(600))
+    got = simhash.near_duplicates(spark.createDataFrame([(None, long), (None, long + " x"), (7, long + " y"), (9, "some other text of its own")], "doc_id long, text string")).collect()
+    assert len({r.fingerprint for r in got}) > 2 and Counter((r.doc_id, r.component_id) for r in got) == Counter([(None, 7), (None, 7), (7, 7), (9, 9)])
+
+
+def test_pipeline_decides_for_rows(spark):
+    import corpus_pipeline as cp
+
+    long = " ".join(f"w{i}" for i in range(600))
+    rows = [(1, "same text")] * 3 + [(None, "same text")] * 2 + [(None, "null alone")] * 3 + [(2, "one of id two"), (2, "another text of id two")] + [(None, long), (None, long + " x")]
+    docs = spark.createDataFrame([(i, x, "en", "a", len(x)) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda d: Counter((r.doc_id, r.text) for r in d.collect())
+    exact_left = left(cp.drop_copies(spark, docs, ""))
+    assert exact_left == Counter({(1, "same text"): 1, **{r: 1 for r in rows[5:]}})
+    near_left = left(cp.drop_near_copies(spark, docs, ""))
+    assert sum(near_left.values()) == 5 and sum(n for (_, x), n in near_left.items() if x.startswith(long)) == 1 and set(near_left) < set(exact_left)
+    taken = Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r.id] += r.copies
+    mixed = Counter()
+    for (i, _), n in left(cp.mix_sources(spark, docs, "")).items():
+        mixed[i] += n
+    assert mixed == +taken and sum(mixed.values()) <= 3 * len(rows)
