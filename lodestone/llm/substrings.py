@@ -10,10 +10,10 @@
    sends the bytes of the contexts of those anchors, equal ones once, to the
    anchors' shards. An anchor that more than ``hot`` places have is dealt by its
    strings instead, so that a frequent phrase spreads.
-3. A shard lays the contexts of an anchor one after the other as a text of 8-byte
-   letters, a context that several documents have twice: for its smallest id and
-   for the others, which share one fate. It builds the suffix array of every
-   text. A 50-byte string holds five whole letters; suffixes with equal first
+3. A shard lays contexts one after the other as texts of 8-byte letters: every
+   context that several documents have, twice, for its smallest id and for the
+   others, which share one fate; and of those of one anchor the letters that
+   they have in common with another. It builds the suffix array of every text. A 50-byte string holds five whole letters; suffixes with equal first
    five, now neighbours, are a run. A string is a repeat if its run holds it for
    a smaller id; the bytes beside the five letters are compared.
 4. Repeats go back to their bucket, where a document drops their union.
@@ -502,16 +502,27 @@ def _row_hash(words: np.ndarray) -> np.ndarray:
     return h
 
 
-def repeated_strings(rows: np.ndarray, column: np.ndarray, size: np.ndarray, group: np.ndarray, doc: np.ndarray, twin: np.ndarray) -> np.ndarray:
-    """Which strings of laid out contexts repeat one of a smaller id: by context and the string's first column.
-
-    ``group``: ascending; only contexts of one group are compared. ``twin``: the number of an equal context
-    of a smaller id, or -1; its strings need no look at the bytes beside the letters.
-    """
-    n = len(rows)
-    letters = rows.view("<u8")
-    a, b = -(-column // LETTER), (column + size) // LETTER
-    # texts: whole letters and a 1 behind each context, a 0 behind the last of a group
+def _shared_letters(letters: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By context: the stretch of letters in which it shares five with another one, by their hash; 0, 0 where it shares none."""
+    who, at, keys = [], [], []
+    for c in range(WIDTH // LETTER - WHOLE + 1):
+        k = np.flatnonzero((c >= a) & (c + WHOLE <= b))
+        who.append(k)
+        at.append(np.full(len(k), c))
+        keys.append(_row_hash(letters[k, c : c + WHOLE]))
+    _, number, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    hit = times[number] > 1
+    who, at = np.concatenate(who)[hit], np.concatenate(at)[hit]
+    first, last = np.full(len(letters), WIDTH), np.zeros(len(letters), np.int64)
+    np.minimum.at(first, who, at)
+    np.maximum.at(last, who, at + WHOLE)
+    return np.minimum(first, last), last
+
+
+def _runs(letters: np.ndarray, a: np.ndarray, b: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """By row of letters (from a to b) and letter: a number that rows of one group share where five letters from there are equal; -1 where fewer follow. group: ascending."""
+    n = len(letters)
+    # texts: the letters and a 1 behind each row, a 0 behind the last of a group
     width = b - a + 1
     begin = np.concatenate([[0], np.cumsum(width)])
     owner = np.repeat(np.arange(n), width)
@@ -523,38 +534,56 @@ def repeated_strings(rows: np.ndarray, column: np.ndarray, size: np.ndarray, gro
     text[begin[ends[1:]] - 1] = 0
     order = suffix_arrays(text, begin[np.append(heads, n)])
     order = order[(letter + WHOLE <= b[owner])[order]]
-    run_of = np.full((n, WIDTH // LETTER), -1)
-    covered = np.zeros((n, PLACES), bool)
-    if not len(order):
-        return covered
-    # neighbours with equal first letters are a run
-    first = text[order[:, None] + np.arange(WHOLE)]
-    o, c = owner[order], letter[order]
-    new = np.concatenate([[True], (first[1:] != first[:-1]).any(axis=1) | (group[o[1:]] != group[o[:-1]])])
-    run = np.cumsum(new) - 1
-    run_of[o, c] = run
-    places = np.arange(PLACES)
-    is_string = (places >= column[:, None]) & (places <= (column + size - LENGTH)[:, None])
-    at_letter = -(-places // LETTER)
-    second = np.flatnonzero(twin >= 0)
-    covered[second] = ((run_of[second] == run_of[twin[second]]) & (run_of[second] >= 0))[:, at_letter] & is_string[second]
-    # runs with several contexts of several smallest ids: compare what is beside the letters
-    edge = np.flatnonzero(new)
-    look = (np.minimum.reduceat(doc[o], edge) < np.maximum.reduceat(doc[o], edge))[run] & (twin[o] < 0)
-    several = np.bincount(run[look], minlength=len(edge)) > 1
-    pick = np.flatnonzero(look & several[run])
-    string = is_string[o[pick]] & (at_letter == c[pick][:, None])
-    k, place = np.nonzero(string)
+    out = np.full((n, WIDTH // LETTER), -1)
+    if len(order):  # neighbours with equal first letters are a run
+        first = text[order[:, None] + np.arange(WHOLE)]
+        o = owner[order]
+        out[o, letter[order]] = np.cumsum(np.concatenate([[True], (first[1:] != first[:-1]).any(axis=1) | (group[o[1:]] != group[o[:-1]])]))
+    return out
+
+
+def _strings(column: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """By context and column: does a string of the context begin there?"""
+    return (np.arange(PLACES) >= column[:, None]) & (np.arange(PLACES) <= (column + size - LENGTH)[:, None])
+
+
+#: By a string's first column: its first whole letter.
+_FIRST_LETTER = -(-np.arange(PLACES) // LETTER)
+
+
+def twins(rows: np.ndarray, column: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which strings of contexts repeat an equal context's, each pair in a text of its own."""
+    letters, a, b = (np.repeat(x, 2, axis=0) for x in (rows.view("<u8"), -(-column // LETTER), (column + size) // LETTER))
+    run = _runs(letters, a, b, np.repeat(np.arange(len(rows)), 2))
+    return ((run[::2] == run[1::2]) & (run[::2] >= 0))[:, _FIRST_LETTER] & _strings(column, size)
+
+
+def among(rows: np.ndarray, column: np.ndarray, size: np.ndarray, group: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which strings of contexts repeat one of a smaller id in another context of their group. a, b: the letters to compare; equal ones are laid out once."""
+    letters = np.where((np.arange(WIDTH // LETTER) >= a[:, None]) & (np.arange(WIDTH // LETTER) < b[:, None]), rows.view("<u8"), 0).astype("<u8")
+    shape = np.stack([group, a, b], 1).astype("<u8")
+    first, number = _same(_row_hash(np.concatenate([letters, shape], axis=1)), np.concatenate([letters, shape], axis=1))
+    order = np.argsort(group[first], kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    run_of = _runs(letters[first[order]], a[first[order]], b[first[order]], group[first[order]])[place[number]]
+    covered = np.zeros((len(rows), PLACES), bool)
+    o, c = np.nonzero(run_of >= 0)
+    run = run_of[o, c]
+    # runs of several smallest ids: compare what is beside the letters
+    low, high = np.full(run.max(initial=0) + 1, NO_ID), np.full(run.max(initial=0) + 1, -NO_ID - 1)
+    np.minimum.at(low, run, doc[o])
+    np.maximum.at(high, run, doc[o])
+    pick = np.flatnonzero((low < high)[run])
+    k, place = np.nonzero(_strings(column, size)[o[pick]] & (_FIRST_LETTER == c[pick][:, None]))
     if not len(k):
         return covered
     who, r = o[pick][k], run[pick][k]
-    text50 = rows[who[:, None], place[:, None] + np.arange(LENGTH)]
-    rest = np.arange(REST)
-    before = (c[pick][k] * LETTER - place)[:, None]
+    string = rows[who[:, None], place[:, None] + np.arange(LENGTH)]
+    rest, before = np.arange(REST), (c[pick][k] * LETTER - place)[:, None]
     beside = np.zeros((len(k), 16), np.uint8)
-    beside[:, :REST] = np.take_along_axis(text50, np.where(rest < before, rest, rest + WHOLE * LETTER), 1)
-    key = tx.pair(_row_hash(beside.view("<u8")), (r * LETTER + before[:, 0]).astype(np.uint64))
-    _, number = _same(key, text50)
+    beside[:, :REST] = np.take_along_axis(string, np.where(rest < before, rest, rest + WHOLE * LETTER), 1)
+    _, number = _same(tx.pair(_row_hash(beside.view("<u8")), (r * LETTER + before[:, 0]).astype(np.uint64)), string)
     by = np.lexsort((doc[who], number))
     at, ends = _edges(number[by])
     least = np.repeat(doc[who][by][at], np.diff(ends))
@@ -585,15 +614,16 @@ def _find(key, table):
     np.minimum.at(low, group, least)
     np.maximum.at(high, group, most)
     one = np.flatnonzero((low < high)[group])
-    two = one[most[one] > least[one]]
+    a, b = _shared_letters(words[one], -(-column[one] // LETTER), (column[one] + size[one]) // LETTER)
+    low[:], high[:] = NO_ID, -NO_ID - 1
+    np.minimum.at(low, group[one[b > a]], least[one[b > a]])
+    np.maximum.at(high, group[one[b > a]], least[one[b > a]])
+    # with letters in common, and not all of one smallest id
+    own = np.flatnonzero((b > a) & (low < high)[group[one]])
+    one, a, b = one[own], a[own], b[own]
+    two = np.flatnonzero(most > least)
     of = np.concatenate([one, two])
-    stands_for = np.concatenate([least[one], most[two]])
-    mate = np.concatenate([np.full(len(one), -1), np.searchsorted(one, two)])
-    order = np.argsort(group[of], kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    twin = np.where(mate[order] >= 0, place[np.maximum(mate[order], 0)], -1)
-    covered = repeated_strings(rows[of[order]], column[of[order]], size[of[order]], group[of[order]], stands_for[order], twin)[place] if len(of) else np.zeros((0, PLACES), bool)
+    covered = np.concatenate([among(rows[one], column[one], size[one], group[one], least[one], a, b), twins(rows[two], column[two], size[two])])
     # stretches of strings by context: those of the smallest id, and those of the others
     padded = np.zeros((len(of), PLACES + 2), np.int8)
     padded[:, 1:-1] = covered
