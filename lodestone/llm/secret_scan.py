@@ -1,16 +1,23 @@
 """Secret scans: a linear-chain conditional random field over tokens, beside three fixed patterns.
 
 Tokens are runs of letters, digits, `_`, `+`, `/`, `-` and non-ASCII bytes. A
-token is tagged as a secret's begin, its inside or outside, from its shape, the
+token is tagged as a secret's begin, its inside or outside, from its shape (length,
+kinds of characters and how often they change, distinct characters, vowels), the
 neighbouring words, what stands before it and how many digits and symbols its
-file has. Weights are trained by AdaGrad on the conditional likelihood
-(forward-backward over windows of tokens), with the patterns' matches as tags.
-Decoding is Viterbi. A token whose score for outside exceeds its others by more
+file has. What the token itself says is no feature, so that secrets which no text
+has had are found. Weights are trained by AdaGrad on the conditional likelihood
+(forward-backward over windows of tokens). Decoding is Viterbi. A token whose score for outside exceeds its others by more
 than any transitions can repay is outside on every best path, so Viterbi runs
 only over the stretches between such tokens; the result is the same.
 
+The patterns' matches are the tags to learn from. A match is shown as it is, without the keyword
+before it, and with the secret written anew in the alphabets and with the kinds of prefixes that
+keys come in (``variants``), or the field would learn the patterns and no more. Outside
+tokens come from windows at random places, at the longest token and at the one with the most digits.
+
 The model is fitted on at most ``max_rows`` rows, those with the smallest hash
-of their id, and gathers at most four windows from each. Null and empty texts have no
+of their id; from each it takes at most ``per_text`` matches, and from one text in ``background`` three
+windows elsewhere. These three are parameters of ``fit``, and bound what reaches the driver. Null and empty texts have no
 spans. Without a match to learn from, nothing but the patterns' spans is found.
 Repeated rows are scanned each; whole texts are scanned, however long.
 """
@@ -37,7 +44,7 @@ _HEX = re.compile(r"[0-9a-f]+")
 #: A text without any of these has no match of the patterns.
 _HINT = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}"
 _TOKEN = tx.byte_table(bytes(b for b in range(128) if not (chr(b).isalnum() or chr(b) in "_+/-")), lower=True)
-BITS, N_FEATURES, HALF = 14, 8, 12
+BITS, N_FEATURES, HALF = 14, 10, 12
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -47,7 +54,9 @@ def _class(chars: bytes) -> np.ndarray:
 
 
 _DIGIT, _UPPER = _class(b"0123456789"), _class(bytes(range(65, 91)))
-_HEXLETTER, _LOWER = _class(b"abcdefABCDEF"), _class(bytes(range(97, 123)))
+_HEXLETTER, _LOWER, _VOWEL = _class(b"abcdefABCDEF"), _class(bytes(range(97, 123))), _class(b"aeiouAEIOU")
+#: Lower and upper case, digits, other ASCII, other bytes.
+_KIND = np.where(_LOWER, 1, np.where(_UPPER, 2, np.where(_DIGIT, 3, np.where(np.arange(256) < 128, 4, 5))))
 _GAP = np.zeros(256, np.int64)
 for _value, _chars in ((1, b" \t"), (2, b"\n\r"), (4, b"=:"), (8, b"\"'`"), (16, b".,;!?"), (32, b"()[]{}<>|#*$%&@~^\\")):
     _GAP[list(_chars)] = _value
@@ -61,11 +70,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _bytes_at(text: str, i: int) -> int:
+    return len(text[:i].encode("utf-8", "surrogatepass"))
+
+
 def _secret_parts(text: str) -> list[tuple[int, int]]:
     """What of the matches is the secret itself, in bytes."""
     parts = [m.span(2) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6] + [m.span() for p, n in ((_ACCESS, 20), (_HEX, 24)) for m in p.finditer(text) if len(m[0]) >= n]
-    at = lambda i: len(text[:i].encode("utf-8", "surrogatepass"))
-    return [(at(a), at(b)) for a, b in parts]
+    return [(_bytes_at(text, a), _bytes_at(text, b)) for a, b in parts]
 
 
 def token_features(data: np.ndarray, off: np.ndarray) -> tuple[tx.Tokens, np.ndarray]:
@@ -77,9 +89,20 @@ def token_features(data: np.ndarray, off: np.ndarray) -> tuple[tx.Tokens, np.nda
     h, row = t.hashes(), t.row()
     count = lambda flag: np.diff(np.concatenate([[0], np.cumsum(flag[data], dtype=np.int64)])[np.stack([t.start, t.end], 1)], axis=1)[:, 0]
     size = t.end - t.start
-    digits, upper, lower, hexes = count(_DIGIT), count(_UPPER), count(_LOWER), count(_HEXLETTER)
+    digits, upper, lower, hexes, vowels = count(_DIGIT), count(_UPPER), count(_LOWER), count(_HEXLETTER), count(_VOWEL)
     length = np.minimum(size, 15) + (size > 20) + (size > 28) + (size > 40)
     shape = (((length * 4 + np.minimum(digits, 6) // 2) * 2 + (upper > 0)) * 2 + (lower > 0)) * 2 + (digits + hexes == size)
+    kinds = _KIND[data]
+    change = np.concatenate([[0], np.cumsum(np.concatenate([[False], kinds[1:] != kinds[:-1]]))])
+    changes = change[t.end] - change[t.start + 1]
+    # distinct bytes of what is long enough for a secret
+    distinct = np.zeros(n, np.int64)
+    some = np.flatnonzero(size >= 8)
+    if len(some):
+        who = np.repeat(some, size[some])
+        at = np.arange(len(who)) - np.repeat(np.cumsum(size[some]) - size[some], size[some]) + t.start[who]
+        distinct += np.bincount(np.unique(who * 256 + data[at]) >> 8, minlength=n)
+    spelt = np.where(upper + lower > 0, vowels * 8 // np.maximum(upper + lower, 1), 9)
     # what stands before a token: the kinds of bytes since the last one of the same text
     before = np.maximum(np.concatenate([[0], t.end[:-1]]), off[row])
     gap = np.zeros(n, np.int64)
@@ -93,7 +116,10 @@ def token_features(data: np.ndarray, off: np.ndarray) -> tuple[tx.Tokens, np.nda
     share = lambda flag: np.minimum(tx.sums(flag[data], off) * 100 // np.maximum(np.diff(off), 1), 15)[row]
     file = share(_DIGIT) * 16 + share((_GAP >= 32).astype(np.int64))
     mixed = np.minimum(digits, 9) * 10 + np.minimum(upper, 9)
-    values = [shape, h, previous, following, shape * 64 + gap, file * 32 + length, mixed * 32 + length, pair_of(previous, gap)]
+    values = [
+        shape, np.minimum(changes, 15) * 32 + length, np.minimum(distinct, 24) * 32 + length, spelt * 32 + length, mixed * 32 + length,
+        (np.minimum(changes, 7) * 8 + np.minimum(digits, 7)) * 32 + np.minimum(distinct, 31), previous, following, file * 32 + length, pair_of(previous, gap),
+    ]
     salt = np.arange(1, N_FEATURES + 1, dtype=np.uint64) << np.uint64(56)
     columns = [(tx.mix(np.asarray(v).astype(np.uint64) ^ s) >> np.uint64(64 - BITS)).astype(np.int64) for v, s in zip(values, salt, strict=True)]
     return t, np.stack(columns, 1)
@@ -213,41 +239,92 @@ def tagged_runs(tags: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(first), np.flatnonzero(last)
 
 
-def _windows(batches):
-    """Windows of features and silver tags: up to three around secrets, and one elsewhere from an eighth of the texts."""
+_HEXES, _BASE32, _BASE62 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def variants(text: str, outer: tuple[int, int], inner: tuple[int, int], seed: int, around: int = 160) -> list[tuple[str, tuple[int, int]]]:
+    """A match (outer) and its secret (inner) with the text about it: as it is, without its keyword, and with secrets of other shapes."""
+    rng = np.random.default_rng(seed)
+    write = lambda alphabet, low, high: "".join(rng.choice(list(alphabet), int(rng.integers(low, high + 1))))
+    before, keyword, behind = text[max(0, outer[0] - around) : outer[0]], text[outer[0] : inner[0]], text[inner[1] : inner[1] + around]
+    bare = behind[1:] if behind[:1] in ("'", '"') else behind
+    word = lambda low, high: write("abcdefghijklmnopqrstuvwxyz", low, high)
+    prefixed = lambda: "_".join(filter(None, [word(2, 5), word(3, 5) if rng.random() < 0.5 else "", write(_BASE62, 16, 40)]))
+    secret = text[inner[0] : inner[1]]
+    shown = [(keyword, secret, behind), ("", secret, bare)]
+    shown += [(keyword, write(_BASE62, 10, 40), behind), (keyword, prefixed(), behind)]
+    shown += [("", write(alphabet, low, high), bare) for alphabet, low, high in ((_BASE62, 16, 24), (_BASE62, 25, 48), (_BASE62 + "-_", 20, 44), (_BASE62 + "+/", 24, 64), (_BASE32, 16, 32), (_HEXES, 20, 64))]
+    shown += [("", prefixed(), bare), ("", word(2, 4) + "-" + write(_BASE62, 20, 40), bare)]
+    return [(before + k + x + y, (len(before + k), len(before + k + x))) for k, x, y in shown]
+
+
+def _window(features: np.ndarray, tags: np.ndarray, middle: int) -> bytes:
     width = 2 * HALF + 1
-    for batch in batches:
-        column = batch.column(0)
-        for i, j in tx.row_slices(column):
-            part = column.slice(i, j - i)
-            data, off = tx.buffers(part)
-            t, features = token_features(data, off)
-            hint = pc.fill_null(pc.match_substring_regex(part, _HINT), False).to_numpy(zero_copy_only=False)
-            out = []
-            for r in range(j - i):
-                n = t.offsets[r + 1] - t.offsets[r]
-                if not n:
-                    continue
-                tags = silver_tags(t, r, off[r], _secret_parts(part[r].as_py()) if hint[r] else [])
-                middles = np.flatnonzero(tags == BEGIN)[:3].tolist()
-                digest = hashlib.sha256(data[off[r] : off[r + 1]].tobytes()).digest()
-                if digest[0] < 32:
-                    middles.append(int.from_bytes(digest[1:9], "little") % int(n))
-                for m in middles:
-                    a = max(0, m - HALF)
-                    b = min(int(n), a + width)
-                    f = np.zeros((width, N_FEATURES), np.int16)
-                    f[: b - a] = features[t.offsets[r] + a : t.offsets[r] + b]
-                    g = np.full(width, -1, np.int8)
-                    g[: b - a] = tags[a:b]
-                    out.append(f.tobytes() + g.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["window"])
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 12_000) -> Model:
+    a = max(0, middle - HALF)
+    b = min(len(tags), a + width)
+    f, g = np.zeros((width, N_FEATURES), np.int16), np.full(width, -1, np.int8)
+    f[: b - a], g[: b - a] = features[a:b], tags[a:b]
+    return f.tobytes() + g.tobytes()
+
+
+def _shown(text: str, digest: bytes, per_text: int) -> list[bytes]:
+    """Windows of a text's first matches in all variants."""
+    whole = [(m.span(), m.span(2)) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6] + [(m.span(), m.span()) for p, n in ((_ACCESS, 20), (_HEX, 24)) for m in p.finditer(text) if len(m[0]) >= n]
+    found: list = []
+    for outer, inner in sorted(whole):  # a match inside another one is that one
+        if not found or outer[0] >= found[-1][0][1]:
+            found.append((outer, inner))
+    out = []
+    for k, (outer, inner) in enumerate(found[:per_text]):
+        snippets = variants(text, outer, inner, int.from_bytes(digest[:7], "little") + k)
+        column = pa.array([x for x, _ in snippets], pa.large_string())
+        data, off = tx.buffers(column)
+        t, features = token_features(data, off)
+        for r, (x, (a, b)) in enumerate(snippets):
+            tags = silver_tags(t, r, off[r], [(_bytes_at(x, a), _bytes_at(x, b)), *(s for s in _secret_parts(x))])
+            own = slice(t.offsets[r], t.offsets[r + 1])
+            begin = np.flatnonzero((tags == BEGIN) & (t.end[own] > off[r] + _bytes_at(x, a)))
+            if len(begin):
+                out.append(_window(features[own], tags, int(begin[0])))
+    return out
+
+
+def _windows(per_text: int, background: int):
+    def run(batches):
+        for batch in batches:
+            column = batch.column(0)
+            for i, j in tx.row_slices(column):
+                part = column.slice(i, j - i)
+                data, off = tx.buffers(part)
+                t, features = token_features(data, off)
+                hint = pc.fill_null(pc.match_substring_regex(part, _HINT), False).to_numpy(zero_copy_only=False)
+                digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
+                out = []
+                for r in range(j - i):
+                    own = slice(t.offsets[r], t.offsets[r + 1])
+                    n = own.stop - own.start
+                    if not n:
+                        continue
+                    digest = hashlib.sha256(data[off[r] : off[r + 1]].tobytes()).digest()
+                    if hint[r]:
+                        out += _shown(part[r].as_py(), digest, per_text)
+                    if int.from_bytes(digest[8:12], "little") % background == 0:
+                        tags = silver_tags(t, r, off[r], _secret_parts(part[r].as_py()) if hint[r] else [])
+                        outside = tags == OUTSIDE
+                        size = np.where(outside, t.end[own] - t.start[own], -1)
+                        numbers = np.where(outside, digits[t.end[own]] - digits[t.start[own]], -1)
+                        middles = {int.from_bytes(digest[:8], "little") % int(n), int(size.argmax()), int(numbers.argmax())}
+                        out += [_window(features[own], tags, m) for m in sorted(middles)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["window"])
+
+    return run
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 12_000, per_text: int = 3, background: int = 8) -> Model:
+    """The model from at most ``max_rows`` rows, ``per_text`` matches a text, and other windows of one text in ``background``."""
     chosen = docs.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
     texts = docs.join(F.broadcast(chosen), id_col).select(F.col(text_col).cast("string").alias("text"))
-    raw = sorted(bytes(r.window) for r in texts.mapInArrow(_windows, "window binary").collect())
+    raw = sorted(bytes(r.window) for r in texts.mapInArrow(_windows(per_text, background), "window binary").collect())
     width = 2 * HALF + 1
     cut = 2 * width * N_FEATURES
     features = np.array([np.frombuffer(x[:cut], np.int16) for x in raw], np.int64).reshape(len(raw), width, N_FEATURES)
