@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,33 @@ def text_length(c: str | Column) -> Column:
 
 def excerpt(c: str | Column, n: int) -> Column:
     return F.left(F.regexp_replace(col(c), r"\s+", " "), F.lit(n))
+
+
+def whole_number(c: str | Column) -> Column:
+    """The number of a text, null where it is none."""
+    return F.nullif(F.btrim(col(c)), F.lit("")).try_cast("bigint")
+
+
+def typed_complaints(df: DataFrame, ids: dict[str, str], numbers: dict[str, str], dates: dict[str, str], flags: dict[str, str], texts: dict[str, str]) -> DataFrame:
+    """A typed view of an all-text table: friendly name -> source column, by kind. Flags are true, false, or null where blank."""
+    kinds = ((ids, whole_number), (numbers, digits_or), (dates, ymd_to_date), (flags, lambda c: flag_true(blank_to_null(c))), (texts, blank_to_null))
+    return df.select(*[as_type(c).alias(name) for columns, as_type in kinds for name, c in columns.items()])
+
+
+def exclude_columns(df: DataFrame, denied: list[str]) -> DataFrame:
+    """A copy without the denied columns; a name that is not there is an error, so that a misspelt one does not leave data in."""
+    unknown = sorted(set(denied) - set(df.columns))
+    if unknown:
+        raise ValueError(f"no such columns: {', '.join(unknown)}")
+    return df.drop(*denied)
+
+
+def distinct_literals(df: DataFrame, column: str, term: str, k: int = 20) -> DataFrame:
+    """The stored values that contain a term, in any case; % and _ of the term are taken literally."""
+    literal = term.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+    return df.where(F.col(column).ilike(f"%{literal}%")).select(F.col(column).alias("value")).distinct().orderBy("value").limit(k)
+
+
+def clock(c: str | Column) -> Column:
+    """A time as HH:mm:ss.SSS."""
+    return F.date_format(col(c), "HH:mm:ss.SSS")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import time
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -70,3 +72,37 @@ def cosine(vector: str | Column, query: list[float]) -> Column:
 def check_dimension(df: DataFrame, vector_col: str, dimension: int) -> DataFrame:
     """Fails a row whose vector has another dimension."""
     return df.where(F.col(vector_col).isNull() | F.assert_true(F.size(vector_col) == dimension, F.lit(f"{vector_col} must have {dimension} numbers")).isNull())
+
+
+class RateLimited(Exception):
+    """Raised by a remote embedder that asks for patience."""
+
+
+def with_retry(call: Callable, attempts: int = 8, first: float = 1.0, longest: float = 30.0, sleep: Callable[[float], None] = time.sleep) -> Callable:
+    """Repeat a call that is rate-limited, waiting twice as long each time; other errors, and the last one, are raised."""
+
+    def run(*args, **kwargs):
+        for n in range(attempts):
+            try:
+                return call(*args, **kwargs)
+            except RateLimited:
+                if n == attempts - 1:
+                    raise
+                sleep(min(longest, first * 2**n))
+        raise ValueError("attempts must be positive")
+
+    return run
+
+
+class RetryingEmbedder:
+    """An embedder whose batches are repeated while a remote model limits its rate."""
+
+    def __init__(self, embedder, **retry):
+        self.embedder, self.retry, self.dimension, self.name = embedder, retry, embedder.dimension, embedder.name
+        self.max_chars = getattr(embedder, "max_chars", None)
+
+    def encode(self, texts: list[str | None]) -> list[list[float]]:
+        return with_retry(self.embedder.encode, **self.retry)(texts)
+
+    def encode_query(self, text: str) -> list[float]:
+        return self.encode([text])[0]

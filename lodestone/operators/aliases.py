@@ -7,8 +7,10 @@ from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..functions.vectors import HashingEmbedder
+from ..functions.vectors import HashingEmbedder, cosine
+from . import catalog
 
 
 class AliasError(ValueError):
@@ -60,3 +62,22 @@ class Aliases:
         """Catalogue rows, so that search finds aliases by meaning."""
         rows = [("alias", "alias", None, None, a.name, a.sql, a.description) for a in self.saved.values()]
         return self.spark.createDataFrame(rows, "source_type string, entity_type string, relation_name string, column_name string, object_ref string, definition string, comment string")
+
+    def embedded(self) -> DataFrame:
+        """The saved queries as catalogue rows with vectors of their texts and descriptions."""
+        return catalog.embed_catalog(self.rows(), self.embedder)
+
+    def find(self, question: str, top_k: int = 5, min_similarity: float = 0.0) -> DataFrame:
+        """Saved queries by meaning."""
+        return catalog.search(self.embedded(), question, self.embedder, top_k, ["alias"], min_similarity).select("object_ref", "definition", "comment", "rrf_score")
+
+    def near_duplicates(self, description: str, at_least: float = 0.8) -> DataFrame:
+        """Saved queries whose description says about the same: to be looked at before another one is saved."""
+        similarity = F.round(cosine("comment_vec", self.embedder.encode_query(description)), 6)
+        return self.embedded().select("object_ref", "comment", similarity.alias("similarity")).where(F.col("similarity") >= at_least).orderBy(F.desc("similarity"), "object_ref")
+
+
+def history_rows(statements: DataFrame) -> DataFrame:
+    """Statements that succeeded (statement, status), once each with how often, as catalogue rows of the source `history`."""
+    once = statements.where("status = 'done' AND statement IS NOT NULL").groupBy(F.btrim(F.regexp_replace("statement", r"\s+", " ")).alias("s")).agg(F.count("*").alias("n"))
+    return once.select(F.lit("history").alias("source_type"), F.lit("query").alias("entity_type"), F.lit(None).cast("string").alias("relation_name"), F.lit(None).cast("string").alias("column_name"), F.concat(F.lit("history."), F.left(F.sha2("s", 256), F.lit(16))).alias("object_ref"), F.col("s").alias("definition"), F.concat(F.lit("run "), F.col("n").cast("string"), F.lit(" times")).alias("comment"))

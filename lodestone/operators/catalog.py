@@ -17,25 +17,37 @@ COLUMNS = "source_type string, entity_type string, relation_name string, column_
 
 
 def assemble_records(lines: DataFrame) -> DataFrame:
-    """Lines (file, line_no, line) to (file, field_no, name, type, description): a numbered line with name and type begins a field, indented lines go on."""
-    start = r"^\s{0,3}(\d+)[.)]?\s+([A-Za-z][A-Za-z0-9_ ]*?)\s{2,}([A-Z]+\(?\d*\)?)\s*(.*)$"
-    text = F.regexp_replace("line", "\t", " " * 8)
-    marked = lines.withColumn("line", text).withColumn("_s", F.col("line").rlike(start).cast("int"))
-    order = Window.partitionBy("file").orderBy("line_no")
-    own = marked.withColumn("_r", F.sum("_s").over(order)).where("_r > 0")
-    part = F.btrim(F.regexp_replace(F.when(F.col("_s") == 1, F.regexp_extract("line", start, 4)).otherwise(F.col("line")), r"\s+", " "))
-    rows = own.groupBy("file", "_r").agg(F.max_by(F.when(F.col("_s") == 1, F.col("line")), "_s").alias("head"), F.sort_array(F.collect_list(F.struct("line_no", part.alias("part")))).alias("parts"))
-    return rows.select("file", F.regexp_extract("head", start, 1).cast("int").alias("field_no"), F.lower(F.regexp_replace(F.btrim(F.regexp_extract("head", start, 2)), r"\s+", "_")).alias("name"), F.regexp_extract("head", start, 3).alias("type"), join_description(F.transform("parts", lambda p: p["part"])).alias("description"))
+    """Lines (file, line_no, line) to (file, field_no, name, type, description), files in parallel.
+
+    What stands before a file's field heading, if it has one, is skipped. A field begins with a number, a name
+    and a type, of which the last two are set off by two blanks or more; the type keeps its whole bracket. Other lines go on with the field.
+    """
+    line = F.regexp_replace("line", "\t", " " * 8)
+    heading = F.upper(F.btrim(line)).rlike(r"^(FIELDS\s*:?|FIELD\s*#.*)$")
+    in_file = Window.partitionBy("file")
+    order = in_file.orderBy("line_no")
+    numbered = F.regexp_extract(line, r"^\s*(\d{1,3})\s", 1)
+    pieces = F.split(F.btrim(F.regexp_replace(line, r"^\s*\d{1,3}\s+", "")), r"\s{2,}")
+    name, tail = pieces[0], F.array_join(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), " ")
+    kind = F.regexp_extract(tail, r"^([A-Za-z][A-Za-z0-9]*(\s*\([^)]*\))?)(\s|$)", 1)
+    begins = (numbered != "") & (F.size(pieces) > 1) & name.rlike("^[A-Za-z_][A-Za-z0-9_ ]*$") & (kind != "")
+    marked = lines.select("file", "line_no", line.alias("line"), heading.alias("_h"), begins.alias("_s"), numbered.alias("_no"), name.alias("_name"), kind.alias("_type"), F.btrim(F.substr(tail, F.length(kind) + 1)).alias("_text"))
+    marked = marked.withColumn("_from", F.coalesce(F.min(F.when(F.col("_h"), F.col("line_no"))).over(in_file), F.lit(-1))).where("line_no > _from AND NOT _h")
+    own = marked.where(~F.btrim("line").rlike("^[-=]{3,}$")).withColumn("_r", F.sum(F.col("_s").cast("int")).over(order)).where("_r > 0")
+    part = F.when(F.col("_s"), F.col("_text")).otherwise(F.btrim("line"))
+    rows = own.groupBy("file", "_r").agg(F.min(F.struct("line_no", "_no", "_name", "_type")).alias("head"), F.sort_array(F.collect_list(F.struct("line_no", part.alias("part")))).alias("parts"))
+    return rows.select("file", F.col("head._no").cast("int").alias("field_no"), F.lower(F.regexp_replace("head._name", r"\s+", "_")).alias("name"), F.regexp_replace("head._type", r"\s+", "").alias("type"), join_description(F.transform("parts", lambda p: p["part"])).alias("description"))
 
 
 def join_description(parts):
-    """Code lists (`CODE = meaning`) are joined by '; ', prose by a space."""
-    some = F.filter(parts, lambda p: p != "")
+    """Prose is joined by a space; entries of a code list become `CODE = meaning` and are set off by `; `, or a space behind `:` and `;`."""
+    some = F.filter(F.transform(parts, lambda p: F.btrim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
 
     def join(so_far, p):
-        code = p.rlike(r"^[A-Z0-9]+ = ")
-        gap = F.when(so_far == "", "").when(code & ~so_far.rlike("[:;]$"), "; ").otherwise(" ")
-        return F.concat(so_far, gap, p)
+        code, meaning = F.btrim(F.substring_index(p, "=", 1)), F.btrim(F.substr(p, F.instr(p, "=") + 1))
+        entry = p.contains("=") & code.rlike("^[A-Za-z0-9]{1,8}$") & (meaning != "")
+        gap = F.when(so_far == "", "").when(entry & ~so_far.rlike("[:;]$"), "; ").otherwise(" ")
+        return F.concat(so_far, gap, F.when(entry, F.concat(F.upper(code), F.lit(" = "), meaning)).otherwise(p))
 
     return F.aggregate(some, F.lit(""), join)
 
@@ -53,29 +65,62 @@ def objects(spark: SparkSession, tables: list[str]) -> DataFrame:
     rows = []
     for t in tables:
         cols = spark.catalog.listColumns(t)
-        rows.append(("schema", "table", t, None, t, f"{t}({', '.join(c.name for c in cols)})", spark.catalog.getTable(t).description))
+        kind = "view" if spark.catalog.getTable(t).tableType in ("VIEW", "TEMPORARY") else "table"
+        rows.append(("schema", kind, t, None, t, f"{t}({', '.join(c.name for c in cols)})", spark.catalog.getTable(t).description))
         rows += [("schema", "column", t, c.name, f"{t}.{c.name}", f"{t}.{c.name} {c.dataType}", c.description) for c in cols]
     return spark.createDataFrame(rows, COLUMNS)
 
 
+def definition_hash():
+    return F.sha2(F.concat_ws("\u0001", "definition", F.coalesce("comment", F.lit(""))), 256)
+
+
+class NoComments(ValueError):
+    """A catalogue is built from objects without a single comment."""
+
+
+def build_kb(spark: SparkSession, tables: list[str], embedder: HashingEmbedder) -> DataFrame:
+    """The searchable catalogue of tables; comments come first, so that they are what is found."""
+    rows = objects(spark, tables)
+    if not rows.where("comment IS NOT NULL").head(1):
+        raise NoComments("write the comments before the catalogue is built")
+    return embed_catalog(rows, embedder)
+
+
+def refresh_kb(spark: SparkSession, tables: list[str], embedder: HashingEmbedder, path: str) -> DataFrame:
+    """Build again from scratch and replace what is stored."""
+    build_kb(spark, tables, embedder).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def embed_catalog(rows: DataFrame, embedder: HashingEmbedder) -> DataFrame:
-    return embed_batch(embed_batch(rows.withColumn("hash", F.sha2(F.concat_ws("\u0001", "definition", F.coalesce("comment", F.lit(""))), 256)), "definition", "definition_vec", embedder), "comment", "comment_vec", embedder)
+    return embed_batch(embed_batch(rows.withColumn("hash", definition_hash()), "definition", "definition_vec", embedder), "comment", "comment_vec", embedder)
+
+
+def changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(object_ref, change): insert, delete or update, by the hash of definition and comment."""
+    n = new.select("object_ref", definition_hash().alias("h_new"))
+    both = n.join(old.select("object_ref", F.col("hash").alias("h_old")), "object_ref", "full")
+    change = F.when(F.col("h_old").isNull(), "insert").when(F.col("h_new").isNull(), "delete").when(F.col("h_new") != F.col("h_old"), "update")
+    return both.select("object_ref", change.alias("change")).where("change is not null")
 
 
 def sync(old: DataFrame, new: DataFrame, embedder: HashingEmbedder) -> tuple[DataFrame, DataFrame]:
     """The catalogue that ``new`` rows make of ``old``, with only changed rows embedded again; and (object_ref, change)."""
-    n = new.withColumn("hash", F.sha2(F.concat_ws("\u0001", "definition", F.coalesce("comment", F.lit(""))), 256))
-    both = n.select("object_ref", F.col("hash").alias("h_new")).join(old.select("object_ref", F.col("hash").alias("h_old")), "object_ref", "full")
-    change = F.when(F.col("h_old").isNull(), "insert").when(F.col("h_new").isNull(), "delete").when(F.col("h_new") != F.col("h_old"), "update")
-    changes = both.select("object_ref", change.alias("change")).where("change is not null")
-    kept = old.join(changes, "object_ref", "left_anti")
-    fresh = embed_catalog(new.join(changes.where("change <> 'delete'"), "object_ref", "left_semi"), embedder)
-    return kept.unionByName(fresh), changes
+    found = changes(old, new)
+    kept = old.join(found, "object_ref", "left_anti")
+    fresh = embed_catalog(new.join(found.where("change <> 'delete'"), "object_ref", "left_semi"), embedder)
+    return kept.unionByName(fresh), found
 
 
-def stats(catalog: DataFrame) -> DataFrame:
+def stats(catalog: DataFrame, now: DataFrame | None = None) -> DataFrame:
+    """Counts by kind, rows without a vector, and against the objects as they are ``now`` the rows that drifted: changed or gone."""
     kind = lambda k: F.count_if(F.col("entity_type") == k)
-    return catalog.agg(F.count("*").alias("total"), kind("table").alias("tables"), kind("column").alias("columns"), kind("alias").alias("queries"), kind("relationship").alias("relationships"), F.count_if(F.col("definition_vec").isNull()).alias("pending"))
+    rows = catalog
+    if now is not None:
+        rows = catalog.join(changes(catalog, now).where("change <> 'insert'").withColumnRenamed("change", "_change"), "object_ref", "left")
+    drifted = F.count("_change") if now is not None else F.lit(0).cast("bigint")
+    return rows.agg(F.count("*").alias("total"), kind("table").alias("tables"), kind("view").alias("views"), kind("column").alias("columns"), kind("alias").alias("queries"), kind("relationship").alias("relationships"), F.count_if(F.col("definition_vec").isNull()).alias("pending"), drifted.alias("drifted"))
 
 
 def check(catalog: DataFrame, least_columns: int) -> DataFrame:
@@ -114,7 +159,88 @@ def search(catalog: DataFrame, query: str, embedder: HashingEmbedder, top_k: int
     return some.drop("definition_vec", "comment_vec", "hash").join(F.broadcast(best), "object_ref")
 
 
-def name_variants(names: DataFrame) -> DataFrame:
-    """Names that look like copies of one object: equal once endings such as _old, _bak or _v1 are gone."""
+def column_definitions(catalog: DataFrame, query: str, embedder: HashingEmbedder, min_similarity: float = 0.3, top_k: int = 10, offset: int = 0) -> DataFrame:
+    """The definitions of the columns that a question means, and nothing else of them."""
+    found = search(catalog, query, embedder, top_k, ["column"], min_similarity, arms=("definition", "words"), offset=offset)
+    return found.orderBy(F.desc("rrf_score"), "object_ref").select("object_ref", "definition")
+
+
+def entity_definitions(catalog: DataFrame, query: str, embedder: HashingEmbedder, min_similarity: float = 0.3, top_k: int = 10, offset: int = 0) -> DataFrame:
+    """Tables and views with definition and comment."""
+    return search(catalog, query, embedder, top_k, ["table", "view"], min_similarity, offset=offset).select("object_ref", "entity_type", "definition", "comment", "rrf_score")
+
+
+def search_by_comment(catalog: DataFrame, query: str, embedder: HashingEmbedder, min_similarity: float = 0.3, top_k: int = 10, offset: int = 0) -> DataFrame:
+    """By what comments say; names count for nothing."""
+    return search(catalog, query, embedder, top_k, None, min_similarity, arms=("comment",), offset=offset).select("object_ref", "entity_type", "comment", "rrf_score")
+
+
+def metadata(catalog: DataFrame, query: str, embedder: HashingEmbedder, min_similarity: float = 0.3, top_k: int = 10, offset: int = 0) -> DataFrame:
+    """What is known of the objects that a question means: where from, kind, table and column."""
+    return search(catalog, query, embedder, top_k, None, min_similarity, arms=("definition",), offset=offset).select("object_ref", "source_type", "entity_type", "relation_name", "column_name", "rrf_score")
+
+
+def discover_context(catalog: DataFrame, question: str, embedder: HashingEmbedder, min_similarity: float = 0.3, top_k: int = 10) -> DataFrame:
+    """Two ranked lists from one call, told apart by ``part``: matches in the schema, and saved queries."""
+    lists = (("schema", catalog.where("source_type = 'schema'")), ("alias", catalog.where("source_type = 'alias'")))
+    return reduce(DataFrame.unionByName, [search(rows, question, embedder, top_k, None, min_similarity).select(F.lit(part).alias("part"), "object_ref", "entity_type", "definition", "comment", "rrf_score") for part, rows in lists])
+
+
+class Catalogues:
+    """Catalogues by name; a name may be left out while there is one, and one object is in one catalogue."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._kept = spark, {}
+
+    def add(self, name: str, rows: DataFrame, embedder: HashingEmbedder, tables: list[str]) -> None:
+        shared = {n: sorted(set(t) & set(tables)) for n, (_, _, t) in self._kept.items() if set(t) & set(tables) and n != name}
+        if shared:
+            raise ValueError("; ".join(f"{', '.join(t)} already in {n}" for n, t in shared.items()))
+        self._kept[name] = (rows, embedder, list(tables))
+
+    def get(self, name: str | None = None) -> DataFrame:
+        if name is None and len(self._kept) != 1:
+            raise ValueError(f"name one of {', '.join(sorted(self._kept)) or 'no catalogues'}")
+        return self._kept[name or next(iter(self._kept))][0]
+
+    def list(self) -> DataFrame:
+        return self.spark.createDataFrame([(n, e.name, e.dimension, sorted(t)) for n, (_, e, t) in sorted(self._kept.items())], "name string, embedder string, dimension int, tables array<string>")
+
+    def drop(self, name: str) -> None:
+        del self._kept[name]
+
+
+def list_objects(spark: SparkSession, prefix: str = "") -> DataFrame:
+    rows = [(t.name, t.tableType, t.description) for t in spark.catalog.listTables() if t.name.startswith(prefix)]
+    return spark.createDataFrame(rows, "name string, kind string, comment string")
+
+
+def object_details(spark: SparkSession, names: list[str]) -> DataFrame:
+    """Columns of named objects, looked up and not searched; an unknown name has a row that says so."""
+    rows = []
+    for name in names:
+        if not spark.catalog.tableExists(name):
+            rows.append((name, None, None, None, None, "no such object"))
+            continue
+        rows += [(name, i, c.name, c.dataType, c.description, "ok") for i, c in enumerate(spark.catalog.listColumns(name), 1)]
+    return spark.createDataFrame(rows, "object_name string, position int, column_name string, data_type string, comment string, status string")
+
+
+def set_comment(rows: DataFrame, object_ref: str, comment: str | None) -> DataFrame:
+    """Catalogue rows with one comment set, or removed; ``sync`` then embeds that row alone."""
+    return rows.withColumn("comment", F.when(F.col("object_ref") == object_ref, F.lit(comment).cast("string")).otherwise(F.col("comment")))
+
+
+def remove_comment(rows: DataFrame, object_ref: str) -> DataFrame:
+    return set_comment(rows, object_ref, None)
+
+
+def name_variants(names: DataFrame, distance: int = 0) -> DataFrame:
+    """Names that look like copies of one object: equal once endings such as _old, _bak or _v1 are gone, or, of one first letter, at most ``distance`` edits apart."""
     stripped = F.regexp_replace(F.lower("name"), r"(_(deprecated|old|archive|bak|tmp|v\d+))+$", "")
-    return names.withColumn("stem", stripped).groupBy("stem").agg(F.sort_array(F.collect_set("name")).alias("names")).where(F.size("names") > 1)
+    stems = names.withColumn("stem", stripped).groupBy("stem").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    if not distance:
+        return stems.where(F.size("names") > 1)
+    a, b = (stems.select(F.col("stem").alias(f"{x}_stem"), F.col("names").alias(f"{x}_names"), F.left("stem", F.lit(1)).alias("first")) for x in "ab")
+    near = a.join(b, "first").where((F.col("a_stem") < F.col("b_stem")) & (F.levenshtein("a_stem", "b_stem") <= distance))
+    return stems.where(F.size("names") > 1).unionByName(near.select(F.col("a_stem").alias("stem"), F.sort_array(F.array_union("a_names", "b_names")).alias("names")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.clean import blank_to_null, digits_or, flag_true, sentinel_to_null, text_length, ymd_to_date
+
 
 def safe_projection(df: DataFrame, columns: dict[str, str | Column]) -> DataFrame:
     """Only what the list names, renamed by meaning."""
@@ -33,6 +35,44 @@ class PurposeCatalog:
         return [(p, v, c) for p, names in sorted(self._allowed.items()) for v in names for c in self._views[v].columns if c in set(denied)]
 
 
+def _named(df: DataFrame, columns: dict[str, Column], names: dict[str, str]) -> DataFrame:
+    """The columns whose sources the table has, and plain renames."""
+    return df.select(*[c.alias(n) for n, c in columns.items()], *[F.col(c).alias(n) for n, c in names.items()])
+
+
+def complaint_facts(df: DataFrame, names: dict[str, str] | None = None, make: str = "maketxt", model: str = "modeltxt", year: str = "yeartxt", component: str = "compdesc", failed: str = "faildate", added: str = "datea", received: str = "ldate", fire: str = "fire", crash: str = "crash", injured: str = "injured", deaths: str = "deaths", narrative: str = "cdescr") -> DataFrame:
+    """De-identified complaints: dates by what they mean, flags, counts, and of the narrative its length alone. ``names``: further columns, new name -> source."""
+    year_of = sentinel_to_null(blank_to_null(year))
+    return _named(df, {
+        "make": blank_to_null(make), "model": blank_to_null(model), "model_year": year_of, "component": blank_to_null(component),
+        "failed_on": ymd_to_date(failed), "added_on": ymd_to_date(added), "received_on": ymd_to_date(received),
+        "fire": F.coalesce(flag_true(fire), F.lit(False)), "crash": F.coalesce(flag_true(crash), F.lit(False)),
+        "injured": digits_or(injured), "killed": digits_or(deaths), "narrative_length": text_length(narrative),
+    }, names or {})
+
+
+def recall_summary(df: DataFrame, names: dict[str, str], notified: str = "odate", reported: str = "rcdate") -> DataFrame:
+    """Recalls, renamed and dated; their texts are the maker's own and no personal data."""
+    return _named(df, {"notified_on": ymd_to_date(notified), "reported_on": ymd_to_date(reported)}, names)
+
+
+def investigation_summary(df: DataFrame, names: dict[str, str], opened: str = "odate", closed: str = "cdate") -> DataFrame:
+    """Investigations, renamed and dated; open ones have no closing date."""
+    return _named(df, {"opened_on": ymd_to_date(opened), "closed_on": ymd_to_date(closed)}, names).withColumn("is_open", F.col("closed_on").isNull())
+
+
+def leaked_values(view: DataFrame, base: DataFrame, denied: list[str], least: int = 6) -> DataFrame:
+    """(view_column, denied_column, n) where text of a view equals values of a denied column, whatever the view calls it.
+
+    Values shorter than ``least`` characters, which are equal by chance, are left out. Distinct values meet, by a join.
+    """
+    texts = [f.name for f in view.schema if f.dataType.typeName() == "string"]
+    stack = lambda df, columns, name: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select("x.*").where(F.length("value") >= least).distinct()
+    if not texts or not denied:
+        return view.sparkSession.createDataFrame([], "view_column string, denied_column string, n long")
+    return stack(view, texts, "view_column").join(stack(base, denied, "denied_column"), "value").groupBy("view_column", "denied_column").agg(F.count("*").alias("n"))
+
+
 def effective_privileges(grants: DataFrame) -> DataFrame:
     return grants.distinct().groupBy("role", "object").agg(F.array_join(F.sort_array(F.collect_set("privilege")), ",").alias("privileges"))
 

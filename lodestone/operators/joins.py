@@ -24,9 +24,12 @@ def recall_link(recalls: DataFrame, complaints: DataFrame, keys: list[str], noti
     """
     fewer = complaints.groupBy(*keys, failed).agg(F.count("*").alias("_n"), *[F.sum(m).alias(m) for m in measures])
     renamed = fewer.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(failed).alias("_failed"), "_n", *measures)
-    on = reduce(lambda a, b: a & b, (recalls[k] == renamed[f"_{k}"] for k in keys))
+    on = reduce(lambda a, b: a & b, (F.col(k) == renamed[f"_{k}"] for k in keys))
     later = F.when(F.col("_failed") > F.col(notified), F.col("_n")).otherwise(0)
-    return recalls.join(renamed, on, "left").groupBy(*recalls.columns).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_complaints"), F.coalesce(F.sum(later), F.lit(0)).alias("n_after"), *[F.sum(m).alias(f"sum_{m}") for m in measures])
+    # equal recall rows are linked once and then repeated as often as they occur
+    rows = recalls.groupBy(*recalls.columns).agg(F.count("*").alias("_times"))
+    linked = rows.join(renamed, on, "left").groupBy(*recalls.columns, "_times").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_complaints"), F.coalesce(F.sum(later), F.lit(0)).alias("n_after"), *[F.sum(m).alias(f"sum_{m}") for m in measures])
+    return linked.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))).drop("_times")
 
 
 def join_sanity(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -37,7 +40,7 @@ def join_sanity(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return a.join(b, "k", "full").agg(
         zero(F.sum("l")).alias("left_rows"), zero(F.sum("r")).alias("right_rows"), F.count("l").alias("left_keys"), F.count("r").alias("right_keys"),
         F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("matched_keys"), zero(F.sum(F.col("l") * F.col("r"))).alias("joined_rows"),
-        F.max("l").alias("left_fan_out"), F.max("r").alias("right_fan_out"),
+        F.max("l").alias("left_fan_out"), F.max("r").alias("right_fan_out"), zero(F.sum(F.when(F.col("r").isNotNull(), F.col("l")))).alias("left_matched"),
     )
 
 

@@ -1,13 +1,16 @@
 """Relationships between tables as edges: upsert, join paths, suggestions, subgraphs and checks against data.
 
-Edges: id, left_object, left_columns, right_object, right_columns, kind, confidence.
+Edges: id, left_object, left_columns, right_object, right_columns, kind, confidence, and if given source and description.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.vectors import HashingEmbedder
+from . import catalog
 from .joins import join_sanity
 
 IDENTITY = ["left_object", "left_columns", "right_object", "right_columns", "kind"]
@@ -25,6 +28,36 @@ def upsert(edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges.join(keyed, "id", "left_anti").unionByName(keyed.select(*edges.columns)), action
 
 
+def listed(edges: DataFrame, source: str | None = None) -> DataFrame:
+    """Edges with their rendered condition, of one source if asked."""
+    own = edges if source is None else edges.where(F.col("source") == source)
+    return own.withColumn("on", join_expression("left_object", "left_columns", "right_object", "right_columns"))
+
+
+def deleted(edges: DataFrame, ids: list[int]) -> DataFrame:
+    return edges.where(~F.col("id").isin(ids))
+
+
+def crawl_foreign_keys(keys: DataFrame) -> DataFrame:
+    """Edges of declared keys (constraint, position, left_object, left_column, right_object, right_column): columns of one constraint stay together, in order."""
+    each = keys.groupBy("constraint", "left_object", "right_object").agg(F.sort_array(F.collect_list(F.struct("position", "left_column", "right_column"))).alias("c"))
+    columns = lambda side: F.transform("c", lambda x: x[side])
+    edges = each.select("left_object", columns("left_column").alias("left_columns"), "right_object", columns("right_column").alias("right_columns"), F.lit("foreign key").alias("kind"), F.lit(1.0).alias("confidence"), F.lit("crawl").alias("source"))
+    return edges.withColumn("id", F.xxhash64(*IDENTITY))
+
+
+def catalogue_rows(edges: DataFrame) -> DataFrame:
+    """Edges as catalogue rows, so that a description finds them: `left -> right [kind]`."""
+    name = F.concat_ws(" ", F.concat_ws(" -> ", "left_object", "right_object"), F.concat(F.lit("["), "kind", F.lit("]")))
+    return listed(edges).select(F.lit("relationship").alias("source_type"), F.lit("relationship").alias("entity_type"), F.col("left_object").alias("relation_name"), F.lit(None).cast("string").alias("column_name"), name.alias("object_ref"), F.col("on").alias("definition"), F.col("description").alias("comment"))
+
+
+def search(edges: DataFrame, query: str, embedder: HashingEmbedder, top_k: int = 10, min_similarity: float = 0.0) -> DataFrame:
+    """Edges by what their descriptions mean."""
+    rows = catalog.embed_catalog(catalogue_rows(edges), embedder)
+    return catalog.search(rows, query, embedder, top_k, ["relationship"], min_similarity).select("object_ref", "definition", "comment", "rrf_score")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     there = edges.select(F.col("left_object").alias("a"), F.col("right_object").alias("b"), join_expression("left_object", "left_columns", "right_object", "right_columns").alias("on"), "kind", "confidence")
     return there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"), "on", "kind", "confidence"))
@@ -37,25 +70,31 @@ def suggest_joins(edges: DataFrame, objects: list[str]) -> DataFrame:
 def find_join_path(edges: DataFrame, start: str, end: str, max_hops: int = 4) -> DataFrame:
     """Simple routes by hops, then confidence; the frontier grows by one join a hop."""
     steps = both_ways(edges)
-    frontier = steps.where(F.col("a") == start).select(F.array("a", "b").alias("route"), F.array("on").alias("ons"), F.col("confidence").alias("weight"), F.col("b").alias("at"))
+    frontier = steps.where(F.col("a") == start).select(F.array("a", "b").alias("route"), F.array("on").alias("ons"), F.array("kind").alias("kinds"), F.col("confidence").alias("weight"), F.col("b").alias("at"))
     found = frontier.where(F.col("at") == end)
     for _ in range(max_hops - 1):
         frontier = frontier.where(F.col("at") != end).join(steps, F.col("at") == F.col("a")).where(~F.array_contains("route", F.col("b")))
-        frontier = frontier.select(F.concat("route", F.array("b")).alias("route"), F.concat("ons", F.array("on")).alias("ons"), (F.col("weight") * F.col("confidence")).alias("weight"), F.col("b").alias("at"))
+        frontier = frontier.select(F.concat("route", F.array("b")).alias("route"), F.concat("ons", F.array("on")).alias("ons"), F.concat("kinds", F.array("kind")).alias("kinds"), (F.col("weight") * F.col("confidence")).alias("weight"), F.col("b").alias("at"))
         found = found.unionByName(frontier.where(F.col("at") == end))
-    return found.select((F.size("route") - 1).alias("hops"), F.array_join("route", " -> ").alias("route"), "weight", F.array_join("ons", " ; ").alias("on_clauses")).orderBy("hops", F.desc("weight"), "route")
+    out = found.select((F.size("route") - 1).alias("hops"), F.array_join("route", " -> ").alias("route"), F.array_join("kinds", ", ").alias("kinds"), "weight", F.array_join("ons", " ; ").alias("on_clauses"))
+    order = ("hops", F.desc("weight"), "route", "on_clauses")  # routes between two tables of a schema are few
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(*order))).orderBy(*order)
 
 
 def subgraph(edges: DataFrame, seeds: DataFrame, max_hops: int = 2) -> DataFrame:
-    """Edges within hops of the seed objects (object)."""
-    steps, seen = both_ways(edges), seeds.select("object").distinct()
+    """Edges within hops of the seed objects (object); a hop goes on from the objects that the last one found."""
+    steps = both_ways(edges)
+    seen = frontier = seeds.select("object").distinct()
     for _ in range(max_hops - 1):
-        seen = seen.union(steps.join(seen, steps.a == seen.object).select(F.col("b").alias("object"))).distinct()
+        frontier = steps.join(frontier, steps.a == frontier.object, "left_semi").select(F.col("b").alias("object")).distinct().join(seen, "object", "left_anti")
+        seen = seen.union(frontier)
     return steps.join(seen, steps.a == seen.object, "left_semi")
 
 
 def verify(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Cardinality by data, and the share of left rows without a partner's key."""
+    """Cardinality by data, and the share of left rows with no key, and with a key that the right side lacks."""
     s = join_sanity(left, right, left_key, right_key)
     many = F.concat(F.when(F.col("left_fan_out") > 1, "n").otherwise("1"), F.lit("-"), F.when(F.col("right_fan_out") > 1, "n").otherwise("1"))
-    return s.select(many.alias("cardinality"), "matched_keys", "left_keys", "right_keys", "joined_rows")
+    rows = left.agg(F.count("*").alias("_rows"))
+    share = lambda n: F.coalesce(F.round(n / F.nullif(F.col("_rows"), F.lit(0)), 6), F.lit(0.0))
+    return s.crossJoin(rows).select(many.alias("cardinality"), "matched_keys", "left_keys", "right_keys", "joined_rows", share(F.col("_rows") - F.col("left_rows")).alias("blank_share"), share(F.col("left_rows") - F.col("left_matched")).alias("unmatched_share"))  # one row each

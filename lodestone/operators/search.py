@@ -158,3 +158,8 @@ def hybrid_every(df: DataFrame, vector: str, queries: DataFrame, words: Column,
     part = lambda c: F.coalesce(1.0 / (60 + F.col(c)), F.lit(0.0))
     best = best_of_each(fused.withColumn("rrf_score", F.round(part("vector_rank") + part("lexical_rank"), 8)), "rrf_score", id_col, k)
     return df.select(id_col, *(show or [])).join(best, id_col)
+
+
+def candidate_ids(arms: list[DataFrame], id_col: str) -> DataFrame:
+    """The ids that any arm found, once each."""
+    return reduce(DataFrame.union, (a.select(id_col) for a in arms)).distinct()

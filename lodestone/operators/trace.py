@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.clean import excerpt
+from ..functions.clean import clock, excerpt
 
 
 def seconds_between(a: str | Column, b: str | Column) -> Column:
@@ -91,3 +91,70 @@ ANSWER = T.StructType([T.StructField("answer", T.StringType()), T.StructField("s
 def parse_answers(log: DataFrame) -> DataFrame:
     parsed = log.where("action_type = 'answer'").select("id", "conversation_id", F.from_json("response_payload", ANSWER).alias("a"))
     return parsed.select("id", "conversation_id", "a.*")
+
+
+#: Tools that fetch definitions before a statement is written (fixed values).
+GROUNDING = ("semantic_kb_search", "get_column_definitions", "get_entity_definitions", "search_by_comment", "get_metadata", "semantic_kb_stats")
+
+
+def grounding_calls(log: DataFrame, tools: tuple = GROUNDING) -> DataFrame:
+    """What was looked up, in order, by conversation: tool, question and what came back."""
+    tool = F.get_json_object("request_payload", "$.tool_name")
+    own = log.where(F.col("action_type").isin("tool_call", "tool_response") & tool.isin(*tools))
+    step = F.row_number().over(Window.partitionBy("conversation_id").orderBy("created_at", "id"))
+    asked, got = F.get_json_object("request_payload", "$.arguments.query_text"), F.get_json_object("response_payload", "$.contents")
+    return own.select("conversation_id", "id", step.alias("step"), tool.alias("tool"), excerpt(asked, 80).alias("asked_for"), excerpt(got, 130).alias("retrieved"))
+
+
+def agent_registry(agents: DataFrame) -> DataFrame:
+    """Agents with counts of their tools and delegates; without a role they run as their caller."""
+    counted = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return agents.select("name", "model", counted("tools").alias("n_tools"), counted("delegates").alias("n_delegates"), "max_iterations", F.col("output_type").isNotNull().alias("structured_output"), F.coalesce("role", F.lit("(caller)")).alias("runs_as"))
+
+
+def tool_registry(tools: DataFrame, k: int = 40) -> DataFrame:
+    """Tools by kind and name, with the number of their parameters, whichever of both shapes these have."""
+    shape = F.when(F.btrim("params").startswith("["), "array").when(F.btrim("params").startswith("{"), "object")
+    return tools.select("tool_type", "name", "read_only", param_count("params").alias("n_params"), shape.alias("params_shape"), F.left(F.coalesce("description", F.lit("")), F.lit(58)).alias("description")).orderBy("tool_type", "name").limit(k)
+
+
+def conversation_list(conversations: DataFrame, agents: DataFrame, k: int = 15) -> DataFrame:
+    a = agents.select(F.col("id").alias("agent_id"), F.col("name").alias("agent"))
+    newest = conversations.orderBy(F.desc_nulls_first("created_at"), "conversation_id").limit(k)
+    return newest.join(a, "agent_id").select("conversation_id", "agent", "status", "message_count", "created_at", "updated_at")
+
+
+def task_list(tasks: DataFrame, agents: DataFrame, k: int = 15) -> DataFrame:
+    """The newest tasks as a customer sees them; a task without an error says so."""
+    a = agents.select(F.col("id").alias("agent_id"), F.col("name").alias("agent"))
+    newest = tasks.orderBy(F.desc_nulls_first("created_at"), "id").limit(k)
+    return newest.join(a, "agent_id").select(F.col("id").alias("task_id"), "agent", "role", "status", clock("created_at").alias("created"), clock("completed_at").alias("completed"), F.coalesce("error", F.lit("(none)")).alias("error"))
+
+
+def transcript(turns: DataFrame, kind: str, kinds: tuple, text: str, keys: list[str], width: int = 150) -> DataFrame:
+    """What a user sees of a conversation: prompts and answers, cut to a line."""
+    return turns.where(F.col(kind).isin(*kinds)).select(*keys, kind, excerpt(text, width).alias("text"))
+
+
+def latest_conversation(log: DataFrame, agent_id: object | None = None) -> DataFrame:
+    """The log of the conversation with the newest action, of one agent if asked."""
+    own = log if agent_id is None else log.where(F.col("agent_id") == agent_id)
+    newest = own.agg(F.max_by("conversation_id", F.struct("created_at", "id")).alias("conversation_id"))
+    return log.join(F.broadcast(newest), "conversation_id", "left_semi")  # one row
+
+
+def live_trace(queue: DataFrame, log: DataFrame) -> DataFrame:
+    """Queued actions that the log does not have yet, and the log: a running conversation as a whole."""
+    waiting = queue.join(log.select("id"), "id", "left_anti").withColumn("in_flight", F.lit(True))
+    return waiting.unionByName(log.withColumn("in_flight", F.lit(False)), allowMissingColumns=True)
+
+
+def session_counts(sessions: DataFrame) -> DataFrame:
+    """Connections by user, application and state."""
+    return sessions.groupBy("usename", "application_name", "state").agg(F.count("*").alias("n"))
+
+
+def elapsed_steps(df: DataFrame, key: str, at: str, id_col: str) -> DataFrame:
+    """Steps of a key from 1, ties by id, and seconds since its first."""
+    w = Window.partitionBy(key)
+    return df.select(id_col, key, F.row_number().over(w.orderBy(at, id_col)).alias("step"), seconds_between(F.min(at).over(w), at).alias("at_seconds"))

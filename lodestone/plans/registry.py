@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import clean, lexical, vectors
 from ..operators import catalog, governed, joins, relations, rollups, scoring, search, trace
@@ -128,7 +127,7 @@ def completeness(spark, sf_dir):
     return rollups.completeness(order_texts(spark, sf_dir), ["ymd", "flag"])
 
 
-@query(f"WITH {ORDER_TEXTS}, n AS (SELECT *, CASE WHEN regexp_matches(num, '^[0-9]+$') THEN CAST(num AS BIGINT) END AS v FROM ot) SELECT min(v) AS num_min, max(v) AS num_max, count(DISTINCT num) AS num_distinct, count(*) FILTER (nullif(trim(num), '') IS NULL) AS num_blank FROM n")
+@query(f"WITH {ORDER_TEXTS}, n AS (SELECT *, CASE WHEN regexp_matches(num, '^[0-9]+$') THEN CAST(num AS BIGINT) END AS v FROM ot) SELECT min(v) AS num_min, max(v) AS num_max, round(avg(v), 6) AS num_mean, count(DISTINCT num) AS num_distinct, count(*) FILTER (nullif(trim(num), '') IS NULL) AS num_blank FROM n")
 def profile_numeric(spark, sf_dir):
     return rollups.profile_numeric(order_texts(spark, sf_dir), ["num"])
 
@@ -140,7 +139,7 @@ def top_values(spark, sf_dir):
 
 @query(f"WITH {ORDER_TEXTS} SELECT ymd, count(*) AS n FROM ot WHERE regexp_matches(ymd, '^[0-9]{{8}}$') GROUP BY 1")
 def date_histogram(spark, sf_dir):
-    return order_texts(spark, sf_dir).where(clean.ymd_valid("ymd")).groupBy("ymd").agg(F.count("*").alias("n"))
+    return rollups.date_histogram(order_texts(spark, sf_dir), "ymd")
 
 
 @query(f"WITH {ORDER_TEXTS} SELECT c_mktsegment, count(*) AS n FROM ot JOIN customer ON nullif(trim(num), '') = CAST(c_custkey AS VARCHAR) GROUP BY 1")
@@ -176,7 +175,7 @@ _SANITY = "a AS (SELECT o_custkey AS k, count(*) AS l FROM orders GROUP BY 1), b
 
 @query(f"WITH {_SANITY} SELECT sum(l)::BIGINT AS left_rows, sum(r)::BIGINT AS right_rows, count(l) AS left_keys, count(r) AS right_keys, count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS matched_keys, sum(l * r)::BIGINT AS joined_rows, max(l) AS left_fan_out, max(r) AS right_fan_out FROM j")
 def join_sanity(spark, sf_dir):
-    return joins.join_sanity(t(spark, sf_dir, "orders"), t(spark, sf_dir, "customer"), "o_custkey", "c_custkey")
+    return joins.join_sanity(t(spark, sf_dir, "orders"), t(spark, sf_dir, "customer"), "o_custkey", "c_custkey").drop("left_matched")
 
 
 @query(f"WITH {_SANITY}, s AS (SELECT count(l) AS left_keys, count(r) AS right_keys, count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS matched_keys FROM j) SELECT *, round(matched_keys / left_keys, 6) AS left_contained, round(matched_keys / right_keys, 6) AS right_contained FROM s")
@@ -186,7 +185,7 @@ def key_overlap(spark, sf_dir):
 
 @query("SELECT CASE WHEN max(l) > 1 THEN 'n' ELSE '1' END || '-' || CASE WHEN max(r) > 1 THEN 'n' ELSE '1' END AS cardinality, count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS matched_keys, count(l) AS left_keys, count(r) AS right_keys, sum(l * r)::BIGINT AS joined_rows FROM (WITH " + _SANITY + " SELECT * FROM j)")
 def verify_relationship(spark, sf_dir):
-    return relations.verify(t(spark, sf_dir, "orders"), t(spark, sf_dir, "customer"), "o_custkey", "c_custkey")
+    return relations.verify(t(spark, sf_dir, "orders"), t(spark, sf_dir, "customer"), "o_custkey", "c_custkey").drop("blank_share", "unmatched_share")
 
 
 @query("SELECT conv_id, role, round, first_turn FROM (SELECT conv_id, role, min(turn) AS first_turn, dense_rank() OVER (PARTITION BY conv_id ORDER BY min(turn), role) AS round FROM conversations GROUP BY 1, 2)")
@@ -196,13 +195,12 @@ def sequence_rank(spark, sf_dir):
 
 @query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id))) / 1e6 AS at_seconds FROM events")
 def steps_by_user(spark, sf_dir):
-    w = Window.partitionBy("user_id")
-    return t(spark, sf_dir, "events").select("event_id", "user_id", F.row_number().over(w.orderBy("ts", "event_id")).alias("step"), trace.seconds_between(F.min("ts").over(w), "ts").alias("at_seconds"))
+    return trace.elapsed_steps(t(spark, sf_dir, "events"), "user_id", "ts", "event_id")
 
 
-@query("SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1".replace("max_by(event_id, (ts, event_id))", "arg_max(event_id, ts)"))
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
 def newest_per_user(spark, sf_dir):
-    return t(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", "ts").alias("event_id"))
+    return rollups.newest_per_key(t(spark, sf_dir, "events"), "user_id", "ts", "event_id")
 
 
 @query("SELECT event_type AS action, count(*) AS n, round(avg(CAST(user_id % 7 AS DOUBLE)) * 1000, 3) AS avg_ms, round(sum(CAST(user_id % 7 AS DOUBLE)), 3) AS total_s, repeat('#', CAST(least(count(*), 40) AS INTEGER)) AS bar FROM events GROUP BY 1")
@@ -213,7 +211,7 @@ def action_histogram(spark, sf_dir):
 
 @query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def json_counts(spark, sf_dir):
-    return t(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").cast("bigint").alias("k"), "event_type").agg(F.count("*").alias("n"))
+    return rollups.counts_by_json(t(spark, sf_dir, "events"), "props", "$.k", ["event_type"])
 
 
 @query("WITH b AS (SELECT conv_id, role, count(*) AS n, count(*) FILTER (length(text) > 100) AS long FROM conversations GROUP BY 1, 2) SELECT role, count(*) AS tasks, round(avg(n), 6) AS avg_actions, round(avg(long), 6) AS avg_tool_calls FROM b GROUP BY 1")
@@ -226,7 +224,7 @@ def compare_agents(spark, sf_dir):
 
 @query("SELECT conv_id, turn, role, left(regexp_replace(text, '\\s+', ' ', 'g'), 80) AS text FROM conversations WHERE role IN ('user', 'assistant')")
 def transcript(spark, sf_dir):
-    return t(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant")).select("conv_id", "turn", "role", clean.excerpt("text", 80).alias("text"))
+    return trace.transcript(t(spark, sf_dir, "conversations"), "role", ("user", "assistant"), "text", ["conv_id", "turn"], 80)
 
 
 @query("SELECT DISTINCT 'customer' AS src, c_nationkey AS nationkey FROM customer UNION ALL SELECT DISTINCT 'supplier', s_nationkey FROM supplier")
@@ -451,9 +449,7 @@ def parse_answers(spark, sf_dir):
 
 @query(f"WITH {TASKS}, n AS (SELECT arg_max(conversation_id, (created_at, id)) AS conversation_id FROM elog) SELECT id, action_type FROM elog JOIN n USING (conversation_id)")
 def latest_conversation(spark, sf_dir):
-    log = event_log(spark, sf_dir)
-    newest = log.agg(F.max_by("conversation_id", F.struct("created_at", "id")).alias("conversation_id"))
-    return log.join(F.broadcast(newest), "conversation_id", "left_semi").select("id", "action_type")
+    return trace.latest_conversation(event_log(spark, sf_dir)).select("id", "action_type")
 
 
 @query("SELECT c_mktsegment AS role, 'nation' || c_nationkey AS object, string_agg(DISTINCT CASE c_custkey % 3 WHEN 0 THEN 'select' WHEN 1 THEN 'insert' ELSE 'update' END, ',' ORDER BY CASE c_custkey % 3 WHEN 0 THEN 'select' WHEN 1 THEN 'insert' ELSE 'update' END) AS privileges FROM customer GROUP BY 1, 2")
@@ -471,4 +467,7 @@ def aggregate_score(spark, sf_dir):
 
 @query("SELECT DISTINCT p_type AS value FROM part WHERE p_type ILIKE '%ec%' ORDER BY value LIMIT 20")
 def distinct_literals(spark, sf_dir):
-    return t(spark, sf_dir, "part").where(F.col("p_type").ilike("%ec%")).select(F.col("p_type").alias("value")).distinct().orderBy("value").limit(20)
+    return clean.distinct_literals(t(spark, sf_dir, "part"), "p_type", "ec")
+
+
+from . import reports  # noqa: E402, F401  registers its queries here

@@ -99,11 +99,19 @@ def append_report(df: DataFrame, path: str, purposes: list[str]) -> None:
 
 
 def sample_narratives(df: DataFrame, text_col: str, want: int, rows: int, seed: int = 42, least: int = 40) -> DataFrame:
-    """A sample of at most ``want`` longer texts: a share of three times that, within 1 and 100 percent, then a limit."""
+    """A sample of at most ``want`` longer texts: a share of three times that, within 1 and 100 percent, then a limit.
+
+    ``sample_report`` tells whether it came to less than half of what was wanted.
+    """
     share = min(100.0, max(1.0, want * 300.0 / max(rows, 1))) / 100.0
     return df.sample(share, seed).where(F.length(F.btrim(F.col(text_col))) > least).limit(want)
 
 
+def sample_report(sample: DataFrame, want: int) -> DataFrame:
+    n = F.count("*")
+    return sample.agg(n.alias("n_rows"), F.lit(want).alias("wanted"), (n * 2 < want).alias("too_few"))
+
+
 def with_identity(df: DataFrame, keys: list[str], name: str = "id") -> DataFrame:
     """A repeatable surrogate key from the natural one."""
     return df.withColumn(name, F.xxhash64(*keys))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.clean import excerpt
 from ..functions.vectors import HashingEmbedder, embed_batch
+from ..operators.trace import seconds_between
 
 
 def upsert_versions(spark: SparkSession, new: DataFrame, path: str, key: str, version: int) -> None:
@@ -21,11 +23,31 @@ def current(spark: SparkSession, path: str, key: str) -> DataFrame:
     return newest.select("r.*").drop("version")
 
 
-def maintain_embeddings(spark: SparkSession, source: DataFrame, target: str, checkpoint: str, text_col: str, key: str, embedder: HashingEmbedder | None = None, live: bool = False) -> StreamingQuery:
-    """Background: handle what is there and stop (availableNow). Live: keep running."""
+def compact(spark: SparkSession, path: str, key: str, target: str) -> None:
+    """Write the newest rows as version 0 of another folder, so that reads cost what the table holds and not its history."""
+    upsert_versions(spark, current(spark, path, key), target, key, 0)
+
+
+def newest_of_batch(batch: DataFrame, key: str, at: str | None) -> DataFrame:
+    """One row of each key: that of the latest source time, else the largest row, so that replays agree."""
+    order = F.struct(*([at] if at else []), *[c for c in batch.columns if c != at])
+    return batch.groupBy(key).agg(F.max(order).alias("_r")).select("_r.*").select(*batch.columns)
+
+
+def stream_log(source: DataFrame, target: str, checkpoint: str, live: bool = False) -> StreamingQuery:
+    """Append an action log, as it grows, as flat rows: the action, its tool, milliseconds and one line of text."""
+    request = lambda p: F.get_json_object("request_payload", p)
+    text = F.coalesce(F.get_json_object("response_payload", "$.text"), request("$.prompt"), F.col("response_payload"), F.col("request_payload"))
+    rows = source.select("id", "conversation_id", "action_type", request("$.tool_name").alias("tool"), F.round(seconds_between("created_at", "completed_at") * 1000, 3).alias("ms"), "status", excerpt(text, 120).alias("text"))
+    writer = rows.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint)
+    return (writer if live else writer.trigger(availableNow=True)).start()
+
+
+def maintain_embeddings(spark: SparkSession, source: DataFrame, target: str, checkpoint: str, text_col: str, key: str, embedder: HashingEmbedder | None = None, live: bool = False, at: str | None = None) -> StreamingQuery:
+    """Background: handle what is there and stop (availableNow). Live: keep running. ``at``: the column of a row's source time."""
 
     def write(batch: DataFrame, number: int) -> None:
-        newest = batch.dropDuplicates([key])
+        newest = newest_of_batch(batch, key, at)
         upsert_versions(spark, embed_batch(newest, text_col, "vec", embedder), target, key, number)
 
     writer = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
