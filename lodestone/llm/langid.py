@@ -2,19 +2,21 @@
 
 Characters are code points, A-Z without case; n-grams of one to three
 characters are hashed into ``1 << bits`` columns. Every task counts its rows
-into dense rows by language, which merge by language; only the log-probability
+into dense rows by language, cut into blocks of columns; these merge by language, block and a
+salt, then by language and block, so that no task gets a share of all tasks' rows. Only the log-probability
 matrix, languages x columns in float32, reaches the driver and is broadcast.
 Its size is checked against ``max_matrix_mb``. Scoring gathers matrix rows for
 whole batches of texts in numpy.
 
 Training rows need text and a non-null language; they are all used, with no
-sample. Null, empty and letterless texts are ``und`` with score 0. Ties go to
+sample. Null, empty and letterless texts (no character of Unicode's category L) are ``und`` with score 0. Ties go to
 the language that sorts first. With nothing to learn from, all are ``und``.
 Repeated rows count and are predicted each.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -28,7 +30,14 @@ from .shared import remainder
 
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
+#: Letters, and numbers that are no decimal digits, which ``has_letter`` leaves out.
 _LETTER = re.compile(r"[^\W\d_]")
+#: Columns of one block.
+BLOCK = 4096
+
+
+def has_letter(text: str | None) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text or ""))
 
 
 @dataclass(frozen=True)
@@ -69,32 +78,42 @@ def _count(bits: int):
                     found = np.bincount(hashed_ngrams(own, bits)[0], minlength=1 << bits)
                     counts[lang] = counts.get(lang, 0) + found
                     texts_of[lang] = texts_of.get(lang, 0) + len(own)
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([texts_of[x] for x in counts], pa.int64()), pa.array([c.astype(np.int64).tobytes() for c in counts.values()], pa.binary())], ["lang", "texts", "counts"])
+        step = min(BLOCK, 1 << bits)
+        for lang, found in counts.items():
+            rows = found.astype(np.int64).reshape(-1, step)
+            n = len(rows)
+            arrays = [pa.array([lang] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array([texts_of[lang]] + [0] * (n - 1), pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["lang", "block", "texts", "counts"])
 
     return run
 
 
 def _merge(key, table):
-    total = sum(np.frombuffer(c.as_py(), np.int64) for c in table.column("counts"))
-    return pa.table({"lang": [key[0].as_py()], "texts": pa.array([sum(table.column("texts").to_pylist())], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+    total = np.zeros(len(table.column("counts")[0].as_py()) // 8, np.int64)
+    for c in table.column("counts"):
+        total += np.frombuffer(c.as_buffer(), np.int64)
+    return pa.table({"lang": [key[0].as_py()], "block": pa.array([key[1].as_py()], pa.int32()), "texts": pa.array([sum(table.column("texts").to_pylist())], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int = 16, smoothing: float = 0.5, max_matrix_mb: int = 256) -> Model:
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    schema = "lang string, texts long, counts binary"
-    # a task's counts are rows of one size: deal them out by language and a salt, then by language
-    salted = rows.mapInArrow(_count(bits), schema).withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(8)))
-    counted = salted.groupBy("lang", "salt").applyInArrow(_merge, schema)
-    found = counted.groupBy("lang").applyInArrow(_merge, schema).orderBy("lang")
-    languages, texts, columns = [], [], []
-    for r in found.toLocalIterator():  # one language at a time
-        if (len(languages) + 1 << bits) * 4 > max_matrix_mb << 20:
-            raise ValueError(f"the matrix of more than {len(languages)} languages is larger than {max_matrix_mb} MB; use fewer bits")
-        c = np.frombuffer(r.counts, np.int64) + smoothing
-        languages.append(r.lang)
-        texts.append(r.texts)
-        columns.append(np.log(c / c.sum()).astype(np.float32))
+    schema = "lang string, block int, texts long, counts binary"
+    salts = max(8, math.isqrt(docs.count() // 1000))
+    salted = rows.mapInArrow(_count(bits), schema).withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(salts)))
+    counted = salted.groupBy("lang", "block", "salt").applyInArrow(_merge, schema)
+    found = counted.groupBy("lang", "block").applyInArrow(_merge, schema).orderBy("lang", "block")
+    languages, texts, columns, parts = [], [], [], []
+    for r in found.toLocalIterator():  # one block at a time
+        if not r.block:
+            if (len(languages) + 1 << bits) * 4 > max_matrix_mb << 20:
+                raise ValueError(f"the matrix of more than {len(languages)} languages is larger than {max_matrix_mb} MB; use fewer bits")
+            languages.append(r.lang)
+            texts.append(r.texts)
+        parts.append(np.frombuffer(r.counts, np.int64))
+        if sum(map(len, parts)) == 1 << bits:
+            c = np.concatenate(parts) + smoothing
+            columns.append(np.log(c / c.sum()).astype(np.float32))
+            parts = []
     if not languages:
         return Model((), np.zeros((1 << bits, 0), np.float32), np.zeros(0))
     return Model(tuple(languages), np.ascontiguousarray(np.stack(columns, 1)), np.log(np.array(texts) / sum(texts)))
@@ -102,7 +121,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: i
 
 def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and its posterior probability by text."""
-    letters = np.array([bool(t and _LETTER.search(t)) for t in texts], bool)
+    letters = np.array([has_letter(t) for t in texts], bool)
     if not model.languages or not letters.any():
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
     at, row = hashed_ngrams([t or "" for t in texts], int(len(model.matrix)).bit_length() - 1)

@@ -2,16 +2,16 @@
 
 1. Tasks cut texts into words, add one end per text, and send each shard of the
    64-bit bigram hashes its distinct bigrams with counts, as packed arrays. The
-   leading bits, which name the shard, come from the first word and one of eight
-   salts of the second: a word's bigrams lie close together, yet a frequent word
-   spreads over eight shards.
+   leading bits, which name the shard, come from the first word and a salt of the
+   second: a word's bigrams lie close together, yet a frequent word spreads over
+   eight shards, and over more as shards grow in number.
 2. A shard merges its arrays, writes ``bi-<shard>`` (sorted hashes and counts)
    to the shared folder, and sends what the bigrams say of their words.
 3. Word shards merge that into ``word-<shard>`` (sorted hashes; count, distinct
    left neighbours, and as a context: total and how many bigrams have count 1,
    2, 3 or more). Only sums by shard reach the driver: they give the discounts.
 4. Scoring tasks memory-map the arrays and look up each slice's distinct
-   bigrams in sorted order.
+   bigrams in sorted order. At most ``MAPPED`` shards stay mapped.
 
 Null texts are empty: they score their end alone. Repeated rows count as often
 as they occur. A null id belongs to the training rows. An empty corpus gives
@@ -21,6 +21,7 @@ the uniform model.
 from __future__ import annotations
 
 import json
+from collections import OrderedDict
 from dataclasses import asdict, dataclass
 from functools import lru_cache
 
@@ -35,6 +36,8 @@ from .shared import map_array, new_dir, power_of_two, remainder, save_array, shu
 BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA41B56C4E9)
 #: Tokens that a task gathers before it sends its distinct bigrams.
 BLOCK = 2_000_000
+#: Shards that a scoring process keeps mapped, two files each; systems allow some 65,000 mappings.
+MAPPED = 8192
 WORD_FIELDS = ("count", "left", "total", "one", "two", "more")
 
 
@@ -87,7 +90,8 @@ def bigram_keys(before: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
     key = tx.pair(before, word)
     if not bits:
         return key
-    lead = tx.mix(before + (word & np.uint64(7)) * np.uint64(0xD6E8FEB86659FD93))
+    salts = np.uint64((1 << max(3, bits - 6)) - 1)
+    lead = tx.mix(before + (word & salts) * np.uint64(0xD6E8FEB86659FD93))
     low = np.uint64((1 << (64 - bits)) - 1)
     return (lead & ~low) | (key & low)
 
@@ -253,8 +257,8 @@ def score_held_out(docs: DataFrame, divisor: int = 5, held_out: int = 1, id_col:
 
 
 @lru_cache(maxsize=4)
-def _files(model: str) -> dict:
-    return {}
+def _files(model: str) -> OrderedDict:
+    return OrderedDict()
 
 
 def _find(model: Model, kind: str, value: str, bits: int, keys: np.ndarray, width: tuple) -> np.ndarray:
@@ -270,6 +274,9 @@ def _find(model: Model, kind: str, value: str, bits: int, keys: np.ndarray, widt
                 files[name] = map_array(model.uri, f"{name}.key"), map_array(model.uri, f"{name}.{value}")
             except FileNotFoundError:  # no training row had a hash in this shard
                 files[name] = None
+            if len(files) > MAPPED:
+                files.popitem(last=False)
+        files.move_to_end(name)
         if files[name] is not None:
             sorted_keys, values = files[name]
             p = np.minimum(np.searchsorted(sorted_keys, keys[i:j]), len(sorted_keys) - 1)

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by systematic sampling; DataFrame functions only.
 
 Every document of a source expects target / source_size copies. Within a
-source the documents stand in a fixed order (size class, hash of the id, id);
+source the documents stand in a fixed order (size class, hash of the id, id, size, hash of the text);
 the expected copies are prefix-summed along it, one offset is added, and a
 document is taken once for each integer boundary that its stretch crosses. The
 order by size class makes the words that are taken come near the target. The
@@ -9,7 +9,7 @@ offset and the order depend on ids and sources only, so reruns agree.
 
 A null source is a source of its own and the last; a null text has size 0.
 Sources without words have target 0 and nothing is taken from them. Repeated
-rows are documents of their own. Other columns are not looked at.
+rows are documents of their own, and stand side by side. Ids keep their type. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -49,16 +49,26 @@ def source_targets(sources: DataFrame, weights: tuple = WEIGHTS, cap: float = CA
     return t.select("source", "source_size", F.least("_cap", F.col("_w") * F.col("_final")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, cap: float = CAP, key_col: str | None = None) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) for every row of ``docs``, and its ``key_col`` where ids do not tell rows apart."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, cap: float = CAP, key_col: str | None = None, rows_per_cell: int = 1_000_000) -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken) for every row of ``docs``, and its ``key_col`` where ids do not tell rows apart.
+
+    A source's rows are ranked in cells: size class, first digit of the id's hash, and where a table has
+    more than ``rows_per_cell`` rows, ranges of whole-number ids, which follow the order within a digit.
+    """
     key = [key_col] if key_col else []
-    sized = docs.select(*key, F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"))
+    tie = F.xxhash64(F.col(text_col).cast("string"))
+    sized = docs.select(*key, F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), tie.alias("tie"))
     digest = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
     bits = "length(bin(size))"
-    sized = stored(sized.select(*key, "id", "source", "size", F.expr(f"cast({bits} * 32 + shiftright(size, greatest({bits} - 5, 0)) as long)").alias("size_class"), F.substring(digest, 1, 1).alias("part")), "sized")
+    sized = stored(sized.select(*key, "id", "source", "size", "tie", F.expr(f"cast({bits} * 32 + shiftright(size, greatest({bits} - 5, 0)) as long)").alias("size_class"), F.substring(digest, 1, 1).alias("part")), "sized")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap).withColumnRenamed("source", "_source")
-    ranked = sized.withColumn("place", F.concat(F.lpad(F.col("size_class").cast("string"), 6, "0"), "part"))
-    ranked = distributed_rank(ranked, ["source"], "place", ["id", *key], "rank")
+    place = [F.lpad(F.col("size_class").cast("string"), 6, "0"), F.col("part")]
+    cells = min(64, sized.count() // rows_per_cell)
+    if cells and sized.schema["id"].dataType.typeName() in ("integer", "long"):
+        edges = sized.agg(F.approx_percentile("id", [k / (cells + 1) for k in range(1, cells + 1)])).first()[0] or []
+        place.append(F.lpad(sum((F.coalesce((F.col("id") > e).cast("int"), F.lit(0)) for e in edges), F.lit(0)).cast("string"), 2, "0"))
+    ranked = sized.withColumn("place", F.concat(*place))
+    ranked = distributed_rank(ranked, ["source"], "place", ["id", "size", "tie", *key], "rank")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = (F.conv(F.substring(F.md5(F.coalesce(F.col("source"), F.lit("")).cast("binary")), 1, 6), 16, 10).cast("double") + 0.5) / 16777216.0
     joined = ranked.join(targets, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_rate", rate).withColumn("_u", offset)

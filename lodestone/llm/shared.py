@@ -12,9 +12,11 @@ from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset a local master, as in tests, gets one; a cluster gets an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local") and not spark.sparkContext.getCheckpointDir():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
@@ -116,8 +118,8 @@ def save_array(uri: str, name: str, array) -> None:
 
 
 def map_array(uri: str, name: str):
-    """Memory-map a saved array; from a store that cannot be mapped, by way of an unlinked local file."""
-    import os
+    """Memory-map a saved array; from a store that cannot be mapped it is read."""
+    import io
 
     import numpy as np
     import pyarrow.fs as fs
@@ -125,9 +127,5 @@ def map_array(uri: str, name: str):
     files, path = open_files(uri)
     if isinstance(files, fs.LocalFileSystem):
         return np.load(f"{path}/{name}.npy", mmap_mode="r")
-    with files.open_input_stream(f"{path}/{name}.npy") as src, tempfile.NamedTemporaryFile(delete=False) as out:
-        while block := src.read(1 << 22):
-            out.write(block)
-    mapped = np.load(out.name, mmap_mode="r")
-    os.unlink(out.name)
-    return mapped
+    with files.open_input_stream(f"{path}/{name}.npy") as src:
+        return np.load(io.BytesIO(src.read()))

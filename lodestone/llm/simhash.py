@@ -8,16 +8,22 @@ anchor within 3, its home, and is replicated to every anchor within
 3 + 1, about five of them. A linked pair therefore meets at the home anchor of
 either, where homes are compared with replicas. A bucket returns a spanning
 forest of its links, never the pairs, so a group of near copies costs rows in
-proportion to its size; anchors with many homes are cut into tiles.
+proportion to its size.
+
+An anchor with many homes is cut by the bits outside its stretch: of five blocks of
+these, four differing bits leave one equal, of six two, of seven three, and so on.
+Rows of such an anchor meet by every choice of as many blocks, so their number grows
+with the rows, not with their square; more blocks are taken as homes grow in number.
 
 Only distinct fingerprints are compared. Null and empty texts have fingerprint
 zero and link like others. Texts of fewer words than a shingle are one shingle.
-Repeated rows share a fingerprint. Null ids join groups but never name one that
+Repeated rows share a fingerprint. Ids are whole numbers. Null ids join groups but never name one that
 has another id. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -31,8 +37,8 @@ from .shared import components, power_of_two, stored
 
 #: Bits of the three stretches, the Golay generator x^11+x^9+x^7+x^6+x^5+x+1, the code's covering radius.
 STRETCHES, GENERATOR, RADIUS = (22, 21, 21), 0b101011100011, 3
-#: Homes of one tile of an anchor.
-TILE = 4096
+#: Homes that are compared at once; anchors with more are cut, and cut finer as they grow.
+MOST = 4096
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -151,33 +157,61 @@ def _compare(distance: int):
         a, b = [], []
         for i, j in zip(edge[:-1], edge[1:], strict=True):
             rows = order[i:j]
-            h, r = rows[home[rows]], rows[~home[rows]]
-            if len(h) and len(r):
-                for p, q in link_forest(fp[h], fp[r], distance):
+            h = rows[home[rows]]
+            if len(h) and len(rows) > 1:
+                for p, q in link_forest(fp[h], fp[rows], distance):
                     a.append(ids[h[p]])
-                    b.append(ids[r[q]])
+                    b.append(ids[rows[q]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
+#: Most blocks of a hot anchor: of nine, five are equal.
+FINEST = 9
+_REST = 64 - min(STRETCHES)
+
+
+def block_masks(blocks: int, distance: int) -> list[int]:
+    """Masks over the bits outside a stretch: every choice of so many blocks as ``distance`` differing bits must leave equal."""
+    edges = [k * _REST // blocks for k in range(blocks + 1)]
+    one = [(1 << b) - (1 << a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return [sum(c) for c in combinations(one, blocks - distance)]
+
+
+def equal_bits(blocks: int, distance: int) -> int:
+    """Bits in the smallest choice of blocks."""
+    return min(m.bit_count() for m in block_masks(blocks, distance))
+
+
 def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
     """Edges (a, b) of a forest that joins whatever links of at most ``distance`` bits join; nodes: distinct (id, fp)."""
     if distance > 5:
         raise ValueError("three stretches and one bit of slack cover at most 5 bits")
     replicas = stored(nodes.select("id", "fp").mapInArrow(_replicate, "stretch int, anchor int, home boolean, id long, fp long"), "replicas")
     cells = min(12, power_of_two(replicas.count() / 3 / 65536) + 4)
-    hot = replicas.where("home").groupBy("stretch", "anchor").count().where(F.col("count") > TILE).withColumn("tiles", F.ceil(F.col("count") / TILE).cast("int"))
-    r = replicas.join(hot.drop("count"), ["stretch", "anchor"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    # a tile has one part of an anchor's homes and one part of its replicas
-    every = F.sequence(F.lit(0), F.col("tiles") - 1)
-    as_replica = r.select("stretch", "anchor", "id", "fp", F.lit(False).alias("home"), F.explode(F.transform(every, lambda i: i * F.col("tiles") + own)).alias("tile"))
-    as_home = r.where("home").select("stretch", "anchor", "id", "fp", "home", F.explode(F.transform(every, lambda i: own * F.col("tiles") + i)).alias("tile"))
-    cell = (F.col("stretch") * 4096 + F.shiftright(F.col("anchor"), 12 - cells)).alias("cell")
-    # one group is a cell of anchors; tiles of hot anchors are groups of their own
-    both = as_replica.unionByName(as_home).withColumn("cell", cell).withColumn("tile", F.when(F.col("tile") > 0, F.col("tile") * 4096 + F.col("anchor")).otherwise(0))
-    return both.groupBy("cell", "tile").applyInArrow(_compare(distance), "a long, b long")
+    count = replicas.where("home").groupBy("stretch", "anchor").count().where(F.col("count") > MOST)
+    # so many blocks that about MOST homes agree in a choice of them
+    level = reduce(lambda out, n: out.when(F.col("count") <= MOST * (1 << equal_bits(n, distance)), n), range(distance + 1, FINEST), F)
+    hot = count.select("stretch", "anchor", level.otherwise(FINEST).alias("blocks"))
+    r = replicas.join(hot, ["stretch", "anchor"], "left")
+    whole = F.array(F.struct(F.lit(0).alias("choice"), F.lit(0).cast("long").alias("bits")))
+    # what is left of a fingerprint without the stretch
+    rest = F.lit(0).cast("long")
+    for stretch, bits in enumerate(STRETCHES):
+        shift = sum(STRETCHES[:stretch])
+        low, high = F.col("fp").bitwiseAND(F.lit((1 << shift) - 1).cast("long")), F.shiftrightunsigned("fp", shift + bits) if shift + bits < 64 else F.lit(0).cast("long")
+        rest = F.when(F.col("stretch") == stretch, low.bitwiseOR(F.shiftleft(high, shift))).otherwise(rest)
+    cut = whole
+    for n in range(distance + 1, FINEST + 1):
+        choices = [F.struct((F.lit(n * 1000 + k)).alias("choice"), F.col("rest").bitwiseAND(F.lit(mask).cast("long")).alias("bits")) for k, mask in enumerate(block_masks(n, distance))]
+        cut = F.when(F.col("blocks") == n, F.array(*choices)).otherwise(cut)
+    dealt = r.withColumn("rest", rest).select("stretch", "anchor", "home", "id", "fp", "blocks", F.explode(cut).alias("c"))
+    # one group is a cell of anchors; parts of hot anchors are groups of their own
+    cell = F.col("stretch") * 4096 + F.shiftright(F.col("anchor"), 12 - cells)
+    part = F.when(F.col("blocks").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("anchor", "c"))
+    both = dealt.select("anchor", "home", "id", "fp", cell.alias("cell"), part.alias("part"))
+    return both.groupBy("cell", "part").applyInArrow(_compare(distance), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -187,5 +221,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # fingerprints are linked under themselves, so that those of null ids alone link too
     joined = components(links(nodes.select(F.col("fp").alias("id"), "fp"), distance))
     grouped = nodes.join(joined, nodes.fp == joined.node, "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "fp").alias("_group"), "id")
-    named = grouped.join(grouped.groupBy("_group").agg(F.min("id").alias("component_id")), "_group").select("_fp", "component_id")
+    # stored, so that the join below is between plain shuffles, of which adaptive execution splits a hot fingerprint's
+    named = stored(grouped.join(grouped.groupBy("_group").agg(F.min("id").alias("component_id")), "_group").select("_fp", "component_id"), "named")
     return rows.join(named, F.col("fp") == F.col("_fp"), "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
