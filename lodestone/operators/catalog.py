@@ -65,7 +65,7 @@ def objects(spark: SparkSession, tables: list[str]) -> DataFrame:
     rows = []
     for t in tables:
         cols = spark.catalog.listColumns(t)
-        kind = "view" if spark.catalog.getTable(t).tableType in ("VIEW", "TEMPORARY") else "table"
+        kind = "view" if spark.catalog.getTable(t).tableType == "VIEW" else "table"
         rows.append(("schema", kind, t, None, t, f"{t}({', '.join(c.name for c in cols)})", spark.catalog.getTable(t).description))
         rows += [("schema", "column", t, c.name, f"{t}.{c.name}", f"{t}.{c.name} {c.dataType}", c.description) for c in cols]
     return spark.createDataFrame(rows, COLUMNS)

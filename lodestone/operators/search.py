@@ -108,9 +108,21 @@ def knn_approx(df: DataFrame, vector: str, queries: DataFrame, k: int, id_col: s
     return best_of_each(both.select("query_id", id_col, F.round(cos, 12).alias("similarity")), "similarity", id_col, k)
 
 
+def with_words(df: DataFrame, words: Column, name: str = "_words") -> DataFrame:
+    """Adds the words of a row, extracted once: filters that name a plain column's words several times would each extract them again, but none moves below an explode."""
+    return df.withColumn(name, F.explode(F.array(words)))
+
+
+def store_words(df: DataFrame, words: Column, path: str, name: str = "words") -> DataFrame:
+    """Write the words beside the rows, for many searches to read."""
+    with_words(df, words, name).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def lexical_search(df: DataFrame, words: Column, query: WebQuery, k: int, id_col: str, pre_filter: Column | None = None) -> DataFrame:
     some = df if pre_filter is None else df.where(pre_filter)
-    scored = some.where(matches(words, query)).select(id_col, F.round(cover_rank(words, query), 6).alias("lexical_score"))
+    own = F.col("_words")
+    scored = with_words(some, words).where(matches(own, query)).select(id_col, F.round(cover_rank(own, query), 6).alias("lexical_score"))
     return ranked(scored, "lexical_score", id_col, k)
 
 
@@ -135,29 +147,34 @@ def rrf(arms: list[DataFrame], id_col: str, k: int = 60, rank: str = "rank") ->
     return parts.groupBy(id_col).agg(F.sum("_s").alias("rrf_score"))
 
 
-def hybrid_search(df: DataFrame, vector: str, query_vector: list[float], words: Column, query: WebQuery, id_col: str, pre_filter: Column | None = None, candidates: int = 300, k: int = 20, show: list[str] | None = None) -> DataFrame:
-    """Both arms under one predicate, fused, cut to k, then joined with the base for what is shown."""
+def hybrid_search(df: DataFrame, vector: str, query_vector: list[float], words: Column, query: WebQuery, id_col: str, pre_filter: Column | None = None, candidates: int = 300, k: int = 20, show: list[str] | None = None, base: DataFrame | None = None) -> DataFrame:
+    """Both arms under one predicate, fused, cut to k, then joined with the base for what is shown.
+
+    ``df`` has the vectors; ``base``, if given, has the words and what is shown, and is read for those instead.
+    """
+    texts = df if base is None else base
     v = knn_cosine(df, vector, query_vector, candidates, id_col, pre_filter).withColumnRenamed("rank", "vector_rank")
-    w = lexical_search(df, words, query, candidates, id_col, pre_filter).withColumnRenamed("rank", "lexical_rank")
+    w = lexical_search(texts, words, query, candidates, id_col, pre_filter).withColumnRenamed("rank", "lexical_rank")
     fused = v.join(w, id_col, "full")
     part = lambda c: F.coalesce(1.0 / (60 + F.col(c)), F.lit(0.0))
     best = fused.withColumn("rrf_score", F.round(part("vector_rank") + part("lexical_rank"), 8)).orderBy(F.desc("rrf_score"), id_col).limit(k)
-    return df.select(id_col, *(show or [])).join(F.broadcast(best), id_col)  # at most k rows
+    return texts.select(id_col, *(show or [])).join(F.broadcast(best), id_col)  # at most k rows
 
 
 def semantic_only(df: DataFrame, vector: str, query_vector: list[float], words: Column, query: WebQuery, id_col: str, k: int = 10) -> DataFrame:
     """Nearest rows that do not match the words."""
-    return knn_cosine(df, vector, query_vector, k, id_col, ~matches(words, query))
+    return knn_cosine(with_words(df, words), vector, query_vector, k, id_col, ~matches(F.col("_words"), query))
 
 
-def hybrid_every(df: DataFrame, vector: str, queries: DataFrame, words: Column, query: WebQuery, id_col: str, pre_filter: Column | None = None, candidates: int = 300, k: int = 20, show: list[str] | None = None) -> DataFrame:
+def hybrid_every(df: DataFrame, vector: str, queries: DataFrame, words: Column, query: WebQuery, id_col: str, pre_filter: Column | None = None, candidates: int = 300, k: int = 20, show: list[str] | None = None, base: DataFrame | None = None) -> DataFrame:
     """``hybrid_search`` for every query vector, with one query of words."""
+    texts = df if base is None else base
     v = knn_every(df, vector, queries, candidates, id_col, pre_filter).withColumnRenamed("rank", "vector_rank")
-    w = lexical_search(df, words, query, candidates, id_col, pre_filter).withColumnRenamed("rank", "lexical_rank")
+    w = lexical_search(texts, words, query, candidates, id_col, pre_filter).withColumnRenamed("rank", "lexical_rank")
     fused = v.join(queries.select("query_id").crossJoin(w), ["query_id", id_col], "full")
     part = lambda c: F.coalesce(1.0 / (60 + F.col(c)), F.lit(0.0))
     best = best_of_each(fused.withColumn("rrf_score", F.round(part("vector_rank") + part("lexical_rank"), 8)), "rrf_score", id_col, k)
-    return df.select(id_col, *(show or [])).join(best, id_col)
+    return texts.select(id_col, *(show or [])).join(best, id_col)
 
 
 def candidate_ids(arms: list[DataFrame], id_col: str) -> DataFrame:

@@ -273,7 +273,7 @@ _VEC = f"vx AS (SELECT vec_id AS doc_id, {_COS} AS s, row_number() OVER (ORDER B
  SELECT f.*, source FROM f JOIN documents USING (doc_id) ORDER BY rrf_score DESC, doc_id LIMIT 20""")
 def hybrid_search(spark, sf_dir):
     d = _documents_with_vectors(spark, sf_dir)
-    found = search.hybrid_search(d, "embedding", query_vector(spark, sf_dir), lexical.lexemes("text", stemming=False), WEB_QUERY, "doc_id", F.col("lang") == "en", show=["source"])
+    found = search.hybrid_search(d, "embedding", query_vector(spark, sf_dir), lexical.lexemes("text", stemming=False), WEB_QUERY, "doc_id", F.col("lang") == "en", show=["source"], base=t(spark, sf_dir, "documents"))
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -301,8 +301,8 @@ def knn_cosine_every(spark, sf_dir):
 
 @query(f"WITH {_LEX}, {_QUERIES}, c AS (SELECT query_id, vec_id, {_ALL} AS s FROM embeddings e JOIN documents ON doc_id = vec_id, q WHERE doc_id NOT IN (SELECT doc_id FROM m)) SELECT query_id, vec_id AS doc_id, round(s, 6) AS similarity, {_BEST} AS rank FROM c QUALIFY rank <= 10")
 def semantic_only_every(spark, sf_dir):
-    unmatched = ~lexical.matches(lexical.lexemes("text", stemming=False), WEB_QUERY)
-    found = search.knn_every(_documents_with_vectors(spark, sf_dir), "embedding", query_vectors(spark, sf_dir), 10, "doc_id", unmatched)
+    unmatched = ~lexical.matches(F.col("_words"), WEB_QUERY)
+    found = search.knn_every(search.with_words(_documents_with_vectors(spark, sf_dir), lexical.lexemes("text", stemming=False)), "embedding", query_vectors(spark, sf_dir), 10, "doc_id", unmatched)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -312,7 +312,7 @@ def semantic_only_every(spark, sf_dir):
  SELECT f.*, source, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id) AS rank FROM f JOIN documents USING (doc_id) QUALIFY rank <= 20""")
 def hybrid_search_every(spark, sf_dir):
     d = _documents_with_vectors(spark, sf_dir)
-    found = search.hybrid_every(d, "embedding", query_vectors(spark, sf_dir), lexical.lexemes("text", stemming=False), WEB_QUERY, "doc_id", F.col("lang") == "en", show=["source"])
+    found = search.hybrid_every(d, "embedding", query_vectors(spark, sf_dir), lexical.lexemes("text", stemming=False), WEB_QUERY, "doc_id", F.col("lang") == "en", show=["source"], base=t(spark, sf_dir, "documents"))
     return found.withColumn("similarity", F.round("similarity", 6))
 
 

@@ -66,16 +66,20 @@ def line_report(lines: DataFrame) -> DataFrame:
 
 
 def most_recent_n(df: DataFrame, date_col: str, n: int, tie: list[str]) -> DataFrame:
-    """The n newest rows by yyyyMMdd text; malformed dates are left out. Two passes and a histogram, no global sort."""
-    valid = df.where(F.col(date_col).rlike("^[0-9]{8}$"))
-    newest = Window.orderBy(F.col(date_col).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    days = valid.groupBy(date_col).agg(F.count("*").alias("_n")).withColumn("_sum", F.sum("_n").over(newest))
-    cut = days.where(F.col("_sum") - F.col("_n") < n).agg(F.min(date_col).alias("_cut"), F.max(F.struct("_sum", "_n")).alias("_last"))
-    cut = cut.select("_cut", (n - F.col("_last._sum") + F.col("_last._n")).alias("_quota"))
-    marked = valid.crossJoin(F.broadcast(cut))  # one row
-    above = marked.where(F.col(date_col) > F.col("_cut"))
-    at = marked.where(F.col(date_col) == F.col("_cut")).withColumn("_r", F.row_number().over(Window.partitionBy(date_col).orderBy(*tie))).where("_r <= _quota").drop("_r")
-    return above.unionByName(at).drop("_cut", "_quota")
+    """The n newest rows by yyyyMMdd text, blanks about it aside; malformed dates are left out. Two passes and a histogram, no global sort.
+
+    The histogram has a row a day. The first pass runs when this is called: it tells the day at which the n-th
+    row lies, and how many rows of that day are taken, each task's first ones by ``tie`` being merged.
+    """
+    day = F.btrim(F.col(date_col))
+    valid = df.where(day.rlike("^[0-9]{8}$"))
+    newest = Window.orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    days = valid.groupBy(day.alias("_day")).agg(F.count("*").alias("_n")).withColumn("_sum", F.sum("_n").over(newest))
+    cut = days.where(F.col("_sum") - F.col("_n") < n).orderBy("_day").first()
+    if cut is None:
+        return valid.limit(0)
+    at = valid.where(day == cut["_day"]).orderBy(*tie).limit(n - cut["_sum"] + cut["_n"])
+    return valid.where(day > cut["_day"]).unionByName(at)
 
 
 def load_summary(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:

@@ -11,20 +11,18 @@ from lodestone.operators import aliases, catalog, governed, joins, relations, ro
 from lodestone.sources import landing, schemas
 from lodestone.streaming import upkeep
 
-#: Complaint fixture: id, make, model, year, component, failed, received, added, occurrences.
+#: Own complaint fixture: id, make, model, year, component, failed, received, added, occurrences.
 COMPLAINTS = [
-    ("1001", "MERCEDES BENZ", "C-CLASS", "2019", "AIR BAGS", "20221118", "20230112", "20230115", "1"),
-    ("1002", "BMW", "3-SERIES", "2020", "AIR BAGS", "20221230", "20230210", "20230212", "2"),
-    ("1003", "FORD", "F-150", "2018", "AIR BAGS", "20230317", "20230321", "20230324", "1"),
-    ("1004", "TOYOTA", "CAMRY", "2021", "AIR BAGS", "20231228", "20240105", "20240108", "1"),
-    ("1005", "HONDA", "CIVIC", "2017", "SERVICE BRAKES", "20230419", "20230425", "20230427", "3"),
-    ("1006", "MERCEDES BENZ", "GLC", "2022", "SERVICE BRAKES", "20220830", "20220905", "20220908", "1"),
-    ("1007", "BMW", "X5", "2019", "ELECTRICAL SYSTEM", "20230715", "20230720", "20230722", "1"),
-    ("1008", "VOLKSWAGEN", "GOLF", "2020", "ENGINE", "20240102", "20240110", "20240112", "2"),
-    ("1009", "FORD", "EXPLORER", "2021", "AIR BAGS", "20211105", "20211112", "20230103", "1"),
-    ("1010", "TOYOTA", "RAV4", "2018", "ENGINE", "20230601", "20230608", "20230610", "1"),
+    ("c1", "ALDER", "ONE", "2001", "LAMPS", "20221105", "20230104", "20230201", "1"),
+    ("c2", "BIRCH", "TWO", "2002", "LAMPS", "20230510", "20230601", "20240103", "4"),
+    ("c3", "CEDAR", "SIX", "2003", "LAMPS", "20231120", "20231201", "20240110", "1"),
+    ("c4", "BIRCH", "TWO", "2003", "LAMPS", "20231230", "20240102", "20240105", "x"),
+    ("c5", "ALDER", "ONE", "2001", "LAMPS", "20220101", "20220301", "20230102", "1"),
+    ("c6", "ELDER", "", "2004", "LAMPS", "20230801", "20240201", "20240202", "1"),
+    ("c7", "FIR", "TEN", "2005", "STEERING", "20230301", "20230302", "20230303", "2"),
+    ("c8", "CEDAR", "SIX", "2002", "STEERING", "20230401", "20230402", "20230403", "5"),
 ]
-RECALLS = [("MERCEDES BENZ", "C-CLASS", "2019", "AIR BAGS"), ("BMW", "3-SERIES", "2020", "AIR BAGS"), ("HONDA", "CIVIC", "2017", "SERVICE BRAKES"), ("TOYOTA", "RAV4", "2018", "ENGINE AND ENGINE COOLING"), ("FORD", "EXPLORER", "2021", "ELECTRICAL SYSTEM")]
+RECALLS = [("ALDER", "ONE", "2001", "LAMPS"), ("BIRCH", "TWO", "2002", "LAMPS AND WIRES"), ("FIR", "TEN", "2005", "STEERING"), ("ELDER", "", "2004", "LAMPS"), ("CEDAR", "SIX", "2001", "LAMPS")]
 
 
 @pytest.fixture(scope="module")
@@ -33,19 +31,19 @@ def complaints(spark):
 
 
 def test_three_dates_give_three_answers(complaints):
-    bags = complaints.where("compdesc = 'AIR BAGS'")
-    r = rollups.counts_by_each_date(bags, ["ldate", "faildate", "datea"], "20230101", "20231231").first()
-    assert (r.ldate_in_period, r.faildate_in_period, r.datea_in_period) == (3, 2, 4)
+    lamps = complaints.where("compdesc = 'LAMPS'")
+    r = rollups.counts_by_each_date(lamps, ["ldate", "faildate", "datea"], "20230101", "20231231").first()
+    assert (r.ldate_in_period, r.faildate_in_period, r.datea_in_period) == (3, 4, 2)
 
 
 def test_sum_is_not_count_and_component_joins(spark, complaints):
-    assert complaints.where("compdesc = 'SERVICE BRAKES'").agg(F.sum(clean.digits_or("occurences"))).first()[0] == 4
+    assert complaints.where("compdesc = 'STEERING'").agg(F.sum(clean.digits_or("occurences"))).first()[0] == 7
     recalls = spark.createDataFrame(RECALLS, "maketxt string, modeltxt string, yeartxt string, compname string")
     keys = [("maketxt", "maketxt"), ("modeltxt", "modeltxt"), ("yeartxt", "yeartxt")]
     four = joins.join_nonblank(complaints, recalls, [*keys, ("compdesc", "compname")]).select(complaints.maketxt).distinct()
-    assert {r[0] for r in four.collect()} == {"BMW", "HONDA", "MERCEDES BENZ"}
-    three = joins.join_nonblank(complaints, recalls, keys).select(complaints.maketxt).distinct()
-    assert {r[0] for r in three.collect()} == {"BMW", "HONDA", "MERCEDES BENZ", "FORD", "TOYOTA"}
+    assert {r[0] for r in four.collect()} == {"ALDER", "FIR"}
+    three = joins.join_nonblank(complaints, recalls, keys).select(complaints.maketxt).distinct()  # blank models match nothing
+    assert {r[0] for r in three.collect()} == {"ALDER", "BIRCH", "FIR"}
 
 
 def test_landing_keeps_bytes_and_refuses_shifts(spark):
@@ -174,6 +172,7 @@ def test_catalogue(spark):
     lines = ["preamble", "1  CMPLID      CHAR(9)   Unique id", "2  MAKE NAME   CHAR(25)  Make of", "      the car", "      A = one", "      B = two", "3  MODEL       CHAR(9)"]
     records = catalog.assemble_records(spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no int, line string"))
     got = {r.field_no: (r["name"], r.description) for r in records.collect()}
+    assert {r.type for r in records.collect()} == {"CHAR(9)", "CHAR(25)"}
     assert got == {1: ("cmplid", "Unique id"), 2: ("make_name", "Make of the car; A = one; B = two"), 3: ("model", "")}
     columns = spark.createDataFrame([(1, "cmplid"), (2, "maketxt"), (3, "model"), (4, "extra")], "position int, column_name string")
     assert {r.position: r.status for r in catalog.attach_comments(records, columns).collect()} == {1: "ok", 2: "name differs", 3: "no description", 4: "no description"}
@@ -249,3 +248,157 @@ def test_upkeep_replays_do_not_double(spark):
         stream = spark.readStream.schema("id int, c string").parquet(f"{d}/in")
         upkeep.maintain_embeddings(spark, stream, f"{d}/out", f"{d}/cp", "c", "id").awaitTermination()
         assert [r.c for r in upkeep.current(spark, f"{d}/out", "id").collect()] == [text], k
+
+
+def test_equal_recalls_are_linked_each(spark):
+    recalls = spark.createDataFrame([("a", "20230101"), ("a", "20230101"), ("b", "20230101")], "k string, told string")
+    failures = spark.createDataFrame([("a", "20230102", 1), ("a", "20220102", 2)], "k string, failed string, hurt int")
+    got = sorted(tuple(r) for r in joins.recall_link(recalls, failures, ["k"], "told", "failed", ["hurt"]).collect())
+    assert got == [("a", "20230101", 2, 1, 3), ("a", "20230101", 2, 1, 3), ("b", "20230101", 0, 0, None)]
+
+
+def test_newest_rows_of_any_table(spark):
+    """Exactly n rows, none older than any valid row that is left out; blanks about a date don't count."""
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 7, 50):
+        rows = [(int(i), f" {20230100 + int(d)} " if d < 30 else "bad") for i, d in enumerate(rng.integers(1, 32, 40))]
+        got = landing.most_recent_n(spark.createDataFrame(rows, "id int, d string"), "d", n, ["id"]).collect()
+        valid = sorted(((d.strip(), -i) for i, d in rows if d != "bad"), reverse=True)
+        assert sorted(r.id for r in got) == sorted(-i for _, i in valid[:n])
+
+
+def test_no_small_group_is_shown(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"k{int(k)}", bool(f)) for k, f in zip(rng.zipf(1.4, 400) % 40, rng.integers(0, 2, 400), strict=True)]
+    got = {r.k: (r.n, r.fires) for r in rollups.kpi_k_anon(spark.createDataFrame(rows, "k string, f boolean"), ["k"], F.col("f")).collect()}
+    sizes = {k: sum(x == k for x, _ in rows) for k, _ in rows}
+    assert set(got) == {k for k, n in sizes.items() if n >= 5} and all(got[k][0] == sizes[k] for k in got)
+
+
+def test_routes_are_simple_and_whole(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"n{a}", ["x"], f"n{b}", ["y"], "key", 0.5) for i, (a, b) in enumerate(rng.integers(0, 7, (14, 2)).tolist()) if a != b]
+    e = spark.createDataFrame(rows, "id long, left_object string, left_columns array<string>, right_object string, right_columns array<string>, kind string, confidence double")
+    pairs = {frozenset((r[1], r[3])) for r in rows}
+    found = relations.find_join_path(e, "n0", "n1").collect()
+    assert [r["rank"] for r in found] == list(range(1, len(found) + 1))
+    for r in found:
+        route = r.route.split(" -> ")
+        assert len(set(route)) == len(route) == r.hops + 1 and all(frozenset(p) in pairs for p in zip(route, route[1:], strict=False))
+
+
+def test_code_lists_in_the_forms_they_have(spark):
+    lines = ["1  NOTHING YET   CHAR(1)   of the preamble", "Field#   Name   Type   Description", "-----", "1   RESULT CODE      VARCHAR2(30)   What came of it:", "\t  CAG  =CONSUMER ACTION GROUP", "          B7= second  one", "2   COST   NUMBER(5,2)     In money;", "      a = b", "      and more", "3   PLAIN        CHAR (8)", "      told below"]
+    got = {r.field_no: (r["name"], r.type, r.description) for r in catalog.assemble_records(spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no int, line string")).collect()}
+    assert got == {1: ("result_code", "VARCHAR2(30)", "What came of it: CAG = CONSUMER ACTION GROUP; B7 = second one"), 2: ("cost", "NUMBER(5,2)", "In money; A = b and more"), 3: ("plain", "CHAR(8)", "told below")}
+
+
+def _small_kb(spark, model):
+    rows = [("schema", "table", "orders", None, "orders", "orders(id, total)", "what customers bought"), ("schema", "column", "orders", "total", "orders.total", "orders.total double", "money of an order"), ("schema", "column", "engine", "heat", "engine.heat", "engine.heat double", "engine fire reports"), ("alias", "alias", None, None, "fires", "SELECT count(*) FROM engine", "engine fire reports by year")]
+    return spark.createDataFrame(rows, catalog.COLUMNS), model
+
+
+def test_narrow_searches(spark):
+    rows, model = _small_kb(spark, vectors.HashingEmbedder(64))
+    kb = catalog.embed_catalog(rows, model)
+    found = catalog.column_definitions(kb, "engine heat", model, 0.1)
+    assert found.columns == ["object_ref", "definition"] and found.first().object_ref == "engine.heat"
+    assert {r.object_ref for r in catalog.search_by_comment(kb, "engine fire reports", model, 0.5).collect()} == {"engine.heat", "fires"}
+    assert {r.object_ref for r in catalog.entity_definitions(kb, "what customers bought", model).collect()} == {"orders"}
+    assert catalog.metadata(kb, "engine heat", model, 0.1).first().relation_name == "engine"
+    assert {(r.part, r.object_ref) for r in catalog.discover_context(kb, "engine fire reports", model).collect()} >= {("schema", "engine.heat"), ("alias", "fires")}
+    assert catalog.search_by_comment(kb, "zebra quantum", model, 0.3).count() == 0
+
+
+def test_catalogue_upkeep(spark):
+    rows, model = _small_kb(spark, vectors.HashingEmbedder(16))
+    kb = catalog.embed_catalog(rows, model)
+    later = catalog.set_comment(rows, "orders.total", "amount due")
+    after, changed = catalog.sync(kb, later, model)
+    assert [tuple(r) for r in changed.collect()] == [("orders.total", "update")] and after.where("comment = 'amount due'").count() == 1
+    assert catalog.stats(kb, catalog.remove_comment(rows, "orders")).first().drifted == 1
+    kept = catalog.Catalogues(spark)
+    kept.add("one", kb, model, ["orders"])
+    assert kept.get().count() == 4 and kept.list().first().dimension == 16
+    with pytest.raises(ValueError, match="already in one"):
+        kept.add("two", kb, model, ["orders", "engine"])
+    kept.add("two", kb, model, ["engine"])
+    with pytest.raises(ValueError, match="name one of"):
+        kept.get()
+    kept.drop("two")
+    spark.range(2).createOrReplaceTempView("bare_view")
+    with pytest.raises(catalog.NoComments):
+        catalog.build_kb(spark, ["bare_view"], model)
+    assert [(r.column_name, r.status) for r in catalog.object_details(spark, ["bare_view", "no_such"]).collect()] == [("id", "ok"), (None, "no such object")]
+    assert "bare_view" in {r["name"] for r in catalog.list_objects(spark, "bare").collect()}
+    names = spark.createDataFrame([("orders",), ("ordars",), ("orders_old",), ("parts",)], "name string")
+    assert {tuple(r.names) for r in catalog.name_variants(names, 1).collect()} == {("orders", "orders_old"), ("ordars", "orders", "orders_old")}
+
+
+def test_saved_queries_are_found(spark):
+    a = aliases.Aliases(spark, vectors.HashingEmbedder(64))
+    a.save("fires", "engine fire reports by year", "SELECT 1 AS n")
+    a.save("sales", "money of all orders", "SELECT 2 AS n")
+    assert a.find("engine fire reports", 1).first().object_ref == "fires"
+    assert [r.object_ref for r in a.near_duplicates("engine fire reports by the year", 0.7).collect()] == ["fires"]
+    h = aliases.history_rows(spark.createDataFrame([("SELECT  1", "done"), ("SELECT 1", "done"), ("SELECT 2", "failed"), (None, "done")], "statement string, status string")).collect()
+    assert [(r.definition, r.comment) for r in h] == [("SELECT 1", "run 2 times")]
+
+
+def test_relationships_by_description(spark):
+    e = spark.createDataFrame([(1, "inv", ["c"], "rcl", ["c"], "key", 0.9, "manual", "investigations that led to a recall"), (2, "a", ["k"], "b", ["k"], "key", 0.8, "agent", "other things")], "id long, left_object string, left_columns array<string>, right_object string, right_columns array<string>, kind string, confidence double, source string, description string")
+    assert relations.search(e, "investigations recall", vectors.HashingEmbedder(64), 1).first().object_ref == "inv -> rcl [key]"
+    assert relations.listed(e, "agent").first().on == "a.k = b.k" and relations.deleted(e, [1]).count() == 1
+
+
+def test_patience_with_a_limited_model():
+    waits, calls = [], []
+
+    def encode(n):
+        calls.append(n)
+        if len(calls) < 4:
+            raise vectors.RateLimited
+        return n
+
+    assert vectors.with_retry(encode, longest=3.0, sleep=waits.append)(5) == 5 and waits == [1.0, 2.0, 3.0]
+    calls.clear()
+    with pytest.raises(vectors.RateLimited):
+        vectors.with_retry(encode, attempts=2, sleep=waits.append)(5)
+
+
+def test_words_are_extracted_once(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = search.lexical_search(df, lexical.lexemes("text", stemming=False), lexical.parse_web_query("thention OR ershan OR theing ereding", stemming=False), 20, "doc_id")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_streams_and_compaction(spark):
+    d = tempfile.mkdtemp(prefix="spark-")
+    schema = "id long, conversation_id string, action_type string, status string, request_payload string, response_payload string, created_at timestamp, completed_at timestamp"
+    for k in (1, 2):
+        spark.sql(f"""SELECT {k}L, 'c', 'tool_call', 'done', '{{"tool_name":"query"}}', '{{"text":"a  b{k}"}}', TIMESTAMP'2024-01-01 00:00:00', TIMESTAMP'2024-01-01 00:00:0{k}'""").toDF(*[c.split()[0] for c in schema.split(", ")]).write.mode("append").parquet(f"{d}/log")
+        upkeep.stream_log(spark.readStream.schema(schema).parquet(f"{d}/log"), f"{d}/flat", f"{d}/cp").awaitTermination()
+    assert sorted((r.id, r.tool, r.ms, r.text) for r in spark.read.parquet(f"{d}/flat").collect()) == [(1, "query", 1000.0, "a b1"), (2, "query", 2000.0, "a b2")]
+    for version, text in ((1, "old"), (2, "new")):
+        upkeep.upsert_versions(spark, spark.createDataFrame([(1, text)], "id int, c string"), f"{d}/v", "id", version)
+    upkeep.compact(spark, f"{d}/v", "id", f"{d}/w")
+    assert [r.c for r in upkeep.current(spark, f"{d}/w", "id").collect()] == ["new"]
+    batch = spark.createDataFrame([(1, 5, "late"), (1, 9, "latest"), (2, 1, "x")], "id int, at int, c string")
+    assert {r.c for r in upkeep.newest_of_batch(batch, "id", "at").collect()} == {"latest", "x"}
+
+
+def test_awkward_rows_of_joins_and_rollups(spark):
+    df = spark.createDataFrame([(None, None), ("", "x"), ("a", " "), ("a", "7")], "k string, v string")
+    other = df.toDF("k2", "v2")
+    assert joins.join_nonblank(df, other, [("k", "k2")]).count() == 4
+    p = rollups.profile_numeric(df, ["v"]).first()
+    assert (p.v_min, p.v_mean, p.v_blank) == (7, 7.0, 2)
+    empty = df.limit(0)
+    assert joins.join_nonblank(empty, other, [("k", "k2")]).count() == 0 and rollups.kpi_k_anon(empty, ["k"], F.lit(True)).count() == 0
+    assert rollups.profile_dates(empty, ["k"]).count() == 0 and landing.most_recent_n(empty, "k", 3, ["v"]).count() == 0
+    assert rollups.assert_scalar({"rows": (df, F.count("*"), 4), "none": (empty, F.count("*"), 0)}).first().holds
+    assert landing.sample_report(df, 9).first().too_few and not landing.sample_report(df, 8).first().too_few
+    with pytest.raises(ValueError, match="no such columns"):
+        clean.exclude_columns(df, ["vinn"])
+    assert rollups.text_samples(df, "v", "k", 3).count() == 2
