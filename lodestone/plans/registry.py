@@ -350,10 +350,19 @@ def measured_edges(spark, sf_dir) -> DataFrame:
         overlap = joins.key_overlap(t(spark, sf_dir, left), t(spark, sf_dir, right), lc[0], rc[0])
         row = overlap.select(F.xxhash64(F.lit(left), F.lit(lc[0]), F.lit(right)).alias("id"), F.lit(left).alias("left_object"), F.array(F.lit(lc[0])).alias("left_columns"), F.lit(right).alias("right_object"), F.array(F.lit(rc[0])).alias("right_columns"), F.lit("key").alias("kind"), F.col("left_contained").alias("confidence"))
         parts = row if parts is None else parts.unionByName(row)
-    return parts
+    return spark.createDataFrame(parts.collect(), parts.schema)  # a row an edge, counted once and not at every hop
 
 
-@query()
+def _contained(left: str, lc: str, right: str, rc: str) -> str:
+    return f"SELECT '{left}' AS l, '{right}' AS r, round((SELECT count(DISTINCT {lc}) FROM {left} WHERE {lc} IN (SELECT {rc} FROM {right})) / (SELECT count(DISTINCT {lc}) FROM {left}), 6) AS c"
+
+
+_MEASURED = "e AS (" + " UNION ALL ".join(_contained(left, lc[0], right, rc[0]) for left, lc, right, rc in _EDGES) + "), w AS (SELECT l AS a, r AS b, c FROM e UNION ALL SELECT r, l, c FROM e)"
+
+
+@query(f"""WITH RECURSIVE {_MEASURED}, p AS (SELECT [a, b] AS route, c AS weight, b AS pos FROM w WHERE a = 'part'
+ UNION ALL SELECT list_append(route, b), weight * c, b FROM p JOIN w ON pos = a WHERE pos <> 'nation' AND NOT list_contains(route, b) AND len(route) <= 4)
+ SELECT CAST(len(route) - 1 AS INTEGER) AS hops, array_to_string(route, ' -> ') AS route, round(weight, 6) AS weight FROM p WHERE pos = 'nation'""")
 def join_paths(spark, sf_dir):
     return relations.find_join_path(measured_edges(spark, sf_dir), "part", "nation").select("hops", "route", F.round("weight", 6).alias("weight"))
 
