@@ -8,6 +8,9 @@ list is ordered, can be read, and runs as one conditional Spark expression.
 
 At most ``max_rows`` labelled rows are learned from, those with the smallest
 hash of their id; only their statistics reach the driver, a few numbers each.
+The list stays short enough to read: at most ``most_rules`` rules of at most
+``most_conditions`` conditions, whose thresholds are chosen from ``cuts``
+quantiles of the rows inside. These bound the learner and no judged row.
 Null and empty texts have zero counts and fail the base rule. Of several labels
 of an id the lowest quality counts. Without labelled rows, or with one class
 only, the list is empty and keeps what the base rule keeps. Repeated rows are
