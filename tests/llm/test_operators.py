@@ -199,7 +199,7 @@ def test_lm_against_dictionaries(spark, sf_dir):
         assert (got[i].n_tokens, got[i].train_tokens) == (len(w), n)
 
 
-@pytest.mark.parametrize("most", [4096, 2, 0])
+@pytest.mark.parametrize("most", [4096, 2])
 def test_simhash_components_against_all_pairs(spark, sf_dir, monkeypatch, most):
     monkeypatch.setattr(simhash, "MOST", most)
     rng = np.random.default_rng(5)
@@ -428,12 +428,13 @@ def test_language_against_plain_counts(spark, sf_dir):
             counts[r.lang].update(column(r.text))
             texts[r.lang] += 1
     got = {r.doc_id: r for r in langid.predict_held_out(docs).collect()}
+    divisor = {k: math.log(c.total() + 0.5 * 65536) for k, c in counts.items()}
     for r in rows:
         if not any(c.isalpha() for c in r.text):
             assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
             continue
         at = column(r.text)
-        score = {k: math.log(texts[k] / texts.total()) + sum(math.log((c[i] + 0.5) / (c.total() + 0.5 * 65536)) for i in at) for k, c in counts.items()}
+        score = {k: math.log(texts[k] / texts.total()) + sum(math.log(c[i] + 0.5) - divisor[k] for i in at) for k, c in counts.items()}
         assert got[r.doc_id].lang_pred == max(sorted(score), key=score.get)
 
 
