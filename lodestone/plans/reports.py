@@ -259,10 +259,10 @@ def kb_check(spark, sf_dir):
     return catalog.check(_stored_catalogue(spark, sf_dir), 85)
 
 
-@query("SELECT stem, list_sort(list(DISTINCT name)) AS names FROM (SELECT replace(p_name, ' ', '_') AS stem, replace(p_name, ' ', '_') || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '_old' WHEN 2 THEN '_v2' ELSE '_bak' END AS name FROM part) GROUP BY 1 HAVING count(DISTINCT name) > 1")
+@query("SELECT stem, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM (SELECT replace(p_name, ' ', '_') AS stem, replace(p_name, ' ', '_') || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '_old' WHEN 2 THEN '_v2' ELSE '_bak' END AS name FROM part) GROUP BY 1 HAVING count(DISTINCT name) > 1")
 def name_variants(spark, sf_dir):
     ending = F.when(F.col("p_partkey") % 4 == 0, "").when(F.col("p_partkey") % 4 == 1, "_old").when(F.col("p_partkey") % 4 == 2, "_v2").otherwise("_bak")
-    return catalog.name_variants(t(spark, sf_dir, "part").select(F.concat(F.regexp_replace("p_name", " ", "_"), ending).alias("name")))
+    return catalog.name_variants(t(spark, sf_dir, "part").select(F.concat(F.regexp_replace("p_name", " ", "_"), ending).alias("name"))).withColumn("names", F.array_join("names", ","))
 
 
 @query(f"WITH {LOG} SELECT 'SELECT ' || id AS definition, 'run 1 times' AS comment, 'history' AS source_type FROM elog WHERE action_type = 'tool_call' AND tool = 'tool1'")
