@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, langid, lm, mixing, packing, rules, secret_scan, simhash, substrings, toxicity
+from . import clusters, exact, langid, lm, mixing, packing, rules, secret_scan, simhash, substrings, toxicity, variants, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_toxicity, op3_simhash, op4_quality_rules, op5_secret_scan, op6_suffix_array, op7_mixing, op8_packing, op9_language_id, op10_exact_dedup)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(documents(spark, sf_dir), modulus=199)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_toxicity, op3_simhash, op4_quality_rules, op5_secret_scan, op6_suffix_array, op7_mixing, op8_packing, op9_language_id, op10_exact_dedup, op11_spelling_variants, op12_warc, op13_clustering)}
 
 ORACLES = {
     "op7_mixing": mixing.MIX_SQL,
@@ -60,4 +72,6 @@ ORACLES = {
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY t)""",
+    "op12_warc": warc.PAGES_SQL,
+    "op13_clustering": clusters.CLUSTER_SQL,
 }
