@@ -27,8 +27,8 @@ def knn_cosine(df: DataFrame, vector: str, query: list[float], k: int, id_col: s
     return ranked(scored, "similarity", id_col, k)
 
 
-def _packed(df: DataFrame, vector: str, id_col: str, size: int, names: tuple[str, str], codes: bool = False) -> DataFrame:
-    """Unit vectors (or their 8-bit codes) and ids in blocks of at most ``size`` rows; null and zero vectors are out."""
+def _packed(df: DataFrame, vector: str, id_col: str, size: int, names: tuple[str, str]) -> DataFrame:
+    """Unit vectors and ids in blocks of at most ``size`` rows; null and zero vectors are out."""
 
     def run(batches):
         for batch in batches:
@@ -39,8 +39,6 @@ def _packed(df: DataFrame, vector: str, id_col: str, size: int, names: tuple[str
                 length = np.linalg.norm(x, axis=1)
                 some = length > 0
                 x = x[some] / length[some, None]
-                if codes:
-                    x = np.rint(x * (127 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int8)
                 ids = batch.column(0).slice(i, size).to_numpy()[some]
                 if len(ids):
                     yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([x.tobytes()])], list(names))
@@ -49,12 +47,11 @@ def _packed(df: DataFrame, vector: str, id_col: str, size: int, names: tuple[str
     return rows.mapInArrow(run, f"{names[0]} binary, {names[1]} binary")
 
 
-def _block_best(k: int, kind: str):
+def _block_best(k: int):
     """Pairs of blocks to the k best rows of each query in the block, ties by id."""
 
     def unit(raw: bytes, n: int) -> np.ndarray:
-        x = np.frombuffer(raw, kind).reshape(n, -1).astype(np.float64 if kind == "f8" else np.float32)
-        return x if kind == "f8" else x / np.linalg.norm(x, axis=1, keepdims=True)
+        return np.frombuffer(raw, np.float64).reshape(n, -1)
 
     def run(batches):
         for batch in batches:
@@ -81,31 +78,25 @@ def best_of_each(df: DataFrame, score: str, id_col: str, k: int, out: str = "ran
     return df.withColumn(out, F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), id_col))).where(F.col(out) <= k)
 
 
-def _block_search(df: DataFrame, vector: str, queries: DataFrame, k: int, id_col: str, codes: bool) -> DataFrame:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = _packed(queries, vector, "query_id", 512, ("qi", "qx"), codes)
-    r = _packed(df.select(id_col, vector).repartition(n), vector, id_col, 4096, ("ri", "rx"), codes)
-    best = r.crossJoin(q).mapInArrow(_block_best(k, "i1" if codes else "f8"), "query_id long, id long, similarity double")
-    return best_of_each(best.withColumnRenamed("id", id_col), "similarity", id_col, k)
-
-
 def knn_every(df: DataFrame, vector: str, queries: DataFrame, k: int, id_col: str, pre_filter: Column | None = None) -> DataFrame:
     """(query_id, id, similarity, rank): the exact nearest rows of every query (query_id, vector); ids are numbers.
 
     Blocks of queries meet blocks of rows; a block's k best a query go into the shuffle.
     """
-    return _block_search(df if pre_filter is None else df.where(pre_filter), vector, queries, k, id_col, False)
+    some = df if pre_filter is None else df.where(pre_filter)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = _packed(queries, vector, "query_id", 512, ("qi", "qx"))
+    r = _packed(some.select(id_col, vector).repartition(n), vector, id_col, 4096, ("ri", "rx"))
+    best = r.crossJoin(q).mapInArrow(_block_best(k), "query_id long, id long, similarity double")
+    return best_of_each(best.withColumnRenamed("id", id_col), "similarity", id_col, k)
+
 
+def knn_approx(df: DataFrame, vector: str, queries: DataFrame, k: int, id_col: str, path: str, pre_filter: Column | None = None, **index) -> DataFrame:
+    """As ``knn_every`` through an inverted file written to ``path`` (see ``ivf``); keep that and open it to search again."""
+    from .ivf import IvfIndex
 
-def knn_approx(df: DataFrame, vector: str, queries: DataFrame, k: int, id_col: str, pre_filter: Column | None = None, over: int = 4) -> DataFrame:
-    """As ``knn_every`` over 8-bit codes of the vectors, an eighth of the bytes; the k * over best by code are ranked by their exact cosine."""
     some = df if pre_filter is None else df.where(pre_filter)
-    near = _block_search(some, vector, queries, k * over, id_col, True).select("query_id", id_col)
-    both = near.join(some.select(id_col, F.col(vector).alias("_r")), id_col).join(queries.select("query_id", F.col(vector).alias("_q")), "query_id")
-    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    dot = lambda a, b: add(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
-    cos = dot("_r", "_q") / F.sqrt(dot("_r", "_r") * dot("_q", "_q"))
-    return best_of_each(both.select("query_id", id_col, F.round(cos, 12).alias("similarity")), "similarity", id_col, k)
+    return IvfIndex.build(some, vector, id_col, path, **index).search(queries, vector, k, id_col)
 
 
 def with_words(df: DataFrame, words: Column, name: str = "_words") -> DataFrame:

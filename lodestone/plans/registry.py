@@ -318,7 +318,7 @@ def hybrid_search_every(spark, sf_dir):
 
 @query()
 def knn_approx(spark, sf_dir):
-    return search.knn_approx(t(spark, sf_dir, "embeddings"), "embedding", query_vectors(spark, sf_dir), 20, "vec_id")
+    return search.knn_approx(t(spark, sf_dir, "embeddings"), "embedding", query_vectors(spark, sf_dir), 20, "vec_id", reports.scratch(spark))
 
 
 @query()
