@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.lexical import cover_rank, lexemes, matches, parse_web_query
+from ..functions.lexical import candidates, parse_web_query
 from ..functions.vectors import HashingEmbedder, cosine, embed_batch
-from .search import tied_ranks
+from .search import matched, tied_ranks
 
 COLUMNS = "source_type string, entity_type string, relation_name string, column_name string, object_ref string, definition string, comment string"
 
@@ -129,10 +129,13 @@ def check(catalog: DataFrame, least_columns: int) -> DataFrame:
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    """In the folder that all executors share, or a local one where that is unset (tests)."""
+    """In the folder that all executors share. Where that is unset a local master, as in tests, gets one; a cluster gets an error."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
@@ -143,15 +146,16 @@ def search(catalog: DataFrame, query: str, embedder: HashingEmbedder, top_k: int
     """
     some = catalog if entity_types is None else catalog.where(F.col("entity_type").isin(entity_types))
     vector, asked = embedder.encode_query(query), parse_web_query(" OR ".join(query.split()))
-    words = lexemes(F.concat_ws(" ", F.regexp_replace("object_ref", "[._]", " "), "definition", "comment"))
+    text = F.concat_ws(" ", F.regexp_replace("object_ref", "[._]", " "), "definition", "comment")
+    words = matched(some, candidates(text, asked), asked, "object_ref").select("object_ref", F.round("score", 6).alias("_words"))
 
     def near(c: str):
         similarity = F.round(cosine(c, vector), 12)
         return F.when(similarity >= min_similarity, similarity)
 
-    score = {"definition": near("definition_vec"), "comment": F.when(F.col("comment").isNotNull(), near("comment_vec")), "words": F.when(matches(F.col("_words"), asked), F.round(cover_rank(F.col("_words"), asked), 6))}
+    score = {"definition": near("definition_vec"), "comment": F.when(F.col("comment").isNotNull(), near("comment_vec")), "words": F.col("_words")}
     # embedded and read once: each arm counts the scores and joins them with their ranks
-    scored = _checkpoint(some.withColumn("_words", words).select("object_ref", *[score[a].alias(a) for a in arms]))
+    scored = _checkpoint(some.join(words, "object_ref", "left").select("object_ref", *[score[a].alias(a) for a in arms]))
     found = reduce(DataFrame.unionByName, [tied_ranks(scored.select("object_ref", F.col(a).alias("score")), "score", "rank").select("object_ref", F.lit(a).alias("arm"), "rank") for a in arms])
     ranks = found.groupBy("object_ref").agg(*[F.max(F.when(F.col("arm") == a, F.col("rank"))).alias(f"{a}_rank") for a in arms])
     part = [F.coalesce(1.0 / (rrf_k + F.col(f"{a}_rank")), F.lit(0.0)) for a in arms]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.lexical import WebQuery, cover_rank, matches
+from ..functions.lexical import WebQuery, cover_densities, entries
 from ..functions.vectors import cosine
 
 
@@ -104,6 +104,11 @@ def with_words(df: DataFrame, words: Column, name: str = "_words") -> DataFrame:
     return df.withColumn(name, F.explode(F.array(words)))
 
 
+def matched(df: DataFrame, words: Column, query: WebQuery, id_col: str) -> DataFrame:
+    """(id, score): the rows that satisfy a query, by cover density. ``words`` as in ``lexical.entries``."""
+    return cover_densities(entries(df, id_col, words, query), id_col, query)
+
+
 def store_words(df: DataFrame, words: Column, path: str, name: str = "words") -> DataFrame:
     """Write the words beside the rows, for many searches to read."""
     with_words(df, words, name).write.mode("overwrite").parquet(path)
@@ -111,9 +116,9 @@ def store_words(df: DataFrame, words: Column, path: str, name: str = "words") ->
 
 
 def lexical_search(df: DataFrame, words: Column, query: WebQuery, k: int, id_col: str, pre_filter: Column | None = None) -> DataFrame:
+    """The k best rows that satisfy the query, by cover density, ties by id."""
     some = df if pre_filter is None else df.where(pre_filter)
-    own = F.col("_words")
-    scored = with_words(some, words).where(matches(own, query)).select(id_col, F.round(cover_rank(own, query), 6).alias("lexical_score"))
+    scored = matched(some, words, query, id_col).select(id_col, F.round("score", 6).alias("lexical_score"))
     return ranked(scored, "lexical_score", id_col, k)
 
 
@@ -154,7 +159,8 @@ def hybrid_search(df: DataFrame, vector: str, query_vector: list[float], words:
 
 def semantic_only(df: DataFrame, vector: str, query_vector: list[float], words: Column, query: WebQuery, id_col: str, k: int = 10) -> DataFrame:
     """Nearest rows that do not match the words."""
-    return knn_cosine(with_words(df, words), vector, query_vector, k, id_col, ~matches(F.col("_words"), query))
+    others = df.select(id_col, vector).join(matched(df, words, query, id_col), id_col, "left_anti")
+    return knn_cosine(others, vector, query_vector, k, id_col)
 
 
 def hybrid_every(df: DataFrame, vector: str, queries: DataFrame, words: Column, query: WebQuery, id_col: str, pre_filter: Column | None = None, candidates: int = 300, k: int = 20, show: list[str] | None = None, base: DataFrame | None = None) -> DataFrame:

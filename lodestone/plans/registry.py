@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import clean, lexical, vectors
+from ..functions import clean, lexical, stemmer, vectors
 from ..operators import catalog, governed, joins, relations, rollups, scoring, search, trace
 from ..sources import landing
+from . import lexical_sql
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -248,16 +249,40 @@ def knn_cosine(spark, sf_dir):
 
 
 #: A web query over words that the invented prose has.
-WEB_QUERY = lexical.parse_web_query("thention OR ershan OR theing ereding -worthless", stemming=False)
-_LEX = r"""d AS (SELECT doc_id, lang, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda w: NOT list_contains(['""" + "','".join(lexical.STOP_WORDS) + r"""'], w)) AS w FROM documents),
- m AS (SELECT *, 0.1 * len(list_filter(w, lambda x: x IN ('thention', 'ershan', 'theing', 'ereding'))) AS score FROM d WHERE (list_contains(w, 'thention') OR list_contains(w, 'ershan') OR (list_contains(w, 'theing') AND list_contains(w, 'ereding'))) AND NOT list_contains(w, 'worthless')),
- lx AS (SELECT doc_id, CAST(round(score, 6) AS DOUBLE) AS lexical_score, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS lexical_rank FROM m WHERE lang = 'en' QUALIFY lexical_rank <= 300)"""
+WEB_QUERY = lexical.parse_web_query("thention OR ershan OR theing ereding -worthless")
+_LX = " lx AS (SELECT doc_id, CAST(round(score, 6) AS DOUBLE) AS lexical_score, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS lexical_rank FROM m WHERE lang = 'en' QUALIFY lexical_rank <= 300)"
+_LEX = lexical_sql.covers(WEB_QUERY) + ",\n" + _LX
 
 
 @query(f"WITH {_LEX} SELECT doc_id, lexical_score, lexical_rank AS rank FROM lx WHERE lexical_rank <= 20")
 def lexical_only(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
-    return search.lexical_search(d, lexical.lexemes("text", stemming=False), WEB_QUERY, 20, "doc_id", F.col("lang") == "en")
+    return search.lexical_search(d, lexical.candidates("text", WEB_QUERY), WEB_QUERY, 20, "doc_id", F.col("lang") == "en")
+
+
+#: Three words in one place, two phrases, and what must be absent.
+PHRASE_QUERY = lexical.parse_web_query('theing ereding anded OR "of the" thention OR "anding the" OR "ing" -worthlessly')
+
+
+@query(f"WITH {lexical_sql.covers(PHRASE_QUERY)} SELECT doc_id, round(score, 6) AS score FROM m")
+def cover_density(spark, sf_dir):
+    """Every document that satisfies the query, by its minimal covers."""
+    found = search.matched(t(spark, sf_dir, "documents"), lexical.candidates("text", PHRASE_QUERY), PHRASE_QUERY, "doc_id")
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {lexical_sql.TOKENS} SELECT word, lexeme FROM stems")
+def word_stems(spark, sf_dir):
+    """The stem of every distinct word of the documents."""
+    words = t(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(lexical.WORD))).alias("word"))
+    return stemmer.stems(words.where(~F.col("word").isin(lexical.STOP_WORDS)))
+
+
+@query(f"WITH {lexical_sql.TOKENS} SELECT lexeme, count(DISTINCT doc_id) AS n_documents, count(*) AS n, min(pos) AS first_pos FROM toks JOIN stems USING (word) GROUP BY 1")
+def postings(spark, sf_dir):
+    """Documents and occurrences of every lexeme, from the positional postings."""
+    p = lexical.postings(t(spark, sf_dir, "documents"), "doc_id", "text")
+    return p.groupBy("lexeme").agg(F.count_distinct("doc_id").alias("n_documents"), F.count("*").alias("n"), F.min("pos").cast("bigint").alias("first_pos"))
 
 
 def _documents_with_vectors(spark, sf_dir):
@@ -273,14 +298,14 @@ _VEC = f"vx AS (SELECT vec_id AS doc_id, {_COS} AS s, row_number() OVER (ORDER B
  SELECT f.*, source FROM f JOIN documents USING (doc_id) ORDER BY rrf_score DESC, doc_id LIMIT 20""")
 def hybrid_search(spark, sf_dir):
     d = _documents_with_vectors(spark, sf_dir)
-    found = search.hybrid_search(d, "embedding", query_vector(spark, sf_dir), lexical.lexemes("text", stemming=False), WEB_QUERY, "doc_id", F.col("lang") == "en", show=["source"], base=t(spark, sf_dir, "documents"))
+    found = search.hybrid_search(d, "embedding", query_vector(spark, sf_dir), lexical.candidates("text", WEB_QUERY), WEB_QUERY, "doc_id", F.col("lang") == "en", show=["source"], base=t(spark, sf_dir, "documents"))
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"WITH {_LEX} SELECT doc_id, round(s, 6) AS similarity, row_number() OVER (ORDER BY s DESC, doc_id) AS rank FROM (SELECT vec_id AS doc_id, {_COS} AS s FROM embeddings JOIN documents ON doc_id = vec_id WHERE doc_id NOT IN (SELECT doc_id FROM m)) ORDER BY s DESC, doc_id LIMIT 10")
 def semantic_only(spark, sf_dir):
     d = _documents_with_vectors(spark, sf_dir)
-    return search.semantic_only(d, "embedding", query_vector(spark, sf_dir), lexical.lexemes("text", stemming=False), WEB_QUERY, "doc_id").withColumn("similarity", F.round("similarity", 6))
+    return search.semantic_only(d, "embedding", query_vector(spark, sf_dir), lexical.candidates("text", WEB_QUERY), WEB_QUERY, "doc_id").withColumn("similarity", F.round("similarity", 6))
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,8 +326,9 @@ def knn_cosine_every(spark, sf_dir):
 
 @query(f"WITH {_LEX}, {_QUERIES}, c AS (SELECT query_id, vec_id, {_ALL} AS s FROM embeddings e JOIN documents ON doc_id = vec_id, q WHERE doc_id NOT IN (SELECT doc_id FROM m)) SELECT query_id, vec_id AS doc_id, round(s, 6) AS similarity, {_BEST} AS rank FROM c QUALIFY rank <= 10")
 def semantic_only_every(spark, sf_dir):
-    unmatched = ~lexical.matches(F.col("_words"), WEB_QUERY)
-    found = search.knn_every(search.with_words(_documents_with_vectors(spark, sf_dir), lexical.lexemes("text", stemming=False)), "embedding", query_vectors(spark, sf_dir), 10, "doc_id", unmatched)
+    matched = search.matched(t(spark, sf_dir, "documents"), lexical.candidates("text", WEB_QUERY), WEB_QUERY, "doc_id")
+    others = _documents_with_vectors(spark, sf_dir).select("doc_id", "embedding").join(matched, "doc_id", "left_anti")
+    found = search.knn_every(others, "embedding", query_vectors(spark, sf_dir), 10, "doc_id")
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -312,7 +338,7 @@ def semantic_only_every(spark, sf_dir):
  SELECT f.*, source, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id) AS rank FROM f JOIN documents USING (doc_id) QUALIFY rank <= 20""")
 def hybrid_search_every(spark, sf_dir):
     d = _documents_with_vectors(spark, sf_dir)
-    found = search.hybrid_every(d, "embedding", query_vectors(spark, sf_dir), lexical.lexemes("text", stemming=False), WEB_QUERY, "doc_id", F.col("lang") == "en", show=["source"], base=t(spark, sf_dir, "documents"))
+    found = search.hybrid_every(d, "embedding", query_vectors(spark, sf_dir), lexical.candidates("text", WEB_QUERY), WEB_QUERY, "doc_id", F.col("lang") == "en", show=["source"], base=t(spark, sf_dir, "documents"))
     return found.withColumn("similarity", F.round("similarity", 6))
 
 

@@ -174,7 +174,7 @@ def nulls_last(spark, sf_dir):
 @query(f"WITH {registry._LEX}, vx AS (SELECT vec_id AS doc_id FROM embeddings ORDER BY {registry._COS} DESC, vec_id LIMIT 100) SELECT doc_id FROM vx UNION SELECT doc_id FROM lx WHERE lexical_rank <= 100")
 def candidate_ids(spark, sf_dir):
     v = search.knn_cosine(t(spark, sf_dir, "embeddings"), "embedding", registry.query_vector(spark, sf_dir), 100, "vec_id").withColumnRenamed("vec_id", "doc_id")
-    w = search.lexical_search(t(spark, sf_dir, "documents"), lexical.lexemes("text", stemming=False), registry.WEB_QUERY, 100, "doc_id", F.col("lang") == "en")
+    w = search.lexical_search(t(spark, sf_dir, "documents"), lexical.candidates("text", registry.WEB_QUERY), registry.WEB_QUERY, 100, "doc_id", F.col("lang") == "en")
     return search.candidate_ids([v, w], "doc_id")
 
 
