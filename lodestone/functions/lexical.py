@@ -118,12 +118,14 @@ def cover_densities(rows: DataFrame, id_col: str, query: WebQuery) -> DataFrame:
         return rows.where(F.lit(False)).select(id_col, F.lit(0.0).alias("score"))
     items = sorted({item for a in query.alternatives for item in a})
     ends = []
-    for item in items:  # between a phrase's words are no other entries, so its parts are the entries just before
+    for item in items:  # a position has one entry at most
         parts = _phrase(item)
-        whole = F.col("lexeme") == parts[-1][1]
-        for n, (back, w) in enumerate(reversed(parts[:-1]), 1):
-            whole = whole & (F.lag("lexeme", n).over(by) == w) & (F.lag("pos", n).over(by) == F.col("pos") - back)
-        ends.append(F.when(whole, at(F.col("pos") - parts[0][0], F.col("i") - (len(parts) - 1))))
+        whole, first = F.col("lexeme") == parts[-1][1], F.col("i")
+        for back, w in parts[:-1]:
+            whole = whole & F.coalesce(F.max("lexeme").over(by.rangeBetween(-back, -back)) == w, F.lit(False))
+        if len(parts) > 1:
+            first = F.max("i").over(by.rangeBetween(-parts[0][0], -parts[0][0]))
+        ends.append(F.when(whole, at(F.col("pos") - parts[0][0], first)))
     numbered_rows = rows.withColumn("i", F.row_number().over(by))
     ended = numbered_rows.select(id_col, "pos", "lexeme", "i", *[e.alias(f"e{k}") for k, e in enumerate(ends)])
     latest = ended.select(id_col, "pos", "lexeme", "i", *[F.coalesce(F.max(f"e{k}").over(so_far), none).alias(f"l{k}") for k in range(len(items))])
@@ -160,7 +162,7 @@ def _sweep(entries: Column, query: WebQuery) -> Column:
         near = F.slice(entries, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + 1)
         whole = F.lit(True)
         for back, w in parts:
-            whole = whole & F.exists(near, lambda e, back=back, w=w: (e["pos"] == x["pos"] - back) & (e["lexeme"] == w))
+            whole = whole & F.array_contains(near, F.struct((x["pos"] - back).alias("pos"), F.lit(w).alias("lexeme")))
         inside = F.size(F.filter(near, lambda e: e["pos"] >= x["pos"] - reach))
         return F.when((x["lexeme"] == parts[-1][1]) & whole, at(x["pos"] - reach, i - inside + 1)).otherwise(old)
 

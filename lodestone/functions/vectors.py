@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
-import re
 import time
-import zlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-_WORD = re.compile(r"[^\W_]+")
+#: Bytes of words: letters, digits, and all bytes beyond ASCII.
+_INSIDE = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+SLICE = 4 << 20
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads their bits."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+_LETTER = np.where(_INSIDE, _mixed(np.arange(1, 257, dtype=np.uint64)), np.uint64(0))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
 
 class HashingEmbedder:
-    """Signed feature hashing of words and word pairs, L2-normalised. Repeatable, without a model file; it knows no synonyms."""
+    """Signed feature hashing of words and word pairs, L2-normalised. Repeatable, without a model file; it knows no synonyms.
+
+    A word's hash is a polynomial of its bytes, taken for all words of a batch at once from one running sum.
+    """
 
     #: Characters that the embedder can read; None is the whole text. Only one with a context window sets it.
     max_chars: int | None = None
@@ -24,34 +46,48 @@ class HashingEmbedder:
     def __init__(self, dimension: int = 128):
         self.dimension, self.name = dimension, f"hashing-{dimension}"
 
-    def encode(self, texts: list[str | None]) -> list[list[float]]:
-        out = np.zeros((len(texts), self.dimension), np.float32)
-        for i, text in enumerate(texts):
-            # words are read one by one, so a long text costs no more memory than its lower-case copy
-            total, before = [0] * self.dimension, None
-            for m in _WORD.finditer((text or "").lower()):
-                word = m[0]
-                for f in (word,) if before is None else (word, f"{before} {word}"):
-                    h = zlib.crc32(f.encode("utf-8", "ignore"))
-                    total[(h >> 1) % self.dimension] += 1 if h & 1 else -1
-                before = word
-            out[i] = total
+    def _slice(self, rows: list[bytes]) -> np.ndarray:
+        lengths = np.array([len(r) + 1 for r in rows])
+        data = np.frombuffer(b"\0".join([*rows, b""]), np.uint8)
+        inside = np.concatenate([[False], _INSIDE[data], [False]])
+        start, end = np.flatnonzero(inside[1:-1] & ~inside[:-2]), np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
+        row = np.searchsorted(np.cumsum(lengths), start, "right")
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[data] * _powers(_BASE, len(data)))])
+        word = _mixed((sums[end] - sums[start]) * _powers(_BACK, len(data) + 1)[start])
+        next_to = np.flatnonzero(row[1:] == row[:-1])
+        pair = _mixed(word[next_to] * np.uint64(0xA0761D6478BD642F) + word[next_to + 1])
+        feature, at = np.concatenate([word, pair]), np.concatenate([row, row[next_to]])
+        cell = at * self.dimension + ((feature >> np.uint64(1)) % np.uint64(self.dimension)).astype(np.int64)
+        sign = (feature & np.uint64(1)).astype(np.float64) * 2 - 1
+        return np.bincount(cell, sign, len(rows) * self.dimension).reshape(len(rows), self.dimension)
+
+    def matrix(self, texts: list[str | None]) -> np.ndarray:
+        """A row a text; texts are taken in slices of SLICE bytes, or one by one if longer."""
+        rows = [(t or "").lower().encode("utf-8", "ignore") for t in texts]
+        ends, parts, i = np.cumsum([len(r) + 1 for r in rows]), [np.zeros((0, self.dimension))], 0
+        while i < len(rows):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE, "right")))
+            parts.append(self._slice(rows[i:j]))
+            i = j
+        out = np.concatenate(parts).astype(np.float32)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return (out / np.where(norm > 0, norm, 1)).tolist()
+        return out / np.where(norm > 0, norm, np.float32(1))
+
+    def encode(self, texts: list[str | None]) -> list[list[float]]:
+        return self.matrix(texts).tolist()
 
     def encode_query(self, text: str) -> list[float]:
         return self.encode([text])[0]
 
 
 def embed_batch(df: DataFrame, text_col: str, vector_col: str = "vec", embedder: HashingEmbedder | None = None, batch_size: int = 128) -> DataFrame:
-    """Fill missing vectors in Arrow batches; rows with a vector keep it."""
+    """Fill missing vectors, ``batch_size`` texts at a time; rows with a vector keep it."""
     model = embedder or HashingEmbedder()
 
-    @F.pandas_udf("array<float>")
-    def encode(texts: pd.Series) -> pd.Series:
-        rows = [model.encode(texts.iloc[i : i + batch_size].tolist()) for i in range(0, len(texts), batch_size)]
-        return pd.Series([v for part in rows for v in part], index=texts.index)
+    def load():
+        return lambda texts: np.asarray(model.encode(list(texts)), np.float32).reshape(len(texts), model.dimension)
 
+    encode = predict_batch_udf(load, return_type=ArrayType(FloatType()), batch_size=batch_size)
     if vector_col not in df.columns:
         text = F.coalesce(F.col(text_col), F.lit(""))
         return df.withColumn(vector_col, encode(text if model.max_chars is None else F.substring(text, 1, model.max_chars)))

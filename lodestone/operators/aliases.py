@@ -47,6 +47,14 @@ class Aliases:
         """Every argument is text and is bound, not pasted."""
         return self.spark.sql(self.saved[name].bound(), args={k: str(v) for k, v in args.items()})
 
+    def as_function(self, name: str) -> None:
+        """Make a saved query a table function of the session, ``SELECT * FROM name('value')``; LATERAL gives it the values of a row."""
+        alias = self.saved[name]
+        columns = self.run(name, {p[0]: "1" for p in alias.params}).schema
+        returns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
+        body = re.sub(r"\$\{(\w+)\}", rf"{name}.\1", alias.sql)
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({', '.join(f'{p[0]} STRING' for p in alias.params)}) RETURNS TABLE ({returns}) RETURN {body}")
+
     def update(self, name: str, **changes) -> Alias:
         old = self.saved[name]
         return self.save(name, changes.get("description", old.description), changes.get("sql", old.sql), changes.get("params", old.params), replace=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -239,12 +239,31 @@ def remove_comment(rows: DataFrame, object_ref: str) -> DataFrame:
     return set_comment(rows, object_ref, None)
 
 
+def deletions(word: Column, distance: int) -> Column:
+    """What is left of a word when up to ``distance`` letters go. Two words at so many edits have one of these in common."""
+    def one(w: Column) -> Column:
+        without = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+        return F.when(F.length(w) > 0, without).otherwise(F.array().cast("array<string>"))
+
+    out = F.array(word)
+    for _ in range(distance):
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, one))))
+    return out
+
+
+def near_words(words: DataFrame, word: str, distance: int = 1) -> DataFrame:
+    """(a, b, edits) of distinct words at up to ``distance`` edits, a before b; words meet only where a deletion of both is equal."""
+    each = words.select(word).distinct().select(F.col(word).alias("w"), F.explode(deletions(F.col(word), distance)).alias("d"))
+    both = each.withColumnRenamed("w", "a").join(each.withColumnRenamed("w", "b"), "d").where("a < b").select("a", "b").distinct()
+    return both.withColumn("edits", F.levenshtein("a", "b")).where(F.col("edits") <= distance)
+
+
 def name_variants(names: DataFrame, distance: int = 0) -> DataFrame:
-    """Names that look like copies of one object: equal once endings such as _old, _bak or _v1 are gone, or, of one first letter, at most ``distance`` edits apart."""
+    """Names that look like copies of one object: equal once endings such as _old, _bak or _v1 are gone, or then at most ``distance`` edits apart."""
     stripped = F.regexp_replace(F.lower("name"), r"(_(deprecated|old|archive|bak|tmp|v\d+))+$", "")
     stems = names.withColumn("stem", stripped).groupBy("stem").agg(F.sort_array(F.collect_set("name")).alias("names"))
     if not distance:
         return stems.where(F.size("names") > 1)
-    a, b = (stems.select(F.col("stem").alias(f"{x}_stem"), F.col("names").alias(f"{x}_names"), F.left("stem", F.lit(1)).alias("first")) for x in "ab")
-    near = a.join(b, "first").where((F.col("a_stem") < F.col("b_stem")) & (F.levenshtein("a_stem", "b_stem") <= distance))
-    return stems.where(F.size("names") > 1).unionByName(near.select(F.col("a_stem").alias("stem"), F.sort_array(F.array_union("a_names", "b_names")).alias("names")))
+    a, b = (stems.select(F.col("stem").alias(x), F.col("names").alias(f"{x}_names")) for x in "ab")
+    near = near_words(stems, "stem", distance).join(a, "a").join(b, "b")
+    return stems.where(F.size("names") > 1).unionByName(near.select(F.col("a").alias("stem"), F.sort_array(F.array_union("a_names", "b_names")).alias("names")))

@@ -61,6 +61,73 @@ def investigation_summary(df: DataFrame, names: dict[str, str], opened: str = "o
     return _named(df, {"opened_on": ymd_to_date(opened), "closed_on": ymd_to_date(closed)}, names).withColumn("is_open", F.col("closed_on").isNull())
 
 
+def lineage(df: DataFrame) -> dict[str, set[tuple[str, str]]]:
+    """Of each output column the source columns (source, column) that its values come from, by the expression ids of the analysed plan.
+
+    Renames, functions, aggregates, windows, generators, joins, unions and scalar subqueries are followed; Python functions over
+    whole tables are opaque, so all that goes in counts. A source is a file table by its folder's name, or any other leaf.
+    """
+    comes_from: dict[int, set[int]] = {}
+    sources: dict[int, tuple[str, str]] = {}
+    each = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    key = lambda attribute: attribute.exprId().id()
+
+    def uses(expression) -> set[int]:
+        kind = expression.getClass().getSimpleName()
+        own = {key(expression)} if kind == "AttributeReference" else set()
+        if kind in ("ScalarSubquery", "LateralSubquery", "ListQuery", "Exists"):
+            inner = expression.plan()
+            walk(inner)
+            own |= {key(a) for a in each(inner.output())} if kind != "Exists" else set()
+        parts = [expression.windowFunction()] if kind == "WindowExpression" else each(expression.children())  # its order decides which value, and is none
+        return own.union(*[uses(c) for c in parts])
+
+    def note(expression) -> None:
+        if expression.getClass().getSimpleName() == "Alias":
+            comes_from.setdefault(key(expression), set()).update(uses(expression.child()))
+        for c in each(expression.children()):
+            note(c)
+
+    def walk(plan) -> None:
+        kind, children = plan.getClass().getSimpleName(), each(plan.children())
+        for c in children:
+            walk(c)
+        outputs = each(plan.output())
+        if not children:
+            name = plan.relation().location().rootPaths().head().getName() if kind == "LogicalRelation" and hasattr(plan.relation(), "location") else kind
+            for a in outputs:
+                sources[key(a)] = (name.removesuffix(".parquet"), a.name())
+        elif kind == "Union":
+            for c in children:
+                for a, b in zip(outputs, each(c.output()), strict=True):
+                    comes_from.setdefault(key(a), set()).add(key(b))
+        elif kind == "Generate":
+            for a in each(plan.generatorOutput()):
+                comes_from.setdefault(key(a), set()).update(uses(plan.generator()))
+        for e in each(plan.expressions()):
+            note(e)
+        known = {key(a) for c in children for a in each(c.output())}
+        for a in outputs:
+            if children and key(a) not in known and key(a) not in comes_from and key(a) not in sources:
+                comes_from[key(a)] = set(known)
+
+    def trace(i: int, seen: set[int]) -> set[tuple[str, str]]:
+        if i in seen:
+            return set()
+        seen.add(i)
+        own = {sources[i]} if i in sources else set()
+        return own.union(*[trace(j, seen) for j in comes_from.get(i, ())])
+
+    analysed = df._jdf.queryExecution().analyzed()
+    walk(analysed)
+    return {a.name(): trace(key(a), set()) for a in each(analysed.output())}
+
+
+def reachable_columns(views: dict[str, DataFrame], denied: list[str]) -> list[tuple[str, str, str, str]]:
+    """(view, view_column, source, denied_column) of all view columns whose values come from a denied column, under whatever name."""
+    return sorted((view, column, source, name) for view, df in views.items() for column, origin in lineage(df).items() for source, name in origin if name in set(denied))
+
+
 def leaked_values(view: DataFrame, base: DataFrame, denied: list[str], least: int = 6) -> DataFrame:
     """(view_column, denied_column, n) where text of a view equals values of a denied column, whatever the view calls it.
 

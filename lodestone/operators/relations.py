@@ -5,6 +5,8 @@ Edges: id, left_object, left_columns, right_object, right_columns, kind, confide
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,6 +48,54 @@ def crawl_foreign_keys(keys: DataFrame) -> DataFrame:
     return edges.withColumn("id", F.xxhash64(*IDENTITY))
 
 
+def inclusions(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None, kinds: tuple = ("bigint", "int", "smallint", "string", "date")) -> DataFrame:
+    """(left_object, left_column, right_object, right_column, left_keys, right_keys, matched_keys, containment) of all pairs of columns that share a value.
+
+    One pass over all tables: distinct values by column, then the set of columns of each value, and pairs of that set,
+    which has at most as many members as there are columns. Whole numbers are compared with whole numbers alone.
+    """
+    number = lambda kind: kind in ("bigint", "int", "smallint")
+    parts = []
+    for name, df in sorted(tables.items()):
+        own = [(c, k) for c, k in df.dtypes if k in kinds and (columns is None or c in columns.get(name, []))]
+        if own:
+            cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit("number" if number(k) else k).alias("kind"), F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).alias("value")) for c, k in own])
+            parts.append(df.select(F.lit(name).alias("object"), F.explode(cells).alias("x")).select("object", "x.*").where("value is not null").distinct())
+    values = reduce(DataFrame.unionByName, parts)
+    sets = values.groupBy("kind", "value").agg(F.sort_array(F.collect_list(F.struct("object", "column"))).alias("s"))
+    pairs = sets.select(F.explode("s").alias("l"), "s").select("l", F.explode("s").alias("r")).groupBy("l", "r").agg(F.count("*").alias("matched_keys"))
+    sizes = pairs.where("l = r").select(F.col("l").alias("_c"), F.col("matched_keys").alias("_n"))
+    found = pairs.where("l <> r").join(sizes.toDF("l", "left_keys"), "l").join(sizes.toDF("r", "right_keys"), "r")
+    return found.select(F.col("l.object").alias("left_object"), F.col("l.column").alias("left_column"), F.col("r.object").alias("right_object"), F.col("r.column").alias("right_column"), "left_keys", "right_keys", "matched_keys", F.round(F.col("matched_keys") / F.col("left_keys"), 6).alias("containment"))
+
+
+def candidate_keys(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None, at_least: float = 1.0) -> DataFrame:
+    """Edges that the data suggests: columns whose values a unique column of another table contains, to the share ``at_least``."""
+    found = inclusions(tables, columns).where((F.col("containment") >= at_least) & (F.col("left_object") != F.col("right_object")))
+    rows = reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("_rows")).select(F.lit(name).alias("right_object"), "_rows") for name, df in sorted(tables.items())])
+    unique = found.join(rows, "right_object").where("right_keys = _rows")
+    edges = unique.select("left_object", F.array("left_column").alias("left_columns"), "right_object", F.array("right_column").alias("right_columns"), F.lit("candidate").alias("kind"), F.col("containment").alias("confidence"), F.lit("data").alias("source"))
+    return edges.withColumn("id", F.xxhash64(*IDENTITY))
+
+
+def subgraph_of(edges: DataFrame, kb: DataFrame, query: str, embedder: HashingEmbedder, top_k: int = 5, max_hops: int = 2, decay: float = 0.5) -> DataFrame:
+    """(a, b, on, kind, confidence, hop, score): edges within hops of the tables that a question means.
+
+    Seeds are the relations of the catalogue rows that ``catalog.search`` ranks best, with their scores; an object that a hop
+    reaches gets the best score that leads to it, times ``decay`` and the edge's confidence.
+    """
+    seeds = catalog.search(kb, query, embedder, top_k).where("relation_name is not null").groupBy(F.col("relation_name").alias("object")).agg(F.max("rrf_score").alias("score"))
+    steps, seen, frontier, out = both_ways(edges), seeds, seeds, None
+    for hop in range(1, max_hops + 1):
+        met = steps.join(frontier, steps.a == frontier.object).select("a", "b", "on", "kind", "confidence", F.lit(hop).alias("hop"), "score")
+        out = met if out is None else out.unionByName(met)
+        if hop < max_hops:
+            reached = met.groupBy(F.col("b").alias("object")).agg(F.max(F.col("score") * decay * F.col("confidence")).alias("score"))
+            frontier = reached.join(seen, "object", "left_anti")
+            seen = seen.unionByName(frontier)
+    return out.withColumn("score", F.round("score", 9))
+
+
 def catalogue_rows(edges: DataFrame) -> DataFrame:
     """Edges as catalogue rows, so that a description finds them: `left -> right [kind]`."""
     name = F.concat_ws(" ", F.concat_ws(" -> ", "left_object", "right_object"), F.concat(F.lit("["), "kind", F.lit("]")))

@@ -21,14 +21,19 @@ def sequence_rank(log: DataFrame, conversation: str, sequence: str, created: str
     return first.withColumn("round", F.dense_rank().over(Window.partitionBy(conversation).orderBy("first_at", sequence)))
 
 
-def full_trace(log: DataFrame) -> DataFrame:
-    """Ordered steps with round, tool, milliseconds and one text, chosen by the action's type."""
-    rounds = sequence_rank(log, "conversation_id", "sequence_id", "created_at").drop("first_at")
+def steps(log: DataFrame) -> DataFrame:
+    """Actions as they are shown: tool, milliseconds and one text, chosen by the action's type, beside the columns that order them."""
     req = lambda p: F.get_json_object("request_payload", p)
     res = lambda p: F.get_json_object("response_payload", p)
     text = F.when(F.col("action_type") == "user_prompt", req("$.prompt")).when(F.col("action_type") == "tool_call", req("$.arguments")).when(F.col("action_type").isin("answer", "tool_response"), F.coalesce(res("$.text"), F.col("response_payload"))).when(F.col("action_type") == "error", F.col("error")).otherwise(F.coalesce("response_payload", "request_payload"))
+    return log.select("conversation_id", "sequence_id", "created_at", "id", "task_id", "action_type", req("$.tool_name").alias("tool"), F.round(seconds_between("created_at", "completed_at") * 1000, 3).alias("ms"), "status", excerpt(text, 120).alias("text"))
+
+
+def full_trace(log: DataFrame) -> DataFrame:
+    """Ordered steps with round, tool, milliseconds and one text, chosen by the action's type."""
+    rounds = sequence_rank(log, "conversation_id", "sequence_id", "created_at").drop("first_at")
     step = F.row_number().over(Window.partitionBy("conversation_id").orderBy("created_at", "id"))
-    return log.join(rounds, ["conversation_id", "sequence_id"]).select("conversation_id", step.alias("step"), "round", "task_id", "action_type", req("$.tool_name").alias("tool"), F.round(seconds_between("created_at", "completed_at") * 1000, 3).alias("ms"), "status", excerpt(text, 120).alias("text"))
+    return steps(log).join(rounds, ["conversation_id", "sequence_id"]).select("conversation_id", step.alias("step"), "round", "task_id", "action_type", "tool", "ms", "status", "text")
 
 
 def trace_with_owner(log: DataFrame, tasks: DataFrame, agents: DataFrame) -> DataFrame:

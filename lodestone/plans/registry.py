@@ -261,7 +261,7 @@ def lexical_only(spark, sf_dir):
 
 
 #: Three words in one place, two phrases, and what must be absent.
-PHRASE_QUERY = lexical.parse_web_query('theing ereding anded OR "of the" thention OR "anding the" OR "ing" -worthlessly')
+PHRASE_QUERY = lexical.parse_web_query('theing ereding OR "anea eriner" OR "ereden ereden" thanea OR "onre of enat" OR rerendsh stanin orantion -worthlessly')
 
 
 @query(f"WITH {lexical_sql.covers(PHRASE_QUERY)} SELECT doc_id, round(score, 6) AS score FROM m")

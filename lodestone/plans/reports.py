@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import clean, lexical, vectors
-from ..operators import aliases, catalog, governed, joins, relations, rollups, scoring, search, trace
+from ..functions import clean, lexical, udtf, vectors
+from ..operators import aliases, catalog, governed, joins, relations, rollups, scoring, search, similar, trace
 from ..sources import landing
-from . import registry
+from . import lexical_sql, registry
 from .registry import FACTS, LOG, ORDER_TEXTS, TASKS, event_agents, event_log, event_tasks, facts, order_texts, query, t
 
 # --- complaints, recalls and investigations as all-text tables ---------------------------------------------------------
@@ -271,6 +271,35 @@ def history_rows(spark, sf_dir):
     return aliases.history_rows(issued).select("definition", "comment", "source_type")
 
 
+@query("SELECT c_custkey, count(o_orderkey) AS n, coalesce(sum(o_orderkey), 0)::BIGINT AS keys FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def run_alias_lateral(spark, sf_dir):
+    """A saved query with a parameter, called for every customer."""
+    t(spark, sf_dir, "orders").createOrReplaceTempView("alias_orders")
+    t(spark, sf_dir, "customer").createOrReplaceTempView("alias_customers")
+    saved = aliases.Aliases(spark)
+    saved.save("orders_of", "number of orders of a customer", "SELECT count(*) AS n, coalesce(sum(o_orderkey), 0) AS keys FROM alias_orders WHERE CAST(o_custkey AS STRING) = ${customer}", [("customer", "bigint", "key of a customer")])
+    saved.as_function("orders_of")
+    return spark.sql("SELECT c_custkey, o.n, o.keys FROM alias_customers, LATERAL orders_of(CAST(c_custkey AS STRING)) o")
+
+
+@query(f"WITH {lexical_sql.TOKENS} SELECT doc_id, pos::INTEGER AS pos, lexeme FROM toks JOIN stems USING (word) WHERE lang = 'en'")
+def lexeme_positions(spark, sf_dir):
+    """The table function of a text's lexemes, called laterally."""
+    udtf.register(spark)
+    t(spark, sf_dir, "documents").createOrReplaceTempView("lexeme_documents")
+    return spark.sql("SELECT doc_id, p.pos, p.lexeme FROM lexeme_documents, LATERAL lexeme_positions(text) p WHERE lang = 'en'")
+
+
+@query("SELECT doc_id, 128 AS n_numbers, regexp_matches(coalesce(text, ''), '[A-Za-z0-9\\x{80}-\\x{10FFFF}]') AS has_words, CASE WHEN regexp_matches(coalesce(text, ''), '[A-Za-z0-9\\x{80}-\\x{10FFFF}]') THEN 1.0::DOUBLE ELSE 0 END AS norm FROM documents")
+def embedding_norms(spark, sf_dir):
+    """Vectors of whole texts by the table function: their length is 1 if the text has a word."""
+    udtf.register(spark)
+    t(spark, sf_dir, "documents").select("doc_id", "text").createOrReplaceTempView("encode_documents")
+    rows = spark.sql("SELECT doc_id, vec FROM encode_batch(TABLE(encode_documents), 'text', 128, 64)")
+    norm = F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 4)
+    return rows.select("doc_id", F.size("vec").alias("n_numbers"), norm.alias("norm")).withColumn("has_words", F.col("norm") > 0)
+
+
 # --- relationships -----------------------------------------------------------------------------------------------------
 
 
@@ -331,6 +360,45 @@ def relationship_shares(spark, sf_dir):
     return relations.verify(o, t(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("c_custkey")), "k", "c_custkey").select("blank_share", "unmatched_share")
 
 
+_KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey", "p_size"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]}
+_VALUES = "u AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT DISTINCT '{x}' AS o, '{c}' AS c, CAST({c} AS BIGINT) AS v FROM {x} WHERE {c} IS NOT NULL" for x, columns in _KEYS.items() for c in columns) + "), n AS (SELECT o, c, count(*) AS k FROM u GROUP BY 1, 2), p AS (SELECT a.o AS lo, a.c AS lc, b.o AS ro, b.c AS rc, count(*) AS m FROM u a JOIN u b ON a.v = b.v AND (a.o, a.c) <> (b.o, b.c) GROUP BY 1, 2, 3, 4)"
+
+
+def _key_tables(spark, sf_dir) -> dict[str, DataFrame]:
+    return {name: t(spark, sf_dir, name).select(*columns) for name, columns in _KEYS.items()}
+
+
+@query(f"WITH {_VALUES} SELECT lo AS left_object, lc AS left_column, ro AS right_object, rc AS right_column, a.k AS left_keys, b.k AS right_keys, m AS matched_keys, round(m / a.k, 6) AS containment FROM p JOIN n a ON a.o = lo AND a.c = lc JOIN n b ON b.o = ro AND b.c = rc")
+def column_inclusions(spark, sf_dir):
+    """Every pair of key-like columns of the star schema, in one pass."""
+    return relations.inclusions(_key_tables(spark, sf_dir))
+
+
+_COUNTS = "z AS (" + " UNION ALL ".join(f"SELECT '{x}' AS o, count(*) AS n_rows FROM {x}" for x in _KEYS) + ")"
+
+
+@query(f"WITH {_VALUES}, {_COUNTS} SELECT lo AS left_object, lc AS left_column, ro AS right_object, rc AS right_column, round(m / a.k, 6) AS confidence FROM p JOIN n a ON a.o = lo AND a.c = lc JOIN n b ON b.o = ro AND b.c = rc JOIN z ON z.o = ro WHERE lo <> ro AND b.k = n_rows AND m = a.k")
+def candidate_keys(spark, sf_dir):
+    """Foreign keys that nothing declares, found by containment in a unique column."""
+    found = relations.candidate_keys(_key_tables(spark, sf_dir))
+    return found.select("left_object", F.col("left_columns")[0].alias("left_column"), "right_object", F.col("right_columns")[0].alias("right_column"), "confidence")
+
+
+@query("WITH w AS (SELECT DISTINCT lower(c_name) AS w FROM customer) SELECT a.w AS a, b.w AS b, CAST(levenshtein(a.w, b.w) AS INTEGER) AS edits FROM w a JOIN w b ON a.w < b.w WHERE levenshtein(a.w, b.w) <= 1")
+def near_names(spark, sf_dir):
+    """Customers' names at one edit from each other."""
+    return catalog.near_words(t(spark, sf_dir, "customer").select(F.lower("c_name").alias("w")), "w", 1)
+
+
+@query("""WITH r AS (SELECT text, min(conv_id || '-' || turn) AS id FROM conversations GROUP BY 1), c AS MATERIALIZED (SELECT id, word, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS word FROM r) GROUP BY 1, 2),
+ t AS (SELECT id, sum(n * n) AS t FROM c GROUP BY 1), d AS (SELECT x.id AS a, y.id AS b, sum(x.n * y.n) AS dot FROM c x JOIN c y ON x.word = y.word AND x.id < y.id GROUP BY 1, 2)
+ SELECT a, b, round(dot::DOUBLE / (sqrt(ta.t::DOUBLE) * sqrt(tb.t::DOUBLE)), 9) AS similarity FROM d JOIN t ta ON ta.id = a JOIN t tb ON tb.id = b WHERE round(dot::DOUBLE / (sqrt(ta.t::DOUBLE) * sqrt(tb.t::DOUBLE)), 9) >= 0.8""")
+def similar_texts(spark, sf_dir):
+    """Distinct turns whose word counts have a cosine of 0.8 or more."""
+    turns = t(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    return similar.similar_pairs(turns, "id", "text", 0.8)
+
+
 # --- governed checks ---------------------------------------------------------------------------------------------------
 
 

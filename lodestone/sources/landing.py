@@ -95,6 +95,15 @@ def overwrite_table(df: DataFrame, path: str, partition_by: list[str] | None = N
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_layout(df: DataFrame, path: str, order: list[str], partition: list[str] | None = None, blooms: list[str] | None = None, row_group_bytes: int = 128 << 20) -> None:
+    """Write a table for selective reads: folders by ``partition``, rows in ranges of ``order`` and sorted, so that the smallest and largest values of files and row groups exclude most of them, and bloom filters for columns that are looked up but not sorted by."""
+    keys = [*(partition or []), *order]
+    writer = df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").option("parquet.block.size", row_group_bytes)
+    for c in blooms or []:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    (writer.partitionBy(*partition) if partition else writer).parquet(path)
+
+
 def append_report(df: DataFrame, path: str, purposes: list[str]) -> None:
     """Append rows, stamped with writer and time; a purpose out of the list or missing text fails the job."""
     ok = F.col("purpose").isin(purposes) & F.col("title").isNotNull() & F.col("findings").isNotNull()
