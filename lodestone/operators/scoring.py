@@ -30,7 +30,7 @@ def verdict_score(verdicts: DataFrame) -> DataFrame:
 
 def aggregate_score(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
     mean = scored.groupBy("arm").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
-    return mean.join(F.broadcast(thresholds), "arm").withColumn("passed", F.col("mean_score") >= F.col("threshold"))
+    return mean.join(thresholds, "arm").withColumn("passed", F.col("mean_score") >= F.col("threshold"))
 
 
 def arm_delta(scored: DataFrame, treatment: str, control: str, by: list[str] | None = None) -> DataFrame:

@@ -428,9 +428,10 @@ LOG = """elog AS (SELECT event_id AS id, user_id || '-' || event_type AS task_id
 
 
 @query(f"""WITH {LOG}, r AS (SELECT conversation_id, sequence_id, dense_rank() OVER (PARTITION BY conversation_id ORDER BY min(created_at), sequence_id) AS round FROM elog GROUP BY 1, 2)
- SELECT conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, id) AS step, round, task_id, action_type, tool, s * 1000.0::DOUBLE AS ms, status FROM (SELECT *, 'done' AS status FROM elog) JOIN r USING (conversation_id, sequence_id)""")
+ SELECT conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, id) AS step, round, task_id, action_type, tool, s * 1000.0::DOUBLE AS ms, status,
+ CASE action_type WHEN 'tool_call' THEN '{{"query":"SELECT ' || id || '"}}' ELSE '{{"answer":"a' || id || '","confidence":' || CAST((id % 4) / 4.0::DOUBLE AS VARCHAR) || '}}' END AS text FROM (SELECT *, 'done' AS status FROM elog) JOIN r USING (conversation_id, sequence_id)""")
 def full_trace(spark, sf_dir):
-    return trace.full_trace(event_log(spark, sf_dir)).drop("text")
+    return trace.full_trace(event_log(spark, sf_dir))
 
 
 def event_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -477,9 +478,13 @@ def run_costs(spark, sf_dir):
     return trace.run_costs(event_log(spark, sf_dir), event_tasks(spark, sf_dir), event_agents(spark, sf_dir))
 
 
-@query(f"WITH {LOG} SELECT id, conversation_id, 'a' || id AS answer, (id % 4) / 4.0::DOUBLE AS confidence FROM elog WHERE action_type = 'answer'")
+@query(f"WITH {LOG} SELECT id, conversation_id, 'a' || id AS answer, CASE WHEN id % 5 > 0 THEN 'SELECT ' || id END AS sql, CASE WHEN id % 7 > 0 THEN 'c1,c' || (id % 7) END AS columns, (id % 4) / 4.0::DOUBLE AS confidence FROM elog WHERE action_type = 'answer'")
 def parse_answers(spark, sf_dir):
-    return trace.parse_answers(event_log(spark, sf_dir)).select("id", "conversation_id", "answer", "confidence")
+    """Typed answers, some without a statement or columns."""
+    id_text = F.col("id").cast("string")
+    columns = F.when(F.col("id") % 7 > 0, F.array(F.lit("c1"), F.concat(F.lit("c"), (F.col("id") % 7).cast("string"))))
+    answer = F.to_json(F.struct(F.concat(F.lit("a"), id_text).alias("answer"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("SELECT "), id_text)).alias("sql"), columns.alias("columns"), (F.col("id") % 4 / 4).alias("confidence")))
+    return trace.parse_answers(event_log(spark, sf_dir).withColumn("response_payload", answer)).withColumn("columns", F.array_join("columns", ","))
 
 
 @query(f"WITH {TASKS}, n AS (SELECT arg_max(conversation_id, (created_at, id)) AS conversation_id FROM elog) SELECT id, action_type FROM elog JOIN n USING (conversation_id)")

@@ -132,10 +132,16 @@ def distinct_counts(spark, sf_dir):
     return rollups.distinct_counts(t(spark, sf_dir, "part"), ["p_brand", "p_type"])
 
 
-@query("SELECT 'orders' AS name, CAST((SELECT count(*) FROM orders) AS VARCHAR) AS expected, CAST((SELECT count(*) FROM orders) AS VARCHAR) AS found, true AS holds UNION ALL SELECT 'first key', '-1', CAST((SELECT min(o_orderkey) FROM orders) AS VARCHAR), false")
+_TRUTHS = {"nations": (25, "SELECT count(*) FROM nation"), "regions": (5, "SELECT count(*) FROM region"), "nations of no region": (0, "SELECT count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)"), "orders of no customer": (0, "SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)"), "lines of no order": (0, "SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)"), "parts of line numbers": (7, "SELECT max(l_linenumber) FROM lineitem"), "regions, stated wrongly": (6, "SELECT count(*) FROM region")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS name, '{n}' AS expected, CAST(({sql}) AS VARCHAR) AS found, ({sql}) = {n} AS holds" for name, (n, sql) in _TRUTHS.items()))
 def fixture_integrity(spark, sf_dir):
-    o = t(spark, sf_dir, "orders")
-    return rollups.assert_scalars({"orders": (o, F.count("*"), o.count()), "first key": (o, F.min("o_orderkey"), -1)})
+    """Figures of the tables against literal ground truth; the last is stated wrongly and must not hold."""
+    nation, region, customer, orders, lines = (t(spark, sf_dir, x) for x in ("nation", "region", "customer", "orders", "lineitem"))
+    lost = lambda a, b, c, d: a.join(b.select(F.col(d).alias(c)), c, "left_anti")
+    found = {"nations": (nation, F.count("*")), "regions": (region, F.count("*")), "nations of no region": (lost(nation, region, "n_regionkey", "r_regionkey"), F.count("*")), "orders of no customer": (lost(orders, customer, "o_custkey", "c_custkey"), F.count("*")), "lines of no order": (lost(lines, orders, "l_orderkey", "o_orderkey"), F.count("*")), "parts of line numbers": (lines, F.max("l_linenumber")), "regions, stated wrongly": (region, F.count("*"))}
+    return rollups.assert_scalars({name: (*found[name], n) for name, (n, _) in _TRUTHS.items()})
 
 
 @query("SELECT (SELECT count(*) FROM lineitem) >= (SELECT count(*) FROM orders) AND (SELECT count(DISTINCT n_nationkey) FROM nation) = 25 AS holds")
@@ -178,19 +184,17 @@ def candidate_ids(spark, sf_dir):
     return search.candidate_ids([v, w], "doc_id")
 
 
-@query("WITH r AS (SELECT user_id, row_number() OVER (ORDER BY count(*) DESC, user_id) AS a, row_number() OVER (ORDER BY sum(value) DESC, user_id) AS b FROM events GROUP BY 1) SELECT user_id, round(1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b), 10) AS rrf_score FROM r")
+@query("WITH r AS (SELECT user_id, rank() OVER (ORDER BY count(*) DESC) AS a, rank() OVER (ORDER BY round(sum(value), 2) DESC) AS b FROM events GROUP BY 1) SELECT user_id, round(1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b), 10) AS rrf_score FROM r")
 def rrf(spark, sf_dir):
-    """Users by two rankings, by number and by value of their events."""
-    from pyspark.sql.window import Window
-
-    by_user = t(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
-    arms = [by_user.select("user_id", F.row_number().over(Window.orderBy(F.desc(c), "user_id")).alias("rank")) for c in ("n", "v")]
+    """Users by two rankings, by number and by value of their events; equal ones share a rank, and no task has all users."""
+    by_user = t(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").cast("double").alias("n"), F.round(F.sum("value"), 2).alias("v"))
+    arms = [search.tied_ranks(by_user.select("user_id", c), c, "rank").select("user_id", "rank") for c in ("n", "v")]
     return search.rrf(arms, "user_id").withColumn("rrf_score", F.round("rrf_score", 10))
 
 
-@query("SELECT vec_id FROM embeddings")
+@query("SELECT vec_id, len(embedding)::INTEGER AS n_numbers FROM embeddings WHERE len(embedding) = 64")
 def check_dimension(spark, sf_dir):
-    return vectors.check_dimension(t(spark, sf_dir, "embeddings"), "embedding", 64).select("vec_id")
+    return vectors.check_dimension(t(spark, sf_dir, "embeddings"), "embedding", 64).select("vec_id", F.size("embedding").alias("n_numbers"))
 
 
 # --- catalogue ---------------------------------------------------------------------------------------------------------
@@ -523,10 +527,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/landing-{uuid.uuid4().hex}"
 
 
-def _delimited(spark, sf_dir) -> str:
-    """Orders as tab-separated text with CRs, blank lines and quotes."""
+def _delimited(spark, sf_dir, invalid: bool = False) -> str:
+    """Orders as tab-separated text with CRs, blank lines and quotes; ``invalid``: every eleventh ends with a byte that is no UTF-8."""
     path = scratch(spark)
     line = F.concat_ws("\t", "o_orderkey", "ymd", F.concat(F.lit('"'), F.col("num"), F.lit('" ')), F.coalesce("flag", F.lit("")))
+    if invalid:
+        line = F.concat(line.cast("binary"), F.when(F.col("o_orderkey") % 11 == 0, F.unhex(F.lit("E9"))).otherwise(F.unhex(F.lit("")))).cast("string")
     rows = order_texts(spark, sf_dir).select(F.explode(F.when(F.col("o_orderkey") % 9 == 0, F.array(F.concat(line, F.lit("\r")), F.lit("  \r"))).otherwise(F.array(line))).alias("value"))
     rows.write.text(path)
     return path
@@ -537,9 +543,9 @@ def land_delimited(spark, sf_dir):
     return landing.land_delimited(spark, [_delimited(spark, sf_dir)], T.StructType([T.StructField(n, T.StringType()) for n in "abcd"]))
 
 
-@query("SELECT count(*) + count(*) FILTER (o_orderkey % 9 = 0) AS lines, count(*) FILTER (o_orderkey % 9 = 0) AS blank_lines, 0::BIGINT AS fallback_lines FROM orders")
+@query("SELECT count(*) + count(*) FILTER (o_orderkey % 9 = 0) AS lines, count(*) FILTER (o_orderkey % 9 = 0) AS blank_lines, count(*) FILTER (o_orderkey % 11 = 0) AS fallback_lines FROM orders")
 def line_report(spark, sf_dir):
-    r = landing.line_report(landing.read_lines(spark, [_delimited(spark, sf_dir)]))
+    r = landing.line_report(landing.read_lines(spark, [_delimited(spark, sf_dir, True)]))
     return r.agg(*[F.sum(c).alias(c) for c in ("lines", "blank_lines", "fallback_lines")])
 
 
