@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import map_array, new_dir, power_of_two, remainder, save_array, shuffle_partitions
+from .shared import map_array, new_dir, power_of_two, remainder, save_array, shuffle_partitions, stored
 
 BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA41B56C4E9)
 #: Tokens that a task gathers before it sends its distinct bigrams.
@@ -186,7 +186,8 @@ def _merge_bigrams(uri: str, bits: int, word_bits: int):
         save_array(uri, f"bi-{key[0].as_py():05d}.count", count.astype(np.min_scalar_type(count.max())))
         n = [int((count == i).sum()) for i in (1, 2, 3, 4)]
         rows = list(_word_messages(w[first], b[first], count, word_bits))
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())} | {f"n{i + 1}": pa.array([v] + [0] * (len(rows) - 1), pa.int64()) for i, v in enumerate(n)})
+        own = {"bigram_shard": pa.array([key[0].as_py()] + [None] * (len(rows) - 1), pa.int32()), "bigrams": pa.array([len(first)] + [None] * (len(rows) - 1), pa.int64())}
+        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())} | own | {f"n{i + 1}": pa.array([v] + [0] * (len(rows) - 1), pa.int64()) for i, v in enumerate(n)})
 
     return run
 
@@ -206,7 +207,9 @@ def _merge_words(uri: str):
         save_array(uri, f"word-{key[0].as_py():05d}.stats", _small(stats))
         left = stats[:, 1]
         sums = [int(stats[:, 0].sum()), int((stats[:, 0] > 0).sum()), int(left.sum()), *(int((left == i).sum()) for i in (1, 2, 3, 4))]
-        return pa.table({f"s{i}": pa.array([v], pa.int64()) for i, v in enumerate(sums)} | {f"n{i}": pa.array([sum(x.as_py() for x in table.column(f"n{i}"))], pa.int64()) for i in (1, 2, 3, 4)})
+        bigrams = [(a.as_py(), n.as_py()) for a, n in zip(table.column("bigram_shard"), table.column("bigrams"), strict=True) if a.is_valid]
+        written = [{"kind": "word", "shard": key[0].as_py(), "keys": len(every)}, *({"kind": "bi", "shard": a, "keys": n} for a, n in bigrams)]
+        return pa.table({"written": pa.array([written], pa.list_(pa.struct([("kind", pa.string()), ("shard", pa.int32()), ("keys", pa.int64())])))} | {f"s{i}": pa.array([v], pa.int64()) for i, v in enumerate(sums)} | {f"n{i}": pa.array([sum(x.as_py() for x in table.column(f"n{i}"))], pa.int64()) for i in (1, 2, 3, 4)})
 
     return run
 
@@ -219,9 +222,14 @@ def fit(docs: DataFrame, text_col: str = "text", rows_per_shard: int = 4000) ->
     uri = new_dir(spark, "lm")
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_block(bits), "shard int, payload binary")
     numbers = ", ".join(f"n{i} long" for i in (1, 2, 3, 4))
-    words = counted.groupBy("shard").applyInArrow(_merge_bigrams(uri, bits, word_bits), f"shard int, payload binary, {numbers}")
-    sums = words.groupBy("shard").applyInArrow(_merge_words(uri), ", ".join(f"s{i} long" for i in range(7)) + f", {numbers}")
-    total = [x or 0 for x in sums.agg(*[F.sum(c) for c in sums.columns]).first()]
+    words = counted.groupBy("shard").applyInArrow(_merge_bigrams(uri, bits, word_bits), f"shard int, payload binary, bigram_shard int, bigrams long, {numbers}")
+    sums = stored(words.groupBy("shard").applyInArrow(_merge_words(uri), "written array<struct<kind:string,shard:int,keys:long>>, " + ", ".join(f"s{i} long" for i in range(7)) + f", {numbers}"), "lm-sums")
+    total = [x or 0 for x in sums.agg(*[F.sum(c) for c in sums.columns if c != "written"]).first()]
+    # what was written: two numbers a shard, and a shard is some thousands of rows
+    written = sums.select(F.explode("written").alias("w")).select("w.*").toPandas()
+    for kind in ("word", "bi"):
+        own = written[written["kind"] == kind].sort_values("shard")
+        save_array(uri, f"{kind}-written", np.ascontiguousarray(own[["shard", "keys"]].to_numpy(np.int64)))
     d = discounts(total[3:7])
     more = total[1] - total[3] - total[4]  # words with three or more left neighbours
     left_mass = total[2] - d[0] * total[3] - d[1] * total[4] - d[2] * more
@@ -261,6 +269,26 @@ def _files(model: str) -> OrderedDict:
     return OrderedDict()
 
 
+@lru_cache(maxsize=8)
+def _written(uri: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The shards that were written, and how many keys each has."""
+    rows = np.array(map_array(uri, f"{kind}-written"))
+    return rows[:, 0], rows[:, 1]
+
+
+def _mapped(model: Model, kind: str, value: str, shard: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """A shard's keys and values; None if no training row had a hash in it. A file that is lost or cut is an error."""
+    shards, sizes = _written(model.uri, kind)
+    p = int(np.searchsorted(shards, shard))
+    if p == len(shards) or shards[p] != shard:
+        return None
+    name = f"{kind}-{shard:05d}"
+    keys, values = map_array(model.uri, f"{name}.key"), map_array(model.uri, f"{name}.{value}")
+    if not len(keys) == len(values) == sizes[p]:
+        raise ValueError(f"{model.uri}/{name} has {len(keys)} keys and {len(values)} values, not {sizes[p]}")
+    return keys, values
+
+
 def _find(model: Model, kind: str, value: str, bits: int, keys: np.ndarray, width: tuple) -> np.ndarray:
     """Values of sorted ``keys`` from the mapped shards; 0 where a key is absent."""
     files = _files(json.dumps(asdict(model)))
@@ -270,10 +298,7 @@ def _find(model: Model, kind: str, value: str, bits: int, keys: np.ndarray, widt
     for i, j in zip(at, np.append(at[1:], len(keys)), strict=True):
         name = f"{kind}-{shard[i]:05d}"
         if name not in files:
-            try:
-                files[name] = map_array(model.uri, f"{name}.key"), map_array(model.uri, f"{name}.{value}")
-            except FileNotFoundError:  # no training row had a hash in this shard
-                files[name] = None
+            files[name] = _mapped(model, kind, value, int(shard[i]))
             if len(files) > MAPPED:
                 files.popitem(last=False)
         files.move_to_end(name)
