@@ -10,12 +10,15 @@
    sends the bytes of the contexts of those anchors, equal ones once, to the
    anchors' shards. An anchor that more than ``hot`` places have is dealt by its
    strings instead, so that a frequent phrase spreads.
-3. A shard lays contexts one after the other as texts of 8-byte letters: every
-   context that several documents have, twice, for its smallest id and for the
-   others, which share one fate; and of those of one anchor the letters that
-   they have in common with another. It builds the suffix array of every text. A 50-byte string holds five whole letters; suffixes with equal first
-   five, now neighbours, are a run. A string is a repeat if its run holds it for
-   a smaller id; the bytes beside the five letters are compared.
+3. A shard brings equal contexts together, compared byte by byte. That already
+   decides them: all strings of a context that several documents have are repeats
+   for all but its smallest id, and no array is built to say so. Contexts of one
+   anchor that differ are laid one after the other as a text of 8-byte letters,
+   of which those are kept that one has in common with another, and the suffix
+   array of every text is built. A 50-byte string holds five whole letters;
+   suffixes with equal first five, now neighbours, are a run. A string is a
+   repeat if its run holds it for a smaller id; the bytes beside the five
+   letters are compared.
 4. Repeats go back to their bucket, where a document drops their union.
 
 The suffix array is built by linear grouping: suffixes are grouped by their
@@ -551,13 +554,6 @@ def _strings(column: np.ndarray, size: np.ndarray) -> np.ndarray:
 _FIRST_LETTER = -(-np.arange(PLACES) // LETTER)
 
 
-def twins(rows: np.ndarray, column: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Which strings of contexts repeat an equal context's, each pair in a text of its own."""
-    letters, a, b = (np.repeat(x, 2, axis=0) for x in (rows.view("<u8"), -(-column // LETTER), (column + size) // LETTER))
-    run = _runs(letters, a, b, np.repeat(np.arange(len(rows)), 2))
-    return ((run[::2] == run[1::2]) & (run[::2] >= 0))[:, _FIRST_LETTER] & _strings(column, size)
-
-
 def among(rows: np.ndarray, column: np.ndarray, size: np.ndarray, group: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which strings of contexts repeat one of a smaller id in another context of their group. a, b: the letters to compare; equal ones are laid out once."""
     letters = np.where((np.arange(WIDTH // LETTER) >= a[:, None]) & (np.arange(WIDTH // LETTER) < b[:, None]), rows.view("<u8"), 0).astype("<u8")
@@ -623,7 +619,7 @@ def _find(key, table):
     one, a, b = one[own], a[own], b[own]
     two = np.flatnonzero(most > least)
     of = np.concatenate([one, two])
-    covered = np.concatenate([among(rows[one], column[one], size[one], group[one], least[one], a, b), twins(rows[two], column[two], size[two])])
+    covered = np.concatenate([among(rows[one], column[one], size[one], group[one], least[one], a, b), _strings(column[two], size[two])])  # of equal contexts every string repeats
     # stretches of strings by context: those of the smallest id, and those of the others
     padded = np.zeros((len(of), PLACES + 2), np.int8)
     padded[:, 1:-1] = covered
