@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import time
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -11,33 +13,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-#: Bytes of words: letters, digits, and all bytes beyond ASCII.
+#: Bytes of words: letters, digits, and all bytes beyond ASCII, of which ``_OTHER`` leaves letters and digits alone.
 _INSIDE = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-SLICE = 4 << 20
+_OTHER = re.compile(r"[\W_]+")
+SLICE, LONG = 4 << 20, 64
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads their bits."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+def _crc_table() -> np.ndarray:
+    """The 256 steps of CRC-32, from its polynomial."""
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = np.where(out & 1, (out >> 1) ^ np.uint32(0xEDB88320), out >> 1).astype(np.uint32)
+    return out
 
 
-_LETTER = np.where(_INSIDE, _mixed(np.arange(1, 257, dtype=np.uint64)), np.uint64(0))
+_CRC = _crc_table()
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+def crc32s(data: np.ndarray, start: np.ndarray, end: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """CRC-32 of many stretches of bytes at once, a byte of all of them a step; each goes on from ``before``. Stretches of over LONG bytes are done one by one."""
+    length = end - start
+    state = ~(np.zeros(len(start), np.uint32) if before is None else before)
+    short = np.flatnonzero(length <= LONG)
+    order = short[np.argsort(-length[short], kind="stable")]
+    now, at, sizes = state[order], start[order], -length[order]
+    for k in range(int(-sizes[0]) if len(sizes) else 0):
+        n = int(np.searchsorted(sizes, -k, "left"))  # those that have a byte k
+        now[:n] = _CRC[(now[:n] ^ data[at[:n] + k]) & 255] ^ (now[:n] >> 8)
+    state[order] = now
+    out = ~state
+    for w in np.flatnonzero(length > LONG):
+        out[w] = zlib.crc32(data[start[w] : end[w]], 0 if before is None else int(before[w]))
+    return out
 
 
 class HashingEmbedder:
     """Signed feature hashing of words and word pairs, L2-normalised. Repeatable, without a model file; it knows no synonyms.
 
-    A word's hash is a polynomial of its bytes, taken for all words of a batch at once from one running sum.
+    Hashes are CRC-32 of a word, and of two with a blank between, taken for all words of a batch at once.
     """
 
     #: Characters that the embedder can read; None is the whole text. Only one with a context window sets it.
@@ -52,18 +65,19 @@ class HashingEmbedder:
         inside = np.concatenate([[False], _INSIDE[data], [False]])
         start, end = np.flatnonzero(inside[1:-1] & ~inside[:-2]), np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
         row = np.searchsorted(np.cumsum(lengths), start, "right")
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[data] * _powers(_BASE, len(data)))])
-        word = _mixed((sums[end] - sums[start]) * _powers(_BACK, len(data) + 1)[start])
+        word = crc32s(data, start, end)
         next_to = np.flatnonzero(row[1:] == row[:-1])
-        pair = _mixed(word[next_to] * np.uint64(0xA0761D6478BD642F) + word[next_to + 1])
+        blank = crc32s(np.frombuffer(b" ", np.uint8), np.zeros(len(next_to), np.int64), np.ones(len(next_to), np.int64), word[next_to])
+        pair = crc32s(data, start[next_to + 1], end[next_to + 1], blank)
         feature, at = np.concatenate([word, pair]), np.concatenate([row, row[next_to]])
-        cell = at * self.dimension + ((feature >> np.uint64(1)) % np.uint64(self.dimension)).astype(np.int64)
-        sign = (feature & np.uint64(1)).astype(np.float64) * 2 - 1
+        cell = at * self.dimension + ((feature >> 1) % self.dimension).astype(np.int64)
+        sign = (feature & 1).astype(np.float64) * 2 - 1
         return np.bincount(cell, sign, len(rows) * self.dimension).reshape(len(rows), self.dimension)
 
     def matrix(self, texts: list[str | None]) -> np.ndarray:
         """A row a text; texts are taken in slices of SLICE bytes, or one by one if longer."""
-        rows = [(t or "").lower().encode("utf-8", "ignore") for t in texts]
+        lower = [(t or "").lower() for t in texts]
+        rows = [(t if t.isascii() else _OTHER.sub(" ", t)).encode("utf-8", "ignore") for t in lower]
         ends, parts, i = np.cumsum([len(r) + 1 for r in rows]), [np.zeros((0, self.dimension))], 0
         while i < len(rows):
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE, "right")))
