@@ -6,14 +6,17 @@ are the words of the perfect binary Golay code of length 23 (the stretch padded
 with zeros), whose covering radius is 3: every fingerprint has exactly one
 anchor within 3, its home, and is replicated to every anchor within
 3 + 1, about five of them. A linked pair therefore meets at the home anchor of
-either, where homes are compared with replicas. A bucket returns a spanning
-forest of its links, never the pairs, so a group of near copies costs rows in
-proportion to its size.
-
-An anchor with many homes is cut by the bits outside its stretch: of five blocks of
-these, four differing bits leave one equal, of six two, of seven three, and so on.
+either, where homes are compared with replicas. A bucket returns an edge a node
+that has links, never the pairs, so a group of near copies costs rows in
+proportion to its size. Nor are the pairs of a dense group compared: what one or two
+bits join is looked up, and only what is left outside the largest component meets all.
+
+An anchor with many homes is cut by blocks of bits: of five blocks, four differing bits
+leave one equal, of six two, of seven three, and so on. Blocks share out the bits in which
+this anchor's homes do differ, as counted, so that blocks of near copies tell them apart too.
 Rows of such an anchor meet by every choice of as many blocks, so their number grows
-with the rows, not with their square; more blocks are taken as homes grow in number.
+with the rows; more blocks are taken as homes grow in number, up to nine. Homes beyond that
+which are neither told apart by their bits nor joined by one or two are compared with each other.
 
 Only distinct fingerprints are compared. Null and empty texts have fingerprint
 zero and link like others. Texts of fewer words than a shingle are one shingle.
@@ -23,7 +26,6 @@ has another id. Other columns are not looked at.
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -128,88 +130,138 @@ def _replicate(batches):
                 yield pa.RecordBatch.from_arrays(columns, ["stretch", "anchor", "home", "id", "fp"])
 
 
-def link_forest(home: np.ndarray, replica: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Positions (home, replica) whose links join all that any link joins. Both hold distinct fingerprints."""
-    nodes, at = np.unique(np.concatenate([home, replica]), return_inverse=True)
-    label, out = np.arange(len(nodes)), []
-    at_home, at_replica = at[: len(home)], at[len(home) :]
-    step = max(1, 2_000_000 // max(1, len(replica)))
-    for i in range(0, len(home), step):
-        x = home[i : i + step, None] ^ replica[None, :]
-        hit = (np.bitwise_count(x) <= distance) & (x != 0)
-        for k in np.flatnonzero(hit.any(axis=1)):
-            other = np.flatnonzero(hit[k])
-            mine = label[at_home[i + k]]
-            labels, first = np.unique(label[at_replica[other]], return_index=True)
-            new = labels != mine
-            if new.any():
-                out += [(i + int(k), int(other[f])) for f in first[new]]
-                label[np.isin(label, labels[new])] = mine
-    return out
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels once a[i] and b[i] are joined. A node's label is the smallest position known to be reachable from it."""
+    while len(a):
+        x, y = label[a], label[b]
+        open_ = x != y
+        if not open_.any():
+            break
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+#: A search in a sorted array costs as much as so many comparisons.
+SEARCH = 16
+
+
+def link_labels(nodes: np.ndarray, home: np.ndarray, distance: int) -> np.ndarray:
+    """By node (distinct fingerprints, ascending): the first node that links of homes, or others, lead to.
+
+    Nodes at one bit, then at two, are looked up where that is cheaper than comparing all; among many near copies
+    these join nearly all. Then homes outside the largest component are compared with all nodes, and homes in it with those outside.
+    """
+    n = len(nodes)
+    label = np.arange(n)
+    varying = int(np.bitwise_or.reduce(nodes ^ nodes[0])) if n else 0
+    one = [1 << b for b in range(64) if varying >> b & 1]
+    for flips in ([one] if distance >= 1 else []) + ([[x | y for x, y in combinations(one, 2)]] if distance >= 2 else []):
+        if len(flips) * SEARCH >= n:
+            break
+        source = np.flatnonzero(label != np.bincount(label).argmax())
+        for flip in flips:
+            wanted = nodes[source] ^ np.uint64(flip)
+            at = np.minimum(np.searchsorted(nodes, wanted), n - 1)
+            hit = nodes[at] == wanted
+            label = _merge(label, source[hit], at[hit])
+    inside = label == np.bincount(label, minlength=1).argmax()
+    every = np.arange(n)
+    for left, right in ((np.flatnonzero(home & ~inside), every), (np.flatnonzero(home & inside), np.flatnonzero(~inside))):
+        step = max(1, 2_000_000 // max(1, len(right)))
+        for i in range(0, len(left) if len(right) else 0, step):
+            part = left[i : i + step]
+            a, b = np.nonzero(np.bitwise_count(nodes[part][:, None] ^ nodes[right][None, :]) <= distance)
+            label = _merge(label, part[a], right[b])
+    return label
 
 
 def _compare(distance: int):
     def run(key, table):
         anchor, home = table.column("anchor").to_numpy(), table.column("home").to_numpy()
         ids, fp = table.column("id").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
-        order = np.argsort(anchor, kind="stable")
+        order = np.lexsort((~home, fp, anchor))
         edge = np.flatnonzero(np.diff(anchor[order], prepend=-1, append=1 << 30))
         a, b = [], []
         for i, j in zip(edge[:-1], edge[1:], strict=True):
             rows = order[i:j]
-            h = rows[home[rows]]
-            if len(h) and len(rows) > 1:
-                for p, q in link_forest(fp[h], fp[rows], distance):
-                    a.append(ids[h[p]])
-                    b.append(ids[rows[q]])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            if len(rows) > 1 and home[rows].any():
+                rows = rows[np.concatenate([[True], fp[rows][1:] != fp[rows][:-1]])]
+                label = link_labels(fp[rows], home[rows], distance)
+                joined = np.flatnonzero(label != np.arange(len(rows)))
+                a.append(ids[rows[joined]])
+                b.append(ids[rows[label[joined]]])
+        none = [np.empty(0, np.int64)]
+        return pa.table({"a": pa.array(np.concatenate(a or none), pa.int64()), "b": pa.array(np.concatenate(b or none), pa.int64())})
 
     return run
 
 
 #: Most blocks of a hot anchor: of nine, five are equal.
 FINEST = 9
-_REST = 64 - min(STRETCHES)
 
 
-def block_masks(blocks: int, distance: int) -> list[int]:
-    """Masks over the bits outside a stretch: every choice of so many blocks as ``distance`` differing bits must leave equal."""
-    edges = [k * _REST // blocks for k in range(blocks + 1)]
-    one = [(1 << b) - (1 << a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return [sum(c) for c in combinations(one, blocks - distance)]
+def _dealt(blocks: int, weight: np.ndarray) -> tuple[list[int], list[float]]:
+    """Masks of the blocks and their weights: the heaviest bit goes to the lightest block, so that each tells fingerprints apart alike."""
+    masks, total = [0] * blocks, [0.0] * blocks
+    for bit in np.argsort(-weight, kind="stable").tolist():
+        k = min(range(blocks), key=lambda k: (total[k], masks[k].bit_count()))
+        masks[k] |= 1 << bit
+        total[k] += float(weight[bit])
+    return masks, total
+
+
+def block_masks(blocks: int, distance: int, weight: np.ndarray | None = None) -> list[int]:
+    """Masks over 64 bits: every choice of so many blocks as ``distance`` differing bits must leave equal."""
+    masks, _ = _dealt(blocks, np.ones(64) if weight is None else weight)
+    return [sum(c) for c in combinations(masks, blocks - distance)]
+
+
+def cuts(homes: int, ones: np.ndarray, distance: int, most: int) -> list[int]:
+    """The masks by which an anchor's rows meet, from how many of its homes have each bit.
 
+    A bit weighs the binary logarithm of how rarely two homes agree in it; blocks are taken until about ``most`` homes agree in a choice of them.
+    """
+    share = ones / homes
+    weight = -np.log2(share * share + (1 - share) * (1 - share))
+    for blocks in range(distance + 1, FINEST + 1):
+        lightest = sum(sorted(_dealt(blocks, weight)[1])[: blocks - distance])
+        if homes <= most * 2**lightest:
+            break
+    return block_masks(blocks, distance, weight)
 
-def equal_bits(blocks: int, distance: int) -> int:
-    """Bits in the smallest choice of blocks."""
-    return min(m.bit_count() for m in block_masks(blocks, distance))
+
+def _cut(distance: int, most: int):
+    def run(batches):
+        for batch in batches:
+            stretch, anchor, homes, ones = (batch.column(k) for k in range(4))
+            masks = [np.array(cuts(n, np.array(o), distance, most), np.uint64).view(np.int64) for n, o in zip(homes.to_pylist(), ones.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([stretch, anchor, pa.array(masks, pa.list_(pa.int64()))], ["stretch", "anchor", "masks"])
+
+    return run
 
 
 def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
-    """Edges (a, b) of a forest that joins whatever links of at most ``distance`` bits join; nodes: distinct (id, fp)."""
+    """Edges (a, b) that join whatever links of at most ``distance`` bits join: a bucket's nodes with the first one of their component in it. nodes: distinct (id, fp)."""
     if distance > 5:
         raise ValueError("three stretches and one bit of slack cover at most 5 bits")
     replicas = stored(nodes.select("id", "fp").mapInArrow(_replicate, "stretch int, anchor int, home boolean, id long, fp long"), "replicas")
     cells = min(12, power_of_two(replicas.count() / 3 / 65536) + 4)
-    count = replicas.where("home").groupBy("stretch", "anchor").count().where(F.col("count") > MOST)
-    # so many blocks that about MOST homes agree in a choice of them
-    level = reduce(lambda out, n: out.when(F.col("count") <= MOST * (1 << equal_bits(n, distance)), n), range(distance + 1, FINEST), F)
-    hot = count.select("stretch", "anchor", level.otherwise(FINEST).alias("blocks"))
+    homes = replicas.where("home")
+    count = homes.groupBy("stretch", "anchor").agg(F.count("*").alias("homes")).where(F.col("homes") > MOST)
+    ones = [F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1).cast("long"))) for b in range(64)]
+    bits = homes.join(count, ["stretch", "anchor"]).groupBy("stretch", "anchor", "homes").agg(F.array(*ones).alias("ones"))
+    hot = bits.select("stretch", "anchor", "homes", "ones").mapInArrow(_cut(distance, MOST), "stretch int, anchor int, masks array<long>")
     r = replicas.join(hot, ["stretch", "anchor"], "left")
+    choices = F.transform("masks", lambda m, i: F.struct(i.alias("choice"), F.col("fp").bitwiseAND(m).alias("bits")))
     whole = F.array(F.struct(F.lit(0).alias("choice"), F.lit(0).cast("long").alias("bits")))
-    # what is left of a fingerprint without the stretch
-    rest = F.lit(0).cast("long")
-    for stretch, bits in enumerate(STRETCHES):
-        shift = sum(STRETCHES[:stretch])
-        low, high = F.col("fp").bitwiseAND(F.lit((1 << shift) - 1).cast("long")), F.shiftrightunsigned("fp", shift + bits) if shift + bits < 64 else F.lit(0).cast("long")
-        rest = F.when(F.col("stretch") == stretch, low.bitwiseOR(F.shiftleft(high, shift))).otherwise(rest)
-    cut = whole
-    for n in range(distance + 1, FINEST + 1):
-        choices = [F.struct((F.lit(n * 1000 + k)).alias("choice"), F.col("rest").bitwiseAND(F.lit(mask).cast("long")).alias("bits")) for k, mask in enumerate(block_masks(n, distance))]
-        cut = F.when(F.col("blocks") == n, F.array(*choices)).otherwise(cut)
-    dealt = r.withColumn("rest", rest).select("stretch", "anchor", "home", "id", "fp", "blocks", F.explode(cut).alias("c"))
+    dealt = r.select("stretch", "anchor", "home", "id", "fp", F.col("masks").isNull().alias("is_whole"), F.explode(F.coalesce(choices, whole)).alias("c"))
     # one group is a cell of anchors; parts of hot anchors are groups of their own
     cell = F.col("stretch") * 4096 + F.shiftright(F.col("anchor"), 12 - cells)
-    part = F.when(F.col("blocks").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("anchor", "c"))
+    part = F.when(F.col("is_whole"), F.lit(0).cast("long")).otherwise(F.xxhash64("anchor", "c"))
     both = dealt.select("anchor", "home", "id", "fp", cell.alias("cell"), part.alias("part"))
     return both.groupBy("cell", "part").applyInArrow(_compare(distance), "a long, b long")
 
