@@ -17,7 +17,7 @@ tokens come from windows at random places, at the longest token and at the one w
 
 The model is fitted on at most ``max_rows`` rows, those with the smallest hash
 of their id; from each it takes at most ``per_text`` matches, and from one text in ``background`` three
-windows elsewhere. These three are parameters of ``fit``, and bound what reaches the driver. Null and empty texts have no
+windows elsewhere. These three are parameters of ``fit``, and bound what the one task that trains holds; the driver gets the weights alone. Null and empty texts have no
 spans. Without a match to learn from, nothing but the patterns' spans is found.
 Repeated rows are scanned each; whole texts are scanned, however long.
 """
@@ -164,23 +164,35 @@ def _forward_backward(e: np.ndarray, t: np.ndarray, mask: np.ndarray) -> tuple[n
     return tags, pairs.sum((0, 1))
 
 
+#: Windows whose gradient is taken at once; a step sums over all of them, so that memory does not grow with their number.
+CHUNK = 4096
+
+
+def gradient(features: np.ndarray, tags: np.ndarray, weights: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows' negative log likelihood, by weights and by transitions."""
+    g, g_t = np.zeros(weights.shape), np.zeros((3, 3))
+    for i in range(0, len(tags), CHUNK):
+        f, y = features[i : i + CHUNK].astype(np.int64), tags[i : i + CHUNK].astype(np.int64)
+        mask = y >= 0
+        p, pairs = _forward_backward(weights[f].sum(2), transitions, mask)
+        d = (p - np.eye(3)[np.maximum(y, 0)])[mask]
+        flat = f[mask].reshape(-1)
+        for k in range(3):
+            g[:, k] += np.bincount(flat, np.repeat(d[:, k], N_FEATURES), len(weights))
+        g_t += pairs - np.bincount((y[:, :-1] * 3 + y[:, 1:])[mask[:, 1:]], minlength=9).reshape(3, 3)
+    return g, g_t
+
+
 def train(features: np.ndarray, tags: np.ndarray, rounds: int = 60, rate: float = 0.5, decay: float = 1e-3) -> Model:
     """features (windows, tokens, N_FEATURES), tags (windows, tokens), -1 behind a window's end."""
     weights, transitions = np.zeros((1 << BITS, 3)), np.zeros((3, 3))
     if not len(tags) or not (tags == BEGIN).any():
         return Model(weights.astype(np.float32), transitions)
-    mask = tags >= 0
-    one_hot = np.eye(3)[np.maximum(tags, 0)] * mask[..., None]
-    seen = np.zeros((3, 3))
-    np.add.at(seen, (tags[:, :-1][mask[:, 1:]], tags[:, 1:][mask[:, 1:]]), 1)
-    flat = features[mask].reshape(-1)
     squares, squares_t = np.full(weights.shape, 1e-8), np.full((3, 3), 1e-8)
     for _ in range(rounds):
-        e = weights[features].sum(2)
-        p, pairs = _forward_backward(e, transitions, mask)
-        d = np.repeat((p - one_hot)[mask], N_FEATURES, 0)
-        g = np.stack([np.bincount(flat, d[:, k], 1 << BITS) for k in range(3)], 1) + decay * weights
-        g_t = pairs - seen + decay * transitions
+        g, g_t = gradient(features, tags, weights, transitions)
+        g += decay * weights
+        g_t += decay * transitions
         squares += g * g
         squares_t += g_t * g_t
         weights -= rate * g / np.sqrt(squares)
@@ -324,12 +336,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_row
     """The model from at most ``max_rows`` rows, ``per_text`` matches a text, and other windows of one text in ``background``."""
     chosen = docs.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
     texts = docs.join(F.broadcast(chosen), id_col).select(F.col(text_col).cast("string").alias("text"))
-    raw = sorted(bytes(r.window) for r in texts.mapInArrow(_windows(per_text, background), "window binary").collect())
+    windows = texts.mapInArrow(_windows(per_text, background), "window binary").repartition(1).sortWithinPartitions("window")
+    row = windows.mapInArrow(_train, "weights binary, transitions binary").first()
+    if row is None:
+        return train(np.empty((0, 1, N_FEATURES), np.int16), np.empty((0, 1), np.int8))
+    return Model(np.frombuffer(row.weights, np.float32).reshape(-1, 3), np.frombuffer(row.transitions, np.float64).reshape(3, 3))
+
+
+def _train(batches):
+    """All windows, sorted, to the one model; they stay in two bytes a feature."""
     width = 2 * HALF + 1
-    cut = 2 * width * N_FEATURES
-    features = np.array([np.frombuffer(x[:cut], np.int16) for x in raw], np.int64).reshape(len(raw), width, N_FEATURES)
-    tags = np.array([np.frombuffer(x[cut:], np.int8) for x in raw], np.int64).reshape(len(raw), width)
-    return train(features, tags)
+    features, tags = [np.empty((0, width, N_FEATURES), np.int16)], [np.empty((0, width), np.int8)]
+    for batch in batches:
+        raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        cut = 2 * width * N_FEATURES
+        features.append(np.ascontiguousarray(raw[:, :cut]).view(np.int16).reshape(-1, width, N_FEATURES))
+        tags.append(np.ascontiguousarray(raw[:, cut:]).view(np.int8))
+    model = train(np.concatenate(features), np.concatenate(tags))
+    yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.transitions.tobytes()], pa.binary())], ["weights", "transitions"])
 
 
 def scan_column(model: Model, column) -> list[tuple[list, list]]:
