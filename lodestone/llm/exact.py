@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from .shared import stored
 
-NO_ID = (1 << 63) - 1
 _RUNS = "doc_id long, keep_id long, group_size long, text_sha256 string, edge boolean"
 
 
@@ -36,17 +35,17 @@ def normalised(text_col: str):
 
 
 def _runs(batches):
-    """Rows sorted by (first, hash, text, id) in; out come the same rows with their run's smallest id, size and digest.
+    """Rows sorted by (first, hash, text, id), null ids last, in; out come the same rows with their run's smallest id, size and digest.
 
     A run's ids are held until it ends; of texts, only the last one is.
     """
     first_key = text = digest = key = None
-    ids: list[np.ndarray] = []
+    ids: list[pa.Array] = []
     pending: list = []  # runs that may reach the partition's end
 
     done: list = []
     for batch in batches:
-        column, own = batch.column("norm").cast(pa.large_string()), batch.column("id").to_numpy()
+        column, own = batch.column("norm").cast(pa.large_string()), batch.column("id")
         n = len(column)
         if not n:
             continue
@@ -55,15 +54,15 @@ def _runs(batches):
         for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             value = column[i].as_py()
             if value == text and text is not None:
-                ids.append(own[i:j])
+                ids.append(own.slice(i, j - i))
                 continue
             if text is not None:
-                run = np.concatenate(ids), digest, key
+                run = pa.concat_arrays(ids), digest, key
                 if key == first_key:
                     pending.append(run)
                 else:
                     done.append(run)
-            text, ids, digest = value, [own[i:j]], hashlib.sha256(value.encode()).hexdigest()
+            text, ids, digest = value, [own.slice(i, j - i)], hashlib.sha256(value.encode()).hexdigest()
             key = (batch.column("first")[i].as_py(), batch.column("hash")[i].as_py())
             first_key = first_key if first_key is not None else key
         # a run ends for good when the next key has begun
@@ -71,7 +70,7 @@ def _runs(batches):
         yield from _records([r for r in done if r[2] != key], False)
         done = last
     if text is not None:
-        done.append((np.concatenate(ids), digest, key))
+        done.append((pa.concat_arrays(ids), digest, key))
         yield from _records(pending + done, True)
 
 
@@ -80,8 +79,8 @@ def _records(runs: list, edge: bool):
         return
     sizes = np.array([len(r[0]) for r in runs])
     rows = np.repeat(np.arange(len(runs)), sizes)
-    least = np.array([r[0].min() for r in runs])
-    arrays = [pa.array(np.concatenate([r[0] for r in runs])), pa.array(least[rows]), pa.array(sizes[rows]), pa.array([r[1] for r in runs]).take(pa.array(rows)), pa.array(np.full(len(rows), edge))]
+    least = pa.array([r[0][0].as_py() for r in runs], pa.int64())  # null if the run has no id
+    arrays = [pa.concat_arrays([r[0] for r in runs]), least.take(pa.array(rows)), pa.array(sizes[rows]), pa.array([r[1] for r in runs]).take(pa.array(rows)), pa.array(np.full(len(rows), edge))]
     yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "keep_id", "group_size", "text_sha256", "edge"])
 
 
@@ -89,9 +88,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``docs``."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), normalised(text_col).alias("norm"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), normalised(text_col).alias("norm"))
     keyed = rows.select("id", "norm", F.substring("norm", 1, prefix).alias("first"), F.xxhash64("norm").alias("hash"))
-    ordered = keyed.repartitionByRange(n, "first", "hash", "id").sortWithinPartitions("first", "hash", "norm", "id")
+    ordered = keyed.repartitionByRange(n, "first", "hash", "id").sortWithinPartitions("first", "hash", "norm", F.asc_nulls_last("id"))
     runs = stored(ordered.mapInArrow(_runs, _RUNS), "runs")
     # pieces of one text at the edges of partitions become one group; a row is in one run, so rows
     # give the size. There are at most two such texts a partition, which bounds the broadcast
@@ -99,12 +98,4 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     out = runs.join(F.broadcast(whole), "text_sha256", "left").select(
         "doc_id", F.coalesce("_keep", "keep_id").alias("keep_id"), F.coalesce("_size", "group_size").alias("group_size"), "text_sha256"
     )
-    null = F.lit(None).cast("long")
-    return out.select(
-        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).otherwise(null).alias("doc_id"),
-        F.when(F.col("keep_id") != NO_ID, F.col("keep_id")).otherwise(null).alias("keep_id"),
-        "group_size",
-        (F.col("doc_id") == F.col("keep_id")).alias("kept"),
-        "text_sha256",
-    )
-
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tempfile
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
@@ -316,7 +317,7 @@ def test_pipeline_stages(spark, sf_dir):
     for k, (_, stage) in enumerate(cp.STAGES):
         out = shared.stored(stage(spark, docs, sf_dir), "stage")
         if k < 4:
-            assert out.columns == list(cp.COLUMNS)
+            assert out.columns == docs.columns
         if k == 1:
             norm = [re.sub(r"[\x20\x09-\x0D]+", " ", r.text) for r in out.collect()]
             assert len(norm) == len(set(norm)) == docs.select(exact.normalised("text")).distinct().count()
@@ -350,6 +351,30 @@ def test_pipeline_decides_for_rows(spark):
     assert mixed == +taken and sum(mixed.values()) <= 3 * len(rows)
 
 
+def test_largest_id_is_no_null(spark):
+    most = 2**63 - 1
+    rows = [(most, "a  b"), (None, "a b"), (most, "alone"), (None, "no id"), (None, "no id"), (-5, "c"), (most, "c")]
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(most, most, 2, True), (None, most, 2, False), (most, most, 1, True), (None, None, 2, True), (None, None, 2, True), (-5, -5, 2, True), (most, -5, 2, False)])
+
+
+def test_pipeline_keeps_columns_of_any_name(spark):
+    import corpus_pipeline as cp
+
+    rows = [(i, f"text {i} " * 30, "a", 0.5, f"k{i}", i, [i]) for i in range(40)] + [(50, "text 7 " * 30, "a", 0.5, "copy", 7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, score double, row_key string, _of int, `a.b` array<int>")
+    for stage in (cp.drop_copies, cp.drop_near_copies, cp.mix_sources):
+        out = stage(spark, docs, "")
+        assert out.schema.simpleString() == docs.schema.simpleString()
+        assert {tuple(map(str, r)) for r in out.collect()} <= {tuple(map(str, r)) for r in rows}
+    labels = tempfile.mkdtemp(prefix="spark-")
+    spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int").write.parquet(f"{labels}/labels.parquet")
+    kept = cp.reject_toxic(spark, docs, labels)
+    assert kept.columns == docs.columns and {r["a.b"][0] for r in kept.where("doc_id < 50").collect()} <= set(range(40))
+    only = docs.select("text", "doc_id", "source")
+    assert cp.drop_copies(spark, only, "").columns == only.columns and cp.drop_copies(spark, only, "").count() == 40
+
+
 def test_repeated_rows_and_ids_of_substrings(spark):
     """Rows of one id keep each other's bytes; null is the largest id; every row has a result. The passage repeats every 22 bytes: 76 + 50 are covered."""
     a, b = "first shared passage, " * 6, "another one that is long enough to be a string of fifty bytes"
