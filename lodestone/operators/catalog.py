@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.lexical import candidates, parse_web_query
 from ..functions.vectors import HashingEmbedder, cosine, embed_batch
+from . import store
 from .search import matched, tied_ranks
 
 COLUMNS = "source_type string, entity_type string, relation_name string, column_name string, object_ref string, definition string, comment string"
@@ -191,27 +193,39 @@ def discover_context(catalog: DataFrame, question: str, embedder: HashingEmbedde
 
 
 class Catalogues:
-    """Catalogues by name; a name may be left out while there is one, and one object is in one catalogue."""
+    """Catalogues by name, in a folder that sessions share; a name may be left out while there is one, and one object is in one catalogue.
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self._kept = spark, {}
+    Rows of dropped and replaced catalogues stay in the folder, for those that read them.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or store.new_folder(spark, "catalogues")
+        self._none = spark.createDataFrame([], "name string, embedder string, dimension int, tables array<string>, location string")
+        self._kept = store.Records(spark, f"{self.path}/names", self._none.schema)
 
     def add(self, name: str, rows: DataFrame, embedder: HashingEmbedder, tables: list[str]) -> None:
-        shared = {n: sorted(set(t) & set(tables)) for n, (_, _, t) in self._kept.items() if set(t) & set(tables) and n != name}
+        wanted = F.array(*[F.lit(x) for x in tables]).cast("array<string>")
+        both = self._kept.rows().where(F.col("name") != name).select("name", F.array_sort(F.array_intersect("tables", wanted)).alias("both"))
+        shared = both.where(F.size("both") > 0).orderBy("name").collect()
         if shared:
-            raise ValueError("; ".join(f"{', '.join(t)} already in {n}" for n, t in shared.items()))
-        self._kept[name] = (rows, embedder, list(tables))
+            raise ValueError("; ".join(f"{', '.join(r['both'])} already in {r['name']}" for r in shared))
+        location = f"{self.path}/rows-{uuid.uuid4().hex}"
+        rows.write.parquet(location)
+        self._kept.put(self.spark.createDataFrame([(name, embedder.name, embedder.dimension, sorted(tables), location)], self._none.schema))
 
     def get(self, name: str | None = None) -> DataFrame:
-        if name is None and len(self._kept) != 1:
-            raise ValueError(f"name one of {', '.join(sorted(self._kept)) or 'no catalogues'}")
-        return self._kept[name or next(iter(self._kept))][0]
+        found = self._kept.rows(name).orderBy("name").collect()  # one short row a catalogue
+        if name is None and len(found) != 1:
+            raise ValueError(f"name one of {', '.join(r['name'] for r in found) or 'no catalogues'}")
+        if not found:
+            raise KeyError(name)
+        return self.spark.read.parquet(found[0]["location"])
 
     def list(self) -> DataFrame:
-        return self.spark.createDataFrame([(n, e.name, e.dimension, sorted(t)) for n, (_, e, t) in sorted(self._kept.items())], "name string, embedder string, dimension int, tables array<string>")
+        return self._kept.rows().select("name", "embedder", "dimension", "tables").orderBy("name")
 
     def drop(self, name: str) -> None:
-        del self._kept[name]
+        self._kept.drop(name)
 
 
 def list_objects(spark: SparkSession, prefix: str = "") -> DataFrame:

@@ -6,16 +6,22 @@ from ..functions import stemmer
 from ..functions.lexical import STOP_WORDS, WebQuery
 
 _STOPS = "'" + "','".join(STOP_WORDS) + "'"
-#: (doc_id, lang, pos, word) of documents, stop words left out and counted, and the distinct words' stems.
-TOKENS = f"""toks AS MATERIALIZED (SELECT doc_id, lang, pos, word FROM (SELECT doc_id, lang, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents)) WHERE word NOT IN ({_STOPS})),
+
+
+def tokens(table: str = "documents") -> str:
+    """CTEs up to ``stems``: (doc_id, lang, pos, word) of a table's texts, stop words left out and counted, and the distinct words' stems."""
+    return f"""toks AS MATERIALIZED (SELECT doc_id, lang, pos, word FROM (SELECT doc_id, lang, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM {table})) WHERE word NOT IN ({_STOPS})),
 vocab AS (SELECT DISTINCT word FROM toks),
 {stemmer.sql("vocab")}"""
 
 
-def covers(query: WebQuery) -> str:
-    """CTEs up to ``m`` (doc_id, lang, score): documents that satisfy the query, by the sum over their minimal covers."""
+TOKENS = tokens()
+
+
+def covers(query: WebQuery, table: str = "documents") -> str:
+    """CTEs up to ``m`` (doc_id, lang, score): rows of a table (doc_id, lang, text) that satisfy the query, by the sum over their minimal covers."""
     items = sorted({item for a in query.alternatives for item in a})
-    parts = [TOKENS, f"lx_e AS MATERIALIZED (SELECT doc_id, lang, pos, lexeme, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM toks JOIN stems USING (word) WHERE lexeme IN ({', '.join(repr(w) for w in query.every_word)}))"]
+    parts = [tokens(table), f"lx_e AS MATERIALIZED (SELECT doc_id, lang, pos, lexeme, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM toks JOIN stems USING (word) WHERE lexeme IN ({', '.join(repr(w) for w in query.every_word)}))"]
     latest = []
     for k, item in enumerate(items):
         words = item.split()

@@ -510,4 +510,4 @@ def distinct_literals(spark, sf_dir):
     return clean.distinct_literals(t(spark, sf_dir, "part"), "p_type", "ec")
 
 
-from . import reports  # noqa: E402, F401  registers its queries here
+from . import finding, reports  # noqa: E402, F401  register their queries here

@@ -5,15 +5,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import clean, lexical, udtf, vectors
-from ..operators import aliases, catalog, governed, joins, relations, rollups, scoring, search, similar, trace
+from ..operators import aliases, catalog, governed, joins, relations, rollups, scoring, search, similar, store, trace
 from ..sources import landing
 from . import lexical_sql, registry
 from .registry import FACTS, LOG, ORDER_TEXTS, TASKS, event_agents, event_log, event_tasks, facts, order_texts, query, t
@@ -518,13 +515,7 @@ def arm_delta_by_model(spark, sf_dir):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share; a local one under a local master without a checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/landing-{uuid.uuid4().hex}"
+    return store.new_folder(spark, "landing")
 
 
 def _delimited(spark, sf_dir, invalid: bool = False) -> str:
