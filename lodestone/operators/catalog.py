@@ -268,8 +268,9 @@ def deletions(word: Column, distance: int) -> Column:
 def near_words(words: DataFrame, word: str, distance: int = 1) -> DataFrame:
     """(a, b, edits) of distinct words at up to ``distance`` edits, a before b; words meet only where a deletion of both is equal."""
     each = words.select(word).distinct().select(F.col(word).alias("w"), F.explode(deletions(F.col(word), distance)).alias("d"))
-    both = each.withColumnRenamed("w", "a").join(each.withColumnRenamed("w", "b"), "d").where("a < b").select("a", "b").distinct()
-    return both.withColumn("edits", F.levenshtein("a", "b")).where(F.col("edits") <= distance)
+    # merged, never broadcast: the planner reckons the deletions as large as the names they are made of
+    both = each.withColumnRenamed("w", "a").hint("merge").join(each.withColumnRenamed("w", "b").hint("merge"), "d").where("a < b")
+    return both.select("a", "b", F.levenshtein("a", "b", distance).alias("edits")).where("edits >= 0").distinct()
 
 
 def name_variants(names: DataFrame, distance: int = 0) -> DataFrame:
