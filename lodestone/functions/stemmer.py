@@ -121,11 +121,12 @@ def stem_word(word: str) -> str:
 
 def _stem_batch(words: pd.Series) -> pd.Series:
     codes, distinct = pd.factorize(words)
-    shown = np.array([*map(_remembered, distinct), None], object)
+    shown = np.array([*map(remembered_stem, distinct), None], object)
     return pd.Series(shown[codes])
 
 
-_remembered = lru_cache(maxsize=1 << 17)(stem_word)
+#: ``stem_word`` for a worker that meets a word often
+remembered_stem = lru_cache(maxsize=1 << 17)(stem_word)
 
 
 def with_stem(df: DataFrame, word: str, out: str = "lexeme") -> DataFrame:

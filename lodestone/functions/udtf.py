@@ -10,9 +10,11 @@ from pyspark.sql.types import ArrayType, FloatType, IntegerType, Row, StringType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from .lexical import STOP_WORDS, WORD
-from .stemmer import stem_word
+from .stemmer import remembered_stem
 from .vectors import HashingEmbedder
 
+_STOP = frozenset(STOP_WORDS)
+
 
 class LexemePositions:
     """(pos, lexeme) of a text; ``stemming`` is a constant."""
@@ -25,8 +27,8 @@ class LexemePositions:
 
     def eval(self, text: str, stemming: bool = True):
         for k, word in enumerate(re.findall(WORD, (text or "").lower()), 1):
-            if word not in STOP_WORDS:
-                yield k, stem_word(word) if stemming else word
+            if word not in _STOP:
+                yield k, remembered_stem(word) if stemming else word
 
 
 class EncodeBatch:
@@ -59,5 +61,6 @@ class EncodeBatch:
 
 
 def register(spark: SparkSession) -> None:
-    spark.udtf.register("lexeme_positions", udtf(LexemePositions))
+    # deterministic, so that a filter on the other columns goes below the call and only its rows are read into Python
+    spark.udtf.register("lexeme_positions", udtf(LexemePositions).asDeterministic())
     spark.udtf.register("encode_batch", udtf(EncodeBatch))

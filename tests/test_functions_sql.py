@@ -56,6 +56,18 @@ def test_table_functions(spark):
     assert stemmer.stem_word("burning") == "burn"
 
 
+def test_lexemes_are_made_of_filtered_rows_and_each_word_once(spark):
+    udtf.register(spark)
+    spark.createDataFrame([(1, "burning fires", "en"), (2, "le feu", "fr")], "id int, c string, lang string").createOrReplaceTempView("udtf_langs")
+    df = spark.sql("SELECT id, p.lexeme FROM udtf_langs, LATERAL lexeme_positions(c) p WHERE lang = 'en'")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("BatchEvalPythonUDTF") < plan.index("Filter")
+    assert sorted((r.id, r.lexeme) for r in df.collect()) == [(1, "burn"), (1, "fire")]
+    before = stemmer.remembered_stem.cache_info().hits
+    assert [*udtf.LexemePositions().eval("repeated repeated")] == [(1, "repeat"), (2, "repeat")]
+    assert stemmer.remembered_stem.cache_info().hits > before
+
+
 def test_saved_queries_as_table_functions(spark):
     spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id int, kind string").createOrReplaceTempView("function_rows")
     saved = aliases.Aliases(spark)
