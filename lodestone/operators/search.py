@@ -14,6 +14,10 @@ from ..functions.lexical import WebQuery, cover_densities, entries
 from ..functions.vectors import cosine
 
 
+#: Rows that a block of queries meets in one task.
+STRETCH = 1 << 16
+
+
 def ranked(df: DataFrame, score: str, id_col: str, k: int, out: str = "rank") -> DataFrame:
     """The k best by score, ties by id, with ranks from 1."""
     best = df.orderBy(F.desc(score), id_col).limit(k)
@@ -48,27 +52,52 @@ def _packed(df: DataFrame, vector: str, id_col: str, size: int, names: tuple[str
 
 
 def _block_best(k: int):
-    """Pairs of blocks to the k best rows of each query in the block, ties by id."""
+    """Pairs of blocks to the k best rows of each query, ties by id. Of a block of queries that meets one of rows after the other only the best so far are held."""
 
     def unit(raw: bytes, n: int) -> np.ndarray:
         return np.frombuffer(raw, np.float64).reshape(n, -1)
 
+    def merged(held: tuple, more: tuple) -> tuple:
+        at, ids, score = (np.concatenate(x) for x in zip(held, more, strict=True))
+        order = np.lexsort((ids, -score, at))
+        at = at[order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        order = order[np.arange(len(at)) - np.repeat(first, np.diff([*first, len(at)])) < k]
+        return tuple(np.concatenate(x)[order] for x in zip(held, more, strict=True))
+
+    def least_of(held: tuple, n: int) -> np.ndarray:
+        """The score that a row needs: the k-th of its query, if there are so many."""
+        counts = np.bincount(held[0], minlength=n)
+        least = np.full(n, -np.inf)
+        full = counts >= k
+        least[full] = held[2][np.cumsum(counts)[full] - 1]
+        return least
+
+    def shown(queries: np.ndarray, held: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(queries[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", "id", "similarity"])
+
     def run(batches):
+        now, queries, held = None, None, None
         for batch in batches:
             for qi, qx, ri, rx in zip(*(batch.column(c) for c in ("qi", "qx", "ri", "rx")), strict=True):
-                queries, rows = np.frombuffer(qi.as_py(), np.int64), np.frombuffer(ri.as_py(), np.int64)
+                qi = qi.as_py()
+                if qi != now:
+                    if now is not None:
+                        yield shown(queries, held)
+                    now, queries = qi, np.frombuffer(qi, np.int64)
+                    vectors = unit(qx.as_py(), len(queries))
+                    held, least = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)), np.full(len(queries), -np.inf)
+                rows = np.frombuffer(ri.as_py(), np.int64)
                 # equal vectors must tie in any block, whatever the order of a product's sum
-                score = (unit(qx.as_py(), len(queries)) @ unit(rx.as_py(), len(rows)).T).astype(np.float64).round(12)
-                n = min(k, len(rows))
-                least = -np.partition(-score, n - 1, axis=1)[:, n - 1]
-                at, best = [], []
-                for q in range(len(queries)):
-                    some = np.flatnonzero(score[q] >= least[q])
-                    some = some[np.lexsort((rows[some], -score[q, some]))[:n]]
-                    at.append(np.full(n, queries[q]))
-                    best.append(some)
-                cols = np.concatenate(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), pa.array(rows[cols]), pa.array(score[np.repeat(np.arange(len(queries)), n), cols])], ["query_id", "id", "similarity"])
+                score = (vectors @ unit(rx.as_py(), len(rows)).T).round(12)
+                if len(rows) > k:
+                    least = np.maximum(least, -np.partition(-score, k - 1, axis=1)[:, k - 1]) if np.isinf(least).any() else least
+                at, col = np.nonzero(score >= least[:, None])
+                if len(at):
+                    held = merged(held, (at, rows[col], score[at, col]))
+                    least = least_of(held, len(queries))
+        if now is not None:
+            yield shown(queries, held)
 
     return run
 
@@ -81,13 +110,17 @@ def best_of_each(df: DataFrame, score: str, id_col: str, k: int, out: str = "ran
 def knn_every(df: DataFrame, vector: str, queries: DataFrame, k: int, id_col: str, pre_filter: Column | None = None) -> DataFrame:
     """(query_id, id, similarity, rank): the exact nearest rows of every query (query_id, vector); ids are numbers.
 
-    Blocks of queries meet blocks of rows; a block's k best a query go into the shuffle.
+    Blocks of queries meet stretches of about ``STRETCH`` rows; a stretch's k best a query go into the shuffle, and no side is broadcast.
     """
+    from .catalog import _checkpoint
+
     some = df if pre_filter is None else df.where(pre_filter)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = _packed(queries, vector, "query_id", 512, ("qi", "qx"))
-    r = _packed(some.select(id_col, vector).repartition(n), vector, id_col, 4096, ("ri", "rx"))
-    best = r.crossJoin(q).mapInArrow(_block_best(k), "query_id long, id long, similarity double")
+    q = _checkpoint(_packed(queries.select("query_id", vector).repartition(queries.count() // 128 + 1), vector, "query_id", 256, ("qi", "qx")))
+    r = _checkpoint(_packed(some.select(id_col, vector).repartition(n), vector, id_col, 4096, ("ri", "rx")))
+    rows = (r.agg(F.sum(F.length("ri"))).first()[0] or 0) // 8  # an id has eight bytes
+    both = q.hint("shuffle_replicate_nl").join(r.coalesce(rows // STRETCH + 1).hint("shuffle_replicate_nl"))
+    best = both.mapInArrow(_block_best(k), "query_id long, id long, similarity double")
     return best_of_each(best.withColumnRenamed("id", id_col), "similarity", id_col, k)
 
 

@@ -402,3 +402,22 @@ def test_awkward_rows_of_joins_and_rollups(spark):
     with pytest.raises(ValueError, match="no such columns"):
         clean.exclude_columns(df, ["vinn"])
     assert rollups.text_samples(df, "v", "k", 3).count() == 2
+
+
+def test_a_block_of_queries_sends_its_best_of_all_row_blocks():
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.operators.search import _block_best
+
+    random = np.random.default_rng(3)
+    q, rows = random.normal(size=(7, 8)), random.normal(size=(90, 8))
+    rows[40:60] = rows[10]  # ties go by id
+    ids = random.permutation(90)
+    block = lambda k, v: (k.astype(np.int64).tobytes(), v.tobytes())
+    pairs = [(*block(at, q[at]), *block(ids[i : i + 25], rows[i : i + 25])) for at in (np.arange(4), np.arange(4, 7)) for i in range(0, 90, 25)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("qi", "qx", "ri", "rx"), x)) for x in part]) for part in (pairs[:3], pairs[3:])]
+    got = [r for b in _block_best(12)(iter(batches)) for r in b.to_pylist()]
+    score = (q @ rows.T).round(12)
+    want = {(k, int(ids[c])) for k in range(7) for c in np.lexsort((ids, -score[k]))[:12]}
+    assert len(got) == 7 * 12 and {(r["query_id"], r["id"]) for r in got} == want
